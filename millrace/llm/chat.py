@@ -1,6 +1,6 @@
 """Chat formatting: schema fingerprints choose declarative mappings from many layouts to canonical turns.
 
-A record is JSON. The hash of its nested field paths selects how its turns are read; the turns are then
+A record is a struct of optional fields. The hash of its nested field paths selects how its turns are read; the turns are then
 written with one template whose control strings cannot be forged by a text, and the bytes that count
 for the loss are given as spans. DataFrame functions only.
 """
@@ -8,9 +8,11 @@ for the loss are given as spans. DataFrame functions only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _BLOCK = 256
@@ -18,62 +20,65 @@ _BLOCK = 256
 
 @dataclass(frozen=True)
 class Mapping:
-    """``paths``: the nested fields, as ``signature`` writes them. ``turns``: SQL over the variant ``v``."""
+    """A layout: the nested fields that make its fingerprint, those that may be missing, and SQL for its turns over ``r``."""
 
     name: str
-    paths: str
+    paths: tuple[str, ...]
     turns: str
+    optional: tuple[str, ...] = ()
+
+    def variants(self) -> list[str]:
+        """Every set of paths that the layout may show, as ``paths_of`` writes them."""
+        chosen = [c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
+        return [",".join(sorted({*self.paths, *c})) for c in chosen]
 
 
 def _turns(*pairs: tuple[str, str]) -> str:
-    return "array(" + ", ".join(f"named_struct('role', {role}, 'text', coalesce({text}, ''))" for role, text in pairs) + ")"
+    return "array(" + ", ".join(f"named_struct('role', '{role}', 'text', coalesce({text}, ''))" for role, text in pairs) + ")"
 
 
-def _get(field: str) -> str:
-    return f"variant_get(v, '$.{field}', 'string')"
+_SPEAKER = "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(m.`from`, '') END"
+_TASK = "CASE WHEN coalesce(r.input, '') = '' THEN r.instruction ELSE concat(r.instruction, '\n\n', r.input) END"
+MAPPINGS = (
+    Mapping("messages", ("messages",), "transform(r.messages, m -> named_struct('role', coalesce(m.role, ''), 'text', coalesce(m.content, '')))", ("messages[].content", "messages[].role")),
+    Mapping("conversations", ("conversations",), f"transform(r.conversations, m -> named_struct('role', {_SPEAKER}, 'text', coalesce(m.value, '')))", ("conversations[].from", "conversations[].value")),
+    Mapping("prompt and completion", ("completion", "prompt"), _turns(("user", "r.prompt"), ("assistant", "r.completion"))),
+    Mapping("prompt and response", ("prompt", "response"), _turns(("user", "r.prompt"), ("assistant", "r.response"))),
+    Mapping("system, prompt and response", ("prompt", "response", "system"), _turns(("system", "r.system"), ("user", "r.prompt"), ("assistant", "r.response"))),
+    Mapping("instruction", ("instruction", "output"), _turns(("user", _TASK), ("assistant", "r.output")), ("input",)),
+)
 
+#: Every field that a mapping reads; JSON is parsed with it, whatever its layout.
+_TURN = lambda *names: T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+RECORD = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("prompt", "completion", "response", "system", "instruction", "input", "output")]
+    + [T.StructField("messages", _TURN("role", "content")), T.StructField("conversations", _TURN("from", "value"))]
+)
 
-def _messages(field: str, role: str, text: str) -> str:
-    items = f"variant_get(v, '$.{field}', 'array<struct<{role}:string,{text}:string>>')"
-    speaker = f"coalesce(m.{role}, '')"
-    if role == "from":
-        speaker = f"CASE coalesce(m.`from`, '') WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(m.`from`, '') END"
-        items = items.replace("<from:", "<`from`:")
-    return f"transform({items}, m -> named_struct('role', {speaker}, 'text', coalesce(m.{text}, '')))"
 
+def paths_of(record: Column, kind: T.DataType, path: str = "") -> list[Column]:
+    """A column for each nested field of the schema: its path where the record has it, else null."""
+    if isinstance(kind, T.StructType):
+        return [c for f in kind.fields for c in paths_of(record[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)]
+    here = F.when(record.isNotNull(), F.lit(path))
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
+        return [here]
 
-_TASK = f"concat({_get('instruction')}, CASE WHEN coalesce({_get('input')}, '') = '' THEN '' ELSE concat('\\n\\n', {_get('input')}) END)"
-MAPPINGS = (
-    Mapping("messages", "{messages:[{content,role}]}", _messages("messages", "role", "content")),
-    Mapping("no messages", "{messages:[]}", "cast(array() AS array<struct<role:string,text:string>>)"),
-    Mapping("conversations", "{conversations:[{from,value}]}", _messages("conversations", "from", "value")),
-    Mapping("prompt and completion", "{completion,prompt}", _turns(("'user'", _get("prompt")), ("'assistant'", _get("completion")))),
-    Mapping("prompt and response", "{prompt,response}", _turns(("'user'", _get("prompt")), ("'assistant'", _get("response")))),
-    Mapping("system, prompt and response", "{prompt,response,system}", _turns(("'system'", _get("system")), ("'user'", _get("prompt")), ("'assistant'", _get("response")))),
-    Mapping("instruction", "{instruction,output}", _turns(("'user'", _get("instruction")), ("'assistant'", _get("output")))),
-    Mapping("instruction and input", "{input,instruction,output}", _turns(("'user'", _TASK), ("'assistant'", _get("output")))),
-)
-
+    def inner(name: str) -> Column:
+        return F.when(F.exists(record, lambda x: x[name].isNotNull()), F.lit(f"{path}[].{name}"))
 
-def signature(record: Column) -> Column:
-    """Nested field paths of a variant, sorted, without scalar types: ``{messages:[{content,role}]}``."""
-    schema = F.schema_of_variant(record)
-    scalar = r"(?:: )?\b(?:VOID|STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|BINARY|VARIANT|TIMESTAMP(?:_NTZ)?|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
-    bare = F.regexp_replace(schema, scalar, "")
-    for old, new in (("OBJECT<", "{"), ("ARRAY<", "["), (": ", ":"), (", ", ",")):
-        bare = F.replace(bare, F.lit(old), F.lit(new))
-    # every '<' that is left closes by kind: arrays hold one element type, objects a list
-    for _ in range(6):
-        bare = F.regexp_replace(bare, r"\{([^{}\[\]<>]*)>", "{$1}")
-        bare = F.regexp_replace(bare, r"\[([^\[\]<>]*)>", "[$1]")
-        bare = F.regexp_replace(bare, r"\{((?:[^{}\[\]<>]|\[[^\[\]<>]*\]|\{[^{}<>]*\})*)>", "{$1}")
-    return bare
+    return [here, *(inner(f.name) for f in kind.elementType.fields)]
 
 
 def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
+def parse_records(json: Column) -> Column:
+    """JSON of any layout as a record; what is malformed or not an object becomes null."""
+    return F.from_json(json, RECORD, {"mode": "PERMISSIVE", "maxStringLen": "2147483647"})
+
+
 def escape_text(text: Column) -> Column:
     """A bar after every '<|', so that no text holds a control string; ``unescape_text`` takes it out again."""
     return F.replace(text, F.lit("<|"), F.lit("<||"))
@@ -124,17 +129,21 @@ def _spans(pieces: Column) -> Column:
 def format_chats(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Adds ``layout``, ``schema_paths``, ``schema_hash``, ``formatted`` and ``loss_spans`` (byte offsets, end exclusive).
 
-    Null, malformed and unknown records keep their row, with a null ``layout``, an empty ``formatted`` and
-    no spans. A null role or text counts as empty. Every assistant text is learned. Record texts may
-    hold control strings: they are escaped, and ``read_chats`` gives them back as they were.
+    ``record_col`` is a struct with the fields of RECORD (``parse_records`` makes one of JSON). Records that
+    are null or of no known layout keep their row, with a null ``layout``, an empty ``formatted`` and no
+    spans. A null role or text counts as empty. Every assistant text is learned. Texts may hold control
+    strings: they are escaped, and ``read_chats`` gives them back as they were.
     """
-    parsed = records.withColumn("_mr_v", F.try_parse_json(F.col(record_col)))
-    parsed = parsed.withColumn("schema_paths", signature(F.col("_mr_v"))).withColumn("schema_hash", fingerprint(F.col("schema_paths")))
+    present = paths_of(F.col(record_col), records.schema[record_col].dataType)
+    named = F.concat_ws(",", F.array_sort(F.filter(F.array(*present), lambda p: p.isNotNull())))
+    parsed = records.withColumn("schema_paths", named).withColumn("schema_hash", fingerprint(F.col("schema_paths"))).withColumn("r", F.col(record_col))
     names, cases = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for m in reversed(mappings):
-        chosen = F.col("schema_hash") == fingerprint(F.lit(m.paths))
+        chosen = F.lit(False)
+        for paths in m.variants():
+            chosen = chosen | (F.col("schema_hash") == fingerprint(F.lit(paths)))
         names = F.when(chosen, F.lit(m.name)).otherwise(names)
-        cases = F.when(chosen, F.expr(m.turns.replace("(v,", "(_mr_v,"))).otherwise(cases)
+        cases = F.when(chosen, F.expr(m.turns)).otherwise(cases)
     turns = F.coalesce(cases, F.array().cast("array<struct<role:string,text:string>>"))
     read = parsed.withColumns({"layout": names, "_mr_turns": turns})
     head = lambda t: F.concat(F.lit(START), escape_role(t.role), F.lit("\n"))
@@ -142,7 +151,7 @@ def format_chats(records: DataFrame, record_col: str = "record", mappings: tuple
     laid = read.withColumn("_mr_pieces", pieces)
     whole = F.concat_ws("", F.transform("_mr_pieces", lambda p: F.concat(p.head, p.body, F.lit(END))))
     spans = F.when(F.size("_mr_pieces") > 0, _let(F.col("_mr_pieces"), _spans)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return laid.withColumns({"formatted": whole, "loss_spans": spans}).drop("_mr_v", "_mr_turns", "_mr_pieces")
+    return laid.withColumns({"formatted": whole, "loss_spans": spans}).drop("r", "_mr_turns", "_mr_pieces")
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
 
 def records_from_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """One JSON record a conversation from rows (key, turn, role, text), in the layout that holds it without loss.
+    """One record a conversation from rows (key, turn, role, text), in the layout that holds it without loss.
 
     Rows go by turn, null first, then role and text. A pair of user and assistant becomes prompt and
     completion, with a system turn before them system, prompt and response, all else a list of messages.
@@ -171,10 +180,15 @@ def records_from_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """
     clean = turns.select(F.col(key).alias("_mr_k"), F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     grouped = clean.groupBy("_mr_k").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    roles, text = F.concat_ws(",", F.transform("ts", lambda t: t.role)), lambda i: F.col("ts")[i]["text"]
-    record = (
-        F.when((roles == "user,assistant") & (F.size("ts") == 2), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion"))))
-        .when((roles == "system,user,assistant") & (F.size("ts") == 3), F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
-        .otherwise(F.to_json(F.struct(F.transform("ts", lambda t: F.struct(t.role.alias("role"), t.text.alias("content"))).alias("messages"))))
-    )
+    roles, text = F.transform("ts", lambda t: t.role), lambda i: F.col("ts")[i]["text"]
+    messages = F.transform("ts", lambda t: F.struct(t.role.alias("role"), t.text.alias("content")))
+    pair, task = roles == F.array(F.lit("user"), F.lit("assistant")), roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
+    fields = {
+        "prompt": F.when(pair, text(0)).when(task, text(1)),
+        "completion": F.when(pair, text(1)),
+        "response": F.when(task, text(2)),
+        "system": F.when(task, text(0)),
+        "messages": F.when(~pair & ~task, messages),
+    }
+    record = F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields])
     return grouped.select(F.col("_mr_k").alias(key), record.alias("record"))

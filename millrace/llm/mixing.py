@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from millrace.session import pinned
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_CELL = 65_536
+ROWS_PER_CELL = 4_096
+MOST_CELLS = 65_536  # ranges of the key; a range holds what it holds beyond that
 MOST_EPOCHS = 3
 
 
@@ -55,7 +56,7 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     text = F.xxhash64(F.col(text_col))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     slim = pinned(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("_key"), text.alias("_text")))
-    cells = max(1, math.ceil(slim.count() / ROWS_PER_CELL))
+    cells = min(MOST_CELLS, max(1, math.ceil(slim.count() / ROWS_PER_CELL)))
     place = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") * F.lit(cells) / F.lit(1 << 32)).cast("int")
     rows = slim.withColumn("_none", F.col("source").isNull()).withColumn("_name", F.coalesce("source", F.lit(""))).withColumn("_cell", place)
     per_cell = rows.groupBy("_none", "_name", "_cell").agg(F.sum("size").alias("_size"))
