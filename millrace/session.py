@@ -25,6 +25,7 @@ def local_session(cpus: int | str | None = None, **conf: str) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    importable(spark)
     return spark
 
 
@@ -45,5 +46,15 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver was started; a cluster may also ship it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = spark.sparkContext.environment
+    paths = [p for p in own.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        own["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
