@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, lempel_ziv, mixing, ogg, pii, sentencepiece, sharding, simhash, warc
+from millrace.llm import chat, lempel_ziv, mixing, ogg, pii, sentencepiece, sharding, simhash, toxicity, warc
 from millrace.session import table
 
 
@@ -52,6 +52,12 @@ def op3_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return lempel_ziv.with_neighbours(table(spark, sf, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, table(spark, sf, "labels").select("doc_id", "toxic"))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_media_columns(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     media = ogg.stored(F.col("text"))
@@ -86,6 +92,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op5_media_columns": op5_media_columns,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_warc": op7_warc,
