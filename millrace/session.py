@@ -46,8 +46,17 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ROWS_A_BATCH = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver was started; a cluster may also ship it with --py-files."""
+    """Lets Python workers import this package wherever the driver was started; a cluster may also ship it with --py-files.
+
+    Texts are long, so Arrow batches are kept smaller than Spark's default where the session says nothing.
+    """
+    if spark.conf.get(_BATCH, None) in (None, "10000"):
+        spark.conf.set(_BATCH, ROWS_A_BATCH)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     own = spark.sparkContext.environment
     paths = [p for p in own.get("PYTHONPATH", "").split(os.pathsep) if p]
