@@ -27,7 +27,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters encoded at a time in one call of the library.
 CHARS = 1 << 20
 #: Units (words with the spaces before them) remembered by a worker.
-UNITS = 500_000
+UNITS = 200_000
 THREADS = 2
 
 

@@ -21,7 +21,7 @@ BUCKETS = 1 << 18
 WIDTH = 8
 WINDOW = 48  # words
 LEAST_WORDS = 24  # a shorter window is filled up with neutral words
-WORDS = 500_000  # words remembered by a worker
+WORDS = 100_000  # words remembered by a worker
 #: The sample that a model is fitted on: documents of each label, windows of a document.
 TRAIN_DOCS = {1: 2_000, 0: 4_500}
 TRAIN_WINDOWS = 16
