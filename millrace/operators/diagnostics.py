@@ -84,7 +84,7 @@ def corrections(events: DataFrame) -> DataFrame:
 
 def division_figures(files: DataFrame) -> DataFrame:
     """(mode, files, units, chunks, blocked) with a row of totals: files (rel, mode, units, chunks, blocked)."""
-    return files.groupBy(F.cube("mode")).agg(F.count(F.lit(1)).alias("files"), F.sum("units").alias("units"), F.sum("chunks").alias("chunks"), F.count("blocked").alias("blocked")).withColumn("mode", F.coalesce("mode", F.lit("all")))
+    return files.cube("mode").agg(F.count(F.lit(1)).alias("files"), F.sum("units").alias("units"), F.sum("chunks").alias("chunks"), F.count("blocked").alias("blocked")).withColumn("mode", F.coalesce("mode", F.lit("all")))
 
 
 def strongest_scope(scopes: DataFrame, order: tuple[str, ...]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import extension, parent, posix
@@ -13,6 +13,9 @@ from millrace.session import pinned
 EXTENSIONS = (".c", ".cpp", ".cs", ".dart", ".go", ".h", ".hpp", ".htm", ".html", ".java", ".js", ".jsx", ".kt", ".py", ".rb", ".rs", ".swift", ".ts", ".tsx")
 
 
+SMALL_LEVEL = 50_000  # nodes of a level that one task may number; larger levels are numbered by ranges
+
+
 def _suffix(path: Column) -> Column:
     return F.regexp_extract(path, r"[^./][^/]*?(\.[^./]+)$", 1)
 
@@ -121,24 +124,27 @@ def topological(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     graph = pinned(graph.select("src", "dst").distinct())
     left = pinned(nodes.select("node").unionByName(graph.select(F.col("src").alias("node"))).unionByName(graph.select(F.col("dst").alias("node"))).distinct())
-    done, level, start = None, 0, 0
+    done, level, start, open_edges = None, 0, 0, graph
+    last = left.select("node", F.lit(-1).cast("bigint").alias("last")).limit(0)
     while True:
-        waiting = graph.select(F.col("src").alias("node")).distinct() if done is None else graph.join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node")).distinct()
-        due = left.join(waiting, "node", "left_anti")
-        if done is None:
-            due = due.withColumn("last", F.lit(-1).cast("bigint"))
-        else:
-            last = graph.join(done.select(F.col("node").alias("dst"), "rank"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("rank").alias("last"))
-            due = due.join(last, "node", "left").fillna(-1, ["last"])
-        ranked = numbered(due, "last", "node", start=start)
-        found = pinned(ranked.select("node", F.lit(level).alias("level"), "rank"))
-        size = found.count()
+        due = left.join(open_edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+        due = pinned(due.join(last, "node", "left").fillna(-1, ["last"]))
+        size = due.count()
         if not size:
             break
+        if size <= SMALL_LEVEL:
+            place = F.row_number().over(Window.orderBy("last", "node")) - 1 + start
+            found = due.withColumn("rank", place.cast("bigint"))
+        else:
+            found = numbered(due, "last", "node", start=start)
+        found = found.select("node", F.lit(level).alias("level"), "rank")
         done = found if done is None else done.unionByName(found)
         if level % 16 == 15:
             done = pinned(done)
-        left = pinned(left.join(found, "node", "left_anti"))
+        left = pinned(left.join(due, "node", "left_anti"))
+        open_edges = pinned(open_edges.join(due.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        # a node of the next level has its last dependency in this one
+        last = graph.join(found.select(F.col("node").alias("dst"), "rank"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("rank").alias("last"))
         level, start = level + 1, start + size
     rest = numbered(left.withColumn("level", F.lit(None).cast("int")), "node", start=start)
     return rest if done is None else done.unionByName(rest)

@@ -18,9 +18,9 @@ def part_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Part p to 2p and 2p + 1, where there: no cycles."""
+    """Part p above 0 to 2p and 2p + 1, where there: no cycles."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
-    out = p.select("k", F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1)).alias("d"))
+    out = p.filter("k > 0").select("k", F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1)).alias("d"))
     return out.join(p.select(F.col("k").alias("d")), "d").select(F.col("k").cast("string").alias("src"), F.col("d").cast("string").alias("dst"))
 
 
@@ -94,7 +94,7 @@ RESOLVED = {
     ("src/app/main.py", 0): "src/app/util.py", ("src/app/main.py", 1): "src/app/__init__.py", ("src/app/main.py", 2): "src/lib/x.c", ("src/app/main.py", 4): "src/app/util.py", ("src/app/main.py", 5): "src/app/util.py",
     ("src/app/main.py", 6): "src/app/sub/__init__.py", ("src/lib/core.ts", 0): "src/lib/view/index.tsx", ("src/lib/core.ts", 1): "src/lib/x.c", ("src/lib/core.ts", 2): "src/app/util.py", ("src/lib/core.ts", 5): "src/lib/index.ts",
     ("lib/dart_ui.dart", 0): "lib/dart_ui.dart", ("web/index.html", 0): "web/app.js", ("web/index.html", 1): "web/app.js", ("Main.java", 0): "pkg/mod.go",
-    ("src/app/__init__.py", 0): "src/app/__init__.py",
+    ("src/app/__init__.py", 0): "src/app/__init__.py", ("src/app/util.py", 2): "src/lib/x.py",
 }
 LANGUAGE = {"py": "python", "ts": "typescript", "tsx": "tsx", "dart": "dart", "html": "html", "js": "javascript", "go": "go", "java": "java", "c": "c"}
 
@@ -137,7 +137,7 @@ def dependency_catalog(spark, sf):
     keys = pairs.select("rel", kind.alias("type"), F.col("p_size").cast("string").alias("name"))
     order = keys.select("rel").distinct().select("rel", F.col("rel").cast("int").alias("ord"))
     said = keys.withColumn("h", F.expr("(cast(rel as int) * 31 + cast(name as int) * 17) % 11")).filter("h < 4")
-    texts = said.select("rel", "type", "name", F.col("h").alias("seq"), F.when(F.col("h") < 2, "update").otherwise("note").alias("origin"), F.concat(F.element_at(F.array(*[F.lit(x) for x in ("used", "api of the app", "database schema", "state")]), F.col("h") + 1), F.lit(" "), F.repeat(F.lit("x"), F.expr("cast(rel as int) % 4"))).alias("used_for"))
+    texts = said.select("rel", "type", "name", F.col("h").alias("seq"), F.when(F.col("h") < 2, "update").otherwise("note").alias("origin"), F.concat(F.try_element_at(F.array(*[F.lit(x) for x in ("used", "api of the app", "database schema", "state")]), F.col("h").cast("int") + 1), F.lit(" "), F.repeat(F.lit("x"), F.expr("cast(rel as int) % 4"))).alias("used_for"))
     found = vw.catalog(keys, texts, order)
     return found.select("type", "name", "used_for", F.array_join("files", ",").alias("files"), "file_count")
 
@@ -178,7 +178,7 @@ NAMES = (
 )
 QUERIES = {name: globals()[name] for name in NAMES}
 
-_PARTS = "parts AS (SELECT p_partkey AS k FROM part), tree AS (SELECT a.k AS src, b.k AS dst FROM parts a JOIN parts b ON b.k IN (a.k * 2, a.k * 2 + 1))"
+_PARTS = "parts AS (SELECT p_partkey AS k FROM part), tree AS (SELECT a.k AS src, b.k AS dst FROM parts a JOIN parts b ON a.k > 0 AND b.k IN (a.k * 2, a.k * 2 + 1))"
 _CYCLIC = "parts AS (SELECT p_partkey AS k FROM part), tree AS (SELECT a.k AS src, b.k AS dst FROM parts a JOIN parts b ON b.k = a.k * 3 OR b.k = a.k * 3 + 2 OR (a.k % 10 = 0 AND b.k = a.k // 3))"
 
 
@@ -213,15 +213,15 @@ SELECT coalesce(f.node, b.node) AS node, coalesce(f.d, '') AS dependencies, coal
     "classify_dependency": f"""WITH p AS (SELECT raw, language, trim(raw) AS v, lower(language) AS lang FROM (SELECT unnest(['os.path', ' numpy.linalg ', '.rel', './x\\y', 'node:fs/promises', 'fs', '@a/b/c', '@a', 'react/dom', 'dart:io', 'package:x/y.dart', 'package:./z', '', 'crypto/x']) AS raw) CROSS JOIN (SELECT unnest(['python', 'TypeScript', 'dart', 'java']) AS language)),
 c AS (SELECT *, {_CLASSES} AS canonical FROM p)
 SELECT raw, language, canonical, CASE WHEN lang = 'dart' AND v LIKE 'dart:%' THEN 'sdk' WHEN lang = 'python' AND canonical IN ('os') AND v NOT LIKE '.%' THEN 'sdk' WHEN lang = 'typescript' AND (v LIKE 'node:%' OR (canonical IN ('fs', 'crypto') AND v NOT LIKE '.%')) THEN 'sdk' ELSE 'external' END AS kind FROM c""",
-    "project_links": f"""SELECT * FROM (VALUES {_rows([("src/app/main.py", "sdk", "os"), ("src/app/util.py", "external", "numpy"), ("src/app/util.py", "external", "app"), ("src/app/util.py", "external", "../lib/x.py"), ("src/app/util.py", "external", "Src"), ("src/lib/core.ts", "external", "rxjs"), ("src/lib/core.ts", "sdk", "fs"), ("lib/dart_ui.dart", "sdk", "dart:async"), ("lib/dart_ui.dart", "external", "flutter"), ("web/index.html", "external", "HTTPS://cdn/x.js"), ("Main.java", "external", "java.util.List"), ("pkg/mod.go", "external", "github.com/x/y")])}) AS t(rel, kind, canonical)""",
+    "project_links": f"""SELECT * FROM (VALUES {_rows([("src/app/main.py", "sdk", "os"), ("src/app/util.py", "external", "numpy"), ("src/app/util.py", "external", "app"), ("src/app/util.py", "external", "Src"), ("src/lib/core.ts", "external", "rxjs"), ("src/lib/core.ts", "sdk", "fs"), ("lib/dart_ui.dart", "sdk", "dart:async"), ("lib/dart_ui.dart", "external", "flutter"), ("web/index.html", "external", "HTTPS://cdn/x.js"), ("Main.java", "external", "java.util.List"), ("pkg/mod.go", "external", "github.com/x/y")])}) AS t(rel, kind, canonical)""",
     "dependency_catalog": """WITH keys AS (SELECT DISTINCT l_suppkey AS ord, CAST(l_suppkey AS VARCHAR) AS rel, CASE WHEN p_size % 7 = 0 THEN 'internal' WHEN p_size % 3 = 0 THEN 'sdk' ELSE 'external' END AS type, CAST(p_size AS VARCHAR) AS name, (l_suppkey * 31 + p_size * 17) % 11 AS h FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 5 < 2),
-texts AS (SELECT *, CASE WHEN h < 2 THEN 'update' ELSE 'note' END AS origin, ['used', 'api of the app', 'database schema', 'state'][h + 1] || ' ' || repeat('x', CAST(ord % 4 AS INT)) AS t, [0, 3, 2, 1][h + 1] AS hits FROM keys WHERE h < 4 AND NOT (type <> 'x' AND type = 'internal' AND h >= 2)),
-first_ AS (SELECT type, name, min(ord) AS since, min_by(t, ord) AS first_text, min_by(hits, ord) AS first_hits FROM texts GROUP BY ALL),
-better AS (SELECT t.type, t.name, t.t, t.hits, length(t.t) AS len, t.ord, t.origin FROM texts t),
+texts AS (SELECT *, CASE WHEN h < 2 THEN 'update' ELSE 'note' END AS origin, ['used', 'api of the app', 'database schema', 'state'][h + 1] || ' ' || repeat('x', CAST(ord % 4 AS INT)) AS t FROM keys WHERE h < 4 AND NOT (type <> 'x' AND type = 'internal' AND h >= 2)),
+first_ AS (SELECT type, name, min(ord) AS since, min_by(t, ord) AS first_text FROM texts GROUP BY ALL),
+better AS (SELECT t.type, t.name, t.t, length(t.t) AS len, t.ord, t.origin FROM texts t),
 ranked AS (SELECT b.type, b.name, b.t, row_number() OVER (PARTITION BY b.type, b.name ORDER BY s.hits DESC, s.len DESC, b.ord) AS nth FROM better b JOIN first_ f ON f.type = b.type AND f.name = b.name
-  CROSS JOIN LATERAL (SELECT (CASE WHEN b.t LIKE 'api%' THEN 3 WHEN b.t LIKE 'database%' THEN 2 WHEN b.t LIKE 'state%' THEN 1 ELSE 0 END) AS hits, b.len AS len) s WHERE b.origin = 'update' OR b.ord = f.since),
+  CROSS JOIN LATERAL (SELECT (CASE WHEN b.t LIKE 'api%' THEN 2 WHEN b.t LIKE 'database%' THEN 2 WHEN b.t LIKE 'state%' THEN 1 ELSE 0 END) AS hits, b.len AS len) s WHERE b.origin = 'update' OR b.ord = f.since),
 backing AS (SELECT k.type, k.name, k.rel FROM keys k JOIN first_ f ON f.type = k.type AND f.name = k.name WHERE (k.type <> 'internal' AND k.ord >= f.since) OR EXISTS (SELECT 1 FROM texts t WHERE t.type = k.type AND t.name = k.name AND t.rel = k.rel))
 SELECT r.type, r.name, r.t AS used_for, string_agg(DISTINCT b.rel, ',' ORDER BY b.rel) AS files, count(DISTINCT b.rel) AS file_count FROM ranked r JOIN backing b ON b.type = r.type AND b.name = r.name WHERE r.nth = 1 GROUP BY ALL""",
     "pattern_imports": f"""SELECT * FROM (VALUES {_rows([("a.ts", 0, "./a"), ("a.ts", 1, "./b"), ("a.ts", 2, "@lib/c"), ("a.ts", 3, "../d"), ("a.ts", 4, "./e"), ("b.java", 0, "java.util.List"), ("b.java", 1, "a.b.C"), ("c.cs", 0, "System.Text"), ("c.cs", 1, "X"), ("d.rs", 0, "std::io"), ("d.rs", 1, "inner"), ("d.rs", 2, "serde"), ("e.c", 0, "stdio.h"), ("e.c", 1, "x/y.h"), ("f.rb", 0, "json"), ("f.rb", 1, "./g"), ("g.html", 0, "a.js"), ("g.html", 1, "b.js"), ("h.kt", 0, "a.b"), ("h.kt", 1, "c"), ("i.swift", 0, "Foundation"), ("j.dart", 0, "dart:io"), ("j.dart", 1, "p.dart"), ("k.xyz", 0, "lib"), ("k.xyz", 1, "some/path-x")])}) AS t(rel, ord, raw)""",
-    "normalised_paths": """SELECT * FROM (VALUES ('a//b/./c', 'a/b/c', '', 'a'), ('../x', 'x', '', '.'), ('a/../../b', 'b', '', '.'), ('a\\b\\..\\c', 'a/c', '', 'a'), ('', '', '', '.'), ('/', '', '', '.'), ('./.ts', '.ts', '', '.'), ('x/y.TSX', 'x/y.TSX', '.tsx', 'x'), ('.hidden', '.hidden', '', '.'), ('a/b.tar.gz', 'a/b.tar.gz', '.gz', 'a')) AS t(path, posix, extension, folder)""",
+    "normalised_paths": """SELECT * FROM (VALUES ('a//b/./c', 'a/b/c', '', 'a'), ('../x', 'x', '', '.'), ('a/../../b', 'b', '', '.'), ('a\\b\\..\\c', 'a/c', '.\\c', 'a'), ('', '', '', '.'), ('/', '', '', '.'), ('./.ts', '.ts', '', '.'), ('x/y.TSX', 'x/y.TSX', '.tsx', 'x'), ('.hidden', '.hidden', '', '.'), ('a/b.tar.gz', 'a/b.tar.gz', '.gz', 'a')) AS t(path, posix, extension, folder)""",
 }

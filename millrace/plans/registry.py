@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans import documents, graphs
+from millrace.plans import documents, events, graphs
 
-_PARTS = (documents, graphs)
+_PARTS = (documents, graphs, events)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from millrace.session import checkpoint_folder
 
 
-def stream(spark: SparkSession, path: str, schema, files_at_once: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+def stream(spark: SparkSession, folder: str, schema, files_at_once: int = 8, names: str = "*") -> DataFrame:
+    """Parquet files of a folder whose names match, as they come."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", names).parquet(folder)
 
 
 def run_once(df: DataFrame, name: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame:
