@@ -20,7 +20,7 @@ _BLOCK = 256
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: the nested fields that make its fingerprint, those that may be missing, and SQL for its turns over ``r``."""
+    """A layout: the nested fields that make its fingerprint, those that may be missing, and SQL for its turns over ``_mr_r``."""
 
     name: str
     paths: tuple[str, ...]
@@ -38,14 +38,14 @@ def _turns(*pairs: tuple[str, str]) -> str:
 
 
 _SPEAKER = "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(m.`from`, '') END"
-_TASK = "CASE WHEN coalesce(r.input, '') = '' THEN r.instruction ELSE concat(r.instruction, '\n\n', r.input) END"
+_TASK = "CASE WHEN coalesce(_mr_r.input, '') = '' THEN _mr_r.instruction ELSE concat(_mr_r.instruction, '\n\n', _mr_r.input) END"
 MAPPINGS = (
-    Mapping("messages", ("messages",), "transform(r.messages, m -> named_struct('role', coalesce(m.role, ''), 'text', coalesce(m.content, '')))", ("messages[].content", "messages[].role")),
-    Mapping("conversations", ("conversations",), f"transform(r.conversations, m -> named_struct('role', {_SPEAKER}, 'text', coalesce(m.value, '')))", ("conversations[].from", "conversations[].value")),
-    Mapping("prompt and completion", ("completion", "prompt"), _turns(("user", "r.prompt"), ("assistant", "r.completion"))),
-    Mapping("prompt and response", ("prompt", "response"), _turns(("user", "r.prompt"), ("assistant", "r.response"))),
-    Mapping("system, prompt and response", ("prompt", "response", "system"), _turns(("system", "r.system"), ("user", "r.prompt"), ("assistant", "r.response"))),
-    Mapping("instruction", ("instruction", "output"), _turns(("user", _TASK), ("assistant", "r.output")), ("input",)),
+    Mapping("messages", ("messages",), "transform(_mr_r.messages, m -> named_struct('role', coalesce(m.role, ''), 'text', coalesce(m.content, '')))", ("messages[].content", "messages[].role")),
+    Mapping("conversations", ("conversations",), f"transform(_mr_r.conversations, m -> named_struct('role', {_SPEAKER}, 'text', coalesce(m.value, '')))", ("conversations[].from", "conversations[].value")),
+    Mapping("prompt and completion", ("completion", "prompt"), _turns(("user", "_mr_r.prompt"), ("assistant", "_mr_r.completion"))),
+    Mapping("prompt and response", ("prompt", "response"), _turns(("user", "_mr_r.prompt"), ("assistant", "_mr_r.response"))),
+    Mapping("system, prompt and response", ("prompt", "response", "system"), _turns(("system", "_mr_r.system"), ("user", "_mr_r.prompt"), ("assistant", "_mr_r.response"))),
+    Mapping("instruction", ("instruction", "output"), _turns(("user", _TASK), ("assistant", "_mr_r.output")), ("input",)),
 )
 
 #: Every field that a mapping reads; JSON is parsed with it, whatever its layout.
@@ -132,11 +132,12 @@ def format_chats(records: DataFrame, record_col: str = "record", mappings: tuple
     ``record_col`` is a struct with the fields of RECORD (``parse_records`` makes one of JSON). Records that
     are null or of no known layout keep their row, with a null ``layout``, an empty ``formatted`` and no
     spans. A null role or text counts as empty. Every assistant text is learned. Texts may hold control
-    strings: they are escaped, and ``read_chats`` gives them back as they were.
+    strings: they are escaped, and ``read_chats`` gives them back as they were. Other columns pass through; input
+    columns of the new names are replaced.
     """
     present = paths_of(F.col(record_col), records.schema[record_col].dataType)
     named = F.concat_ws(",", F.array_sort(F.filter(F.array(*present), lambda p: p.isNotNull())))
-    parsed = records.withColumn("schema_paths", named).withColumn("schema_hash", fingerprint(F.col("schema_paths"))).withColumn("r", F.col(record_col))
+    parsed = records.withColumn("schema_paths", named).withColumn("schema_hash", fingerprint(F.col("schema_paths"))).withColumn("_mr_r", F.col(record_col))
     names, cases = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for m in reversed(mappings):
         chosen = F.lit(False)
@@ -151,7 +152,7 @@ def format_chats(records: DataFrame, record_col: str = "record", mappings: tuple
     laid = read.withColumn("_mr_pieces", pieces)
     whole = F.concat_ws("", F.transform("_mr_pieces", lambda p: F.concat(p.head, p.body, F.lit(END))))
     spans = F.when(F.size("_mr_pieces") > 0, _let(F.col("_mr_pieces"), _spans)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return laid.withColumns({"formatted": whole, "loss_spans": spans}).drop("r", "_mr_turns", "_mr_pieces")
+    return laid.withColumns({"formatted": whole, "loss_spans": spans}).drop("_mr_r", "_mr_turns", "_mr_pieces")
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:

@@ -5,16 +5,14 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import pinned
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_CELL = 4_096
-MOST_CELLS = 65_536  # ranges of the key; a range holds what it holds beyond that
+ROWS_PER_CELL = 8_192
+SMALL = 100_000  # sources up to which their table is broadcast
 MOST_EPOCHS = 3
 
 
@@ -56,11 +54,15 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     text = F.xxhash64(F.col(text_col))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     slim = pinned(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("_key"), text.alias("_text")))
-    cells = min(MOST_CELLS, max(1, math.ceil(slim.count() / ROWS_PER_CELL)))
-    place = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") * F.lit(cells) / F.lit(1 << 32)).cast("int")
-    rows = slim.withColumn("_none", F.col("source").isNull()).withColumn("_name", F.coalesce("source", F.lit(""))).withColumn("_cell", place)
+    rows = slim.withColumn("_none", F.col("source").isNull()).withColumn("_name", F.coalesce("source", F.lit("")))
+    per_source = pinned(rows.groupBy("_none", "_name").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / ROWS_PER_CELL).alias("_cells")))
+    known = per_source.select("_none", "_name", "_cells")
+    if known.count() <= SMALL:
+        known = F.broadcast(known)
+    place = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") * F.col("_cells") / F.lit(1 << 32)).cast("int")
+    rows = rows.join(known, ["_none", "_name"]).withColumn("_cell", place).drop("_cells")
     per_cell = rows.groupBy("_none", "_name", "_cell").agg(F.sum("size").alias("_size"))
-    per_source = per_cell.groupBy("_none", "_name").agg(F.sum("_size").alias("source_size")).withColumn("source", F.when(~F.col("_none"), F.col("_name")))
+    per_source = per_source.drop("_cells").withColumn("source", F.when(~F.col("_none"), F.col("_name")))
     if isinstance(weights, DataFrame):
         given = weights.select(F.col("source").alias("_w_source"), F.col("weight").cast("double").alias("weight"))
         weighted = per_source.join(given, F.col("source").eqNullSafe(F.col("_w_source")), "left").drop("_w_source").fillna(0.0, ["weight"])
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document exceeds ``most_epochs`` times its size. Null text has size 0; null source is a source;
     rows that agree in id, source and size are interchangeable. An empty table gives an empty result;
     a source that the weight table lacks has weight 0. Reruns agree. Only ids, sources, sizes and keys
-    are shuffled; a source is cut into cells by ranges of the key, so its size does not matter.
+    are shuffled; a source is cut into cells by ranges of the key, as many as its rows ask for.
     """
     return _taken(docs, id_col, text_col, source_col, weights, most_epochs, seed).drop("_text")
 

@@ -130,11 +130,12 @@ def uniform_shards(rows: DataFrame, shards: int = 24, seed: int = 10) -> DataFra
     """Adds ``shard`` (0 to shards - 1, sizes at most one apart) and ``slot`` (gapless from 0 in a shard).
 
     Every assignment of rows to shards and slots is equally likely. Equal rows and null values are rows
-    like any other; an empty table gives an empty result. The input's columns must not be named
-    ``shard``, ``slot`` or begin with ``_mr_``. Wide columns travel with the rows: pass what is needed.
+    like any other; an empty table gives an empty result. Input columns named ``shard`` or ``slot`` are
+    replaced. Wide columns travel with the rows: pass what is needed.
     Place in the input is part of a row's random key, so a key that a third of all rows share is dealt
     out evenly; the keyed rows are checkpointed once, and a lost executor changes nothing.
     """
+    rows = rows.drop("shard", "slot")
     keyed = rows.withColumn("_mr_key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
     kept = pinned(keyed.sortWithinPartitions("_mr_key"))  # the local permutation: its order is what is stored
     total, last = kept.select(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)), F.max("p")).first()

@@ -23,8 +23,8 @@ WINDOW = 48  # words
 LEAST_WORDS = 24  # a shorter window is filled up with neutral words
 WORDS = 100_000  # words remembered by a worker
 #: The sample that a model is fitted on: documents of each label, windows of a document.
-TRAIN_DOCS = {1: 2_000, 0: 4_500}
-TRAIN_WINDOWS = 16
+TRAIN_DOCS = {1: 2_000, 0: 3_500}
+TRAIN_WINDOWS = 12
 RARE = 0.003  # share of the sample's documents below which an n-gram is not learned
 _WORDS_AT_ONCE = 20_000
 STEPS, REFINE, RATE = 300, (200, 230), 0.04
@@ -262,14 +262,19 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 4) -> Model:
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
     chosen = ids.withColumnRenamed("doc_id", "_id")
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", _windows("text").alias("all"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", _windows("text").alias("all"))
     # distinct ordered by hash: a random choice that does not depend on how the rows are dealt out
     some = F.transform(F.slice(F.array_sort(F.transform("all", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, TRAIN_WINDOWS), lambda s: s.w)
     rows = texts.select("doc_id", "toxic", F.explode(some).alias("window")).orderBy("doc_id", "window").toPandas()
-    return fit(rows["window"].tolist(), rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(dtype=int), counts[1] / max(1, sum(counts.values())), seed)
+    windows, ids_of, toxic = rows["window"].tolist(), rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(dtype=int)
+    del rows
+    return fit(windows, ids_of, toxic, counts[1] / max(1, sum(counts.values())), seed)
 
 
 def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 from a score of 0.5). Without toxic labels to learn from, all scores are near 0."""
+    """``docs`` with ``score`` and ``predicted`` (1 from a score of 0.5); input columns of those names are replaced.
+
+    Null text counts as empty. Without toxic labels to learn from, all scores are near 0. ``docs`` may be empty.
+    """
     model = train(docs, labels)
     return docs.withColumn("score", scores(F.col(text_col), model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
