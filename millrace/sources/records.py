@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import text as tx
 from millrace.operators.planning import IDENTITY
 from millrace.operators.view import embedded, from_embedded
 
@@ -53,7 +54,7 @@ def from_markdown(rows: DataFrame) -> DataFrame:
     visible = F.struct(
         F.regexp_extract("markdown", r"### `([^`]*)`", 1).alias("path"),
         *[F.lit(None).cast("string").alias(c) for c in ("hash", "language")],
-        F.nullif(F.trim(F.regexp_extract("markdown", r"(?s)### `[^`]*`\n\n(.*?)(?:\n\n<!--|\z)", 1)), F.lit("")).alias("description"),
+        F.nullif(tx.strip(F.regexp_extract("markdown", r"(?s)### `[^`]*`\n\n(.*?)(?:\n\n<!--|\z)", 1)), F.lit("")).alias("description"),
         F.lit(None).cast("array<string>").alias("key_concepts"),
         *[F.lit(None).cast("string").alias(k) for k in IDENTITY],
     )
