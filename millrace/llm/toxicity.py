@@ -20,7 +20,7 @@ GRAMS = (3, 4, 5)  # bytes
 BUCKETS = 1 << 18
 WIDTH = 8
 WINDOW = 48  # words
-LEAST_WORDS = 24  # a shorter window is filled up with neutral words
+LEAST_WORDS = 24  # a window of fewer different words is filled up with neutral ones
 WORDS = 100_000  # words remembered by a worker
 #: The sample that a model is fitted on: documents of each label, windows of a document.
 TRAIN_DOCS = {1: 2_000, 0: 3_500}
@@ -28,6 +28,8 @@ TRAIN_WINDOWS = 12
 RARE = 0.003  # share of the sample's documents below which an n-gram is not learned
 _WORDS_AT_ONCE = 20_000
 STEPS, REFINE, RATE = 300, (200, 230), 0.04
+LOOK = 10  # steps between looks at the documents not trained on; the best model stays
+EASY = 0.1  # weight, beside their odds, of clean windows once windows are told apart
 _CHARS = 1 << 20
 
 
@@ -94,20 +96,26 @@ def _frequent(words: list[str], ids: np.ndarray, docs: np.ndarray, least: int) -
     return buckets[kept], owner[kept], counts
 
 
+def _kept(truth: np.ndarray) -> np.ndarray:
+    """A random fifth of the sample's documents, the same each time, is not trained on, if that holds enough toxic ones."""
+    fifth = np.random.default_rng(5).random(len(truth)) < 0.2
+    return fifth if truth[fifth].sum() >= 20 else np.zeros(len(truth), bool)
+
+
 def fit(windows: list[str], docs: np.ndarray, labels: np.ndarray, toxic_share: float = 0.5, seed: int = 4) -> Model:
     """``docs``: the document of each window; ``labels``: that document's label; ``toxic_share``: of label 1 among all.
 
     Every window first carries its document's label; later, windows of toxic documents count only where the
     model already finds them toxic, or as the worst of their document. Vectors and softmax are trained
     together by gradient descent over all windows, either label weighing the same, with steps measured by
-    the largest slope, so that n-grams of many toxic windows move most; rare n-grams stay neutral. Every
-    fifth document is not trained on: these set the threshold.
+    the largest slope, so that n-grams of many toxic windows move most; rare n-grams stay neutral. A
+    fifth of the documents is not trained on: these choose the step to stop at, and the threshold.
     """
     if not len(windows) or not labels.any():
         return Model(np.zeros(BUCKETS, np.float32), -20.0, 1.0)
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    parts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in x.split()), np.int32) for x in windows]
+    parts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(x.split())), np.int32) for x in windows]
     sizes = np.fromiter(map(len, parts), np.int32, len(parts))
     ids = np.concatenate(parts)
     del parts
@@ -118,7 +126,7 @@ def fit(windows: list[str], docs: np.ndarray, labels: np.ndarray, toxic_share: f
     share = (1.0 / counts).astype(np.float32)
     truth = np.zeros(doc.max() + 1, int)
     truth[doc] = labels
-    kept = (np.arange(len(truth)) % 5 == 0) if (truth[::5] == 1).sum() >= 20 else np.zeros(len(truth), bool)
+    kept = _kept(truth)
     toxic, trained = labels == 1, ~kept[doc]
     vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out = np.tile(np.array([-0.5, 0.5], np.float32), (WIDTH, 1)) + rng.normal(0, 0.01, (WIDTH, 2)).astype(np.float32)
@@ -136,13 +144,26 @@ def fit(windows: list[str], docs: np.ndarray, labels: np.ndarray, toxic_share: f
         np.maximum.at(found, doc, values)
         return found
 
-    use = trained.copy()
+    judged = kept if kept.any() else np.ones(len(truth), bool)
+    use, best, found = trained.copy(), -1.0, vectors @ (out[:, 1] - out[:, 0])
     for step in range(STEPS):
         z = odds() + bias[1] - bias[0]
+        if step % LOOK == 0 or step == STEPS - 1:
+            order = _order(worst(z)[judged], truth[judged])
+            if order >= best:
+                best, found = order, vectors @ (out[:, 1] - out[:, 0])
         if step in REFINE:
             use = trained & (~toxic | (z > 0) | (z >= worst(z)[doc]))
-        weight = np.where(toxic, 0.5 / max(1, (use & toxic).sum()), 0.5 / max(1, (use & ~toxic).sum())) * use
-        slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic) * weight  # of the softmax's second output; the first has its negative
+        chance = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+        p = chance(z)
+        hard = (EASY + p) * (use & ~toxic) if step >= REFINE[0] else (use & ~toxic).astype(float)
+        weight = np.where(toxic, 0.5 * use / max(1, (use & toxic).sum()), 0.5 * hard / max(1e-9, hard.sum()))
+        for _ in range(4):  # the bias is solved for, so that what all windows share says nothing
+            p = chance(z)
+            shift = float(np.clip(((p - toxic) * weight).sum() / max(1e-6, (p * (1 - p) * weight).sum()), -5, 5))
+            z -= shift
+            bias += np.array([0.5, -0.5]) * shift
+        slope = (chance(z) - toxic) * weight  # of the softmax's second output; the first has its negative
         per_word = np.bincount(ids, np.repeat(slope / divisor, sizes), len(vocabulary))
         spread = np.bincount(buckets, (share * per_word).astype(np.float32)[owner], BUCKETS).astype(np.float32)
         slopes = [np.outer(spread, out[:, 1] - out[:, 0]), np.outer(vectors.T @ spread, np.array([-1, 1], np.float32))]
@@ -150,15 +171,22 @@ def fit(windows: list[str], docs: np.ndarray, labels: np.ndarray, toxic_share: f
             moving *= 0.9
             moving -= rate * (1 - step / STEPS) * g / (np.abs(g).max() + 1e-12)
             value += moving
-        bias += np.array([1, -1]) * 0.5 * slope.sum()
     seen = np.zeros(BUCKETS, bool)
     seen[buckets] = True
-    values = (vectors @ (out[:, 1] - out[:, 0])) * seen
-    judged = kept if kept.any() else np.ones(len(truth), bool)
+    values = found * seen
+    vectors, out = values[:, None], np.array([[0.0, 1.0]], np.float32)  # what ``odds`` reads
     at, scale = _threshold(worst(odds())[judged], truth[judged], toxic_share)
     return Model(values.astype(np.float32), -at * scale, scale)
 
 
+def _order(odds: np.ndarray, labels: np.ndarray) -> float:
+    """How often a toxic document stands above a clean one (ties half)."""
+    _, place, count = np.unique(odds, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    toxic = int(labels.sum())
+    return float((rank[labels == 1].sum() - toxic * (toxic + 1) / 2) / max(1, toxic * (len(labels) - toxic)))
+
+
 def _threshold(worst: np.ndarray, truth: np.ndarray, toxic_share: float) -> tuple[float, float]:
     """The middle of the gap with the best F1 at the given share of toxic documents, and a slope for its width."""
     order = np.argsort(worst)
@@ -180,6 +208,11 @@ class _Scorer:
         self.model, self.known = model, {}
 
     def scores(self, texts: list[str]) -> list[float]:
+        odds = self.model.scale * np.array(self.worst(texts)) + self.model.bias
+        return (1 / (1 + np.exp(-np.clip(odds, -40, 40)))).tolist()
+
+    def worst(self, texts: list[str]) -> list[float]:
+        """Log odds of the worst window of each text, before bias and scale; 0 for a text without words."""
         rows = [words_of(t) for t in texts]
         if len(self.known) > WORDS:
             self.known.clear()
@@ -191,12 +224,9 @@ class _Scorer:
             known.update(zip(new, (sums / np.diff(np.append(starts, len(buckets)))).tolist(), strict=True))
         found = []
         for row in rows:
-            worst = 0.0
-            if row:
-                values = np.fromiter(map(known.__getitem__, row), np.float64, len(row))
-                starts = _cut(len(row))
-                worst = (np.add.reduceat(values, starts) / np.maximum(LEAST_WORDS, np.diff(np.append(starts, len(row))))).max()
-            found.append(float(1 / (1 + np.exp(-np.clip(self.model.scale * worst + self.model.bias, -40, 40)))))
+            starts = _cut(len(row)).tolist()
+            bags = [set(row[a:b]) for a, b in zip(starts, [*starts[1:], len(row)], strict=True)] if row else []
+            found.append(max((sum(map(known.__getitem__, bag)) / max(LEAST_WORDS, len(bag)) for bag in bags), default=0.0))
         return found
 
 
@@ -223,6 +253,17 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
         yield own
 
 
+def worst(text: Column, model: Model) -> Column:
+    """Log odds of the worst window of a whole text, before the threshold."""
+
+    @F.arrow_udf(T.DoubleType())
+    def of(texts: pa.Array) -> pa.Array:
+        plain = [t or "" for t in texts.to_pylist()]
+        return pa.array([s for part in _portions(plain) for s in _scorer(model).worst(part)], type=pa.float64())
+
+    return of(text)
+
+
 def scores(text: Column, model: Model) -> Column:
     """0 to 1, higher where label 1 is likelier. Null counts as empty; an empty text has the odds of a neutral word."""
 
@@ -254,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 4) -> Model:
     """Fits on a bounded sample: TRAIN_DOCS documents of each label in the order of a hash of their ids,
     TRAIN_WINDOWS windows of each in the order of a hash of the window. Ids that are held out, null labels and
     labels without a document are left out; of several labels of an id the higher counts. Only ids are
-    collected to choose the sample, then its windows."""
+    collected to choose the sample, then its windows, then the odds of those not trained on."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {label: known.filter(F.col("toxic") == label).count() for label in TRAIN_DOCS}
     ids = None
@@ -268,7 +309,17 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 4) -> Model:
     rows = texts.select("doc_id", "toxic", F.explode(some).alias("window")).orderBy("doc_id", "window").toPandas()
     windows, ids_of, toxic = rows["window"].tolist(), rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(dtype=int)
     del rows
-    return fit(windows, ids_of, toxic, counts[1] / max(1, sum(counts.values())), seed)
+    share = counts[1] / max(1, sum(counts.values()))
+    model = fit(windows, ids_of, toxic, share, seed)
+    sample, first = np.unique(ids_of, return_index=True)
+    kept = _kept(toxic[first])
+    if not kept.any():
+        return model
+    # the threshold, from whole texts of the documents that were not trained on
+    judged = docs.sparkSession.createDataFrame([(int(i), int(t)) for i, t in zip(sample[kept], toxic[first][kept], strict=True)], "_id long, toxic int")
+    raw = docs.select("doc_id", "text").join(F.broadcast(judged), F.col("doc_id") == F.col("_id")).select("toxic", worst(F.col("text"), model).alias("odds")).toPandas()
+    at, scale = _threshold(raw["odds"].to_numpy(), raw["toxic"].to_numpy(dtype=int), share)
+    return Model(model.values, -at * scale, scale)
 
 
 def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
