@@ -67,9 +67,9 @@ def signalled(message: Column, signals: Column) -> Column:
 
 #: The verdict for each reason of a failed call.
 VERDICTS = {
-    "provider-billing": "terminal_billing", "provider-rate-limit": "rate_limit", "provider-overloaded": "rate_limit",
-    "provider-authentication": "global", "provider-model-unavailable": "global", "provider-input-rejected": "input",
-    "provider-request-failed": "transient",
+    "provider-quota-exhausted": "terminal_billing", "provider-authentication-rejected": "global", "provider-model-unavailable": "global", "provider-rate-limited": "rate_limit",
+    "provider-input-rejected": "input", "provider-output-truncated": "input", "provider-timeout": "transient", "provider-connection-failed": "transient",
+    "provider-response-malformed": "transient", "provider-request-failed": "transient",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a truncated text carries between head and tail, and the share of the head.
-MARKER = "\n\n... [truncated] ...\n\n"
+MARKER = "\n... [truncated] ...\n"
 HEAD_SHARE = 0.7
 #: Every sign that ends a line for Python's splitlines.
 _BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85  "

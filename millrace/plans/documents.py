@@ -256,7 +256,7 @@ _WORDS = """words0 AS (SELECT doc_id, source AS folder, list_slice(regexp_split_
 words AS (SELECT folder, doc_id * 100 + generate_subscripts(ws, 1) - 1 AS ord, unnest(ws) AS concept FROM words0),
 counted AS (SELECT folder, concept, count(*) AS n, min(ord) AS first_ FROM words WHERE concept <> '' GROUP BY folder, concept),
 top AS (SELECT folder, CAST(row_number() OVER (PARTITION BY folder ORDER BY n DESC, first_) AS INTEGER) AS rank, concept, n FROM counted QUALIFY rank <= 5)"""
-_MARK = "chr(10) || chr(10) || '... [truncated] ...' || chr(10) || chr(10)"
+_MARK = "chr(10) || '... [truncated] ...' || chr(10)"
 
 ORACLE_SQL = {
     "plan_route_summary": f"""WITH {_PLAN} SELECT route, count(*) AS files, CAST(sum(chars) AS BIGINT) AS chars,
@@ -273,7 +273,7 @@ SELECT route, count(*) AS files, count(*) FILTER (changed) AS changed FROM route
     "reuse_anti_join": f"WITH {_PLAN} SELECT rel, hash FROM planned WHERE NOT reuse",
     "content_hash_duplicates": f"WITH {_FILES} SELECT hash, count(*) AS copies, min(rel) AS first_rel FROM files GROUP BY hash HAVING count(*) > 1",
     "hash_candidates": f"WITH {_FILES} SELECT rel, hash, candidate FROM (SELECT rel, hash, first(rel) OVER (PARTITION BY hash ORDER BY doc_id) AS candidate FROM files) WHERE candidate <> rel",
-    "truncate_head_tail": f"""WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE concat(substr(text, 1, CAST(floor((2000 - 23) * 0.7::DOUBLE) AS INT)), {_MARK}, right(text, 2000 - 23 - CAST(floor((2000 - 23) * 0.7::DOUBLE) AS INT))) END AS t FROM documents)
+    "truncate_head_tail": f"""WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE concat(substr(text, 1, CAST(floor((2000 - 21) * 0.7::DOUBLE) AS INT)), {_MARK}, right(text, 2000 - 21 - CAST(floor((2000 - 21) * 0.7::DOUBLE) AS INT))) END AS t FROM documents)
 SELECT doc_id, length(t) AS chars, sha256(t) AS digest FROM c""",
     "token_budget_by_source": "SELECT source, CAST(sum(greatest(1, (length(text) + 3) // 4)) AS BIGINT) AS tokens, max(greatest(1, (length(text) + 3) // 4)) AS largest, count(*) FILTER (greatest(1, (length(text) + 3) // 4) > 3000) AS above_3000 FROM documents GROUP BY source",
     "line_atoms": f"WITH {_ATOMS} SELECT rel, ord, chars, start_byte, end_byte FROM atoms",

@@ -110,7 +110,7 @@ def terminology(spark, sf):
 
 
 def usage_examples(spark, sf):
-    said = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, "new mywidget(); ").otherwise(""), F.substring("text", 1, 20)).alias("example"))
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, "import Your_App; ").otherwise(""), F.substring("text", 1, 20)).alias("example"))
     return said.select("conv_id", "turn", rs.usage_example(F.col("example")).alias("example"))
 
 
@@ -175,7 +175,7 @@ def backoff_ladder(spark, sf):
 
 
 def failure_verdicts(spark, sf):
-    rows = [(i, c, r) for i in (True, False) for c in (True, False) for r in (None, "provider-billing", "provider-rate-limit", "provider-authentication", "provider-input-rejected")]
+    rows = [(i, c, r) for i in (True, False) for c in (True, False) for r in (None, "provider-quota-exhausted", "provider-rate-limited", "provider-authentication-rejected", "provider-input-rejected")]
     frame = spark.createDataFrame(rows, "insufficient boolean, contract boolean, reason string")
     return frame.withColumn("verdict", cl.failure(F.col("insufficient"), F.col("contract"), F.col("reason")))
 
@@ -342,8 +342,8 @@ SELECT queue, seq, outcome, run, coalesce(max(CAST(run >= 5 AS INT)) OVER (PARTI
     "backoff_ladder": """WITH w AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS workers), l AS (SELECT workers, CASE WHEN workers = 1 THEN [1] WHEN workers = 2 THEN [2, 1] WHEN workers = 3 THEN [3, 2, 1] ELSE [workers, workers // 2, 1] END AS ls FROM w),
 u AS (SELECT workers, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS rung, CAST(unnest(ls) AS INTEGER) AS level FROM l)
 SELECT workers, rung, level, least(60.0::DOUBLE, CASE WHEN workers % 3 = 0 THEN workers * 20.0::DOUBLE ELSE 2.0 * pow(3.0, rung) END) AS seconds FROM u""",
-    "failure_verdicts": """WITH p AS (SELECT * FROM (SELECT unnest([true, false]) AS insufficient) CROSS JOIN (SELECT unnest([true, false]) AS contract) CROSS JOIN (SELECT unnest([NULL, 'provider-billing', 'provider-rate-limit', 'provider-authentication', 'provider-input-rejected']) AS reason))
-SELECT *, CASE WHEN insufficient THEN 'insufficient_source' WHEN contract THEN 'response_contract_final' WHEN reason = 'provider-billing' THEN 'terminal_billing' WHEN reason = 'provider-rate-limit' THEN 'rate_limit' WHEN reason = 'provider-authentication' THEN 'global' WHEN reason = 'provider-input-rejected' THEN 'input' ELSE 'transient' END AS verdict FROM p""",
+    "failure_verdicts": """WITH p AS (SELECT * FROM (SELECT unnest([true, false]) AS insufficient) CROSS JOIN (SELECT unnest([true, false]) AS contract) CROSS JOIN (SELECT unnest([NULL, 'provider-quota-exhausted', 'provider-rate-limited', 'provider-authentication-rejected', 'provider-input-rejected']) AS reason))
+SELECT *, CASE WHEN insufficient THEN 'insufficient_source' WHEN contract THEN 'response_contract_final' WHEN reason = 'provider-quota-exhausted' THEN 'terminal_billing' WHEN reason = 'provider-rate-limited' THEN 'rate_limit' WHEN reason = 'provider-authentication-rejected' THEN 'global' WHEN reason = 'provider-input-rejected' THEN 'input' ELSE 'transient' END AS verdict FROM p""",
     "feasibility_notes": "SELECT * FROM (VALUES ('Describe the whole Repository', 'repository_scope'), ('list all files that import it', 'importers'), ('usages across other modules', 'other_modules'), ('every known reference to it, all references', 'all_references'), ('only this file', NULL), ('repo-wide codebase', 'repository_scope'), ('all imports from x', 'all_imports_from'), ('its callers', 'callers')) AS t(instruction, category)",
     "provider_choice": """WITH p AS (SELECT * FROM (SELECT unnest(['auto', 'openai', NULL]) AS name) CROSS JOIN (SELECT unnest(['claude-x', 'Gemini-2', 'gpt-x', '']) AS model))
 SELECT *, CASE WHEN name = 'openai' THEN 'openai' WHEN lower(model) LIKE 'claude%' THEN 'anthropic' WHEN lower(model) LIKE 'gemini%' THEN 'gemini' ELSE 'openai' END AS provider FROM p""",

@@ -13,7 +13,8 @@ LANGUAGES = {
     ".html": "html", ".htm": "html", ".kt": "kotlin", ".swift": "swift", ".go": "go", ".rb": "ruby", ".rs": "rust", ".cpp": "cpp", ".c": "c",
     ".h": "c", ".hpp": "cpp",
 }
-SKIPPED = ("__pycache__", "venv", "env", "myenv", "node_modules", "site-packages", "dist-packages", "dist", "build")
+SKIPPED = ("__pycache__", "venv", "env", "myenv", "node_modules", "site-packages", "dist-packages", "dist", "build", "target")
+ENTRIES = ("index.html", "main.tsx", "main.ts", "main.js", "main.py", "main.dart", "Main.java", "Program.cs")
 MOST_KB = 500
 
 
@@ -63,7 +64,7 @@ def read_files(spark: SparkSession, root: str, **rules) -> DataFrame:
     return kept.withColumn("s", snapshot(F.col("content"))).select("rel", "extension", "language", "s.hash", "s.content")
 
 
-def entry(files: DataFrame, candidates: tuple[str, ...], hint: str | None = None) -> str | None:
+def entry(files: DataFrame, candidates: tuple[str, ...] = ENTRIES, hint: str | None = None) -> str | None:
     """The hint, which must lie inside the project, if it is a file; else the first candidate that is one."""
     if hint is not None:
         turned = hint.replace("\\", "/")
