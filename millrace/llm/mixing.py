@@ -30,7 +30,7 @@ def cycle_weights(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.
 def targets(sources: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """Adds ``target``: 100 % of all sizes by weight, at most ``most_epochs`` times a source's size.
 
-    ``sources`` is (source, source_size, weight). Capping and resharing until none is above ends where
+    ``sources`` is (source, source_size, weight); a weight of 0 or less gets nothing. Capping and resharing until none is above ends where
     sources are capped in the order of cap over weight, so one pass over that order finds it.
     """
     cap = F.col("source_size") * F.lit(float(most_epochs))
@@ -38,16 +38,19 @@ def targets(sources: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     everything = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = sources.withColumn("_all", F.sum(F.col("source_size").cast("double")).over(whole))
+    nothing = summed.filter("weight <= 0").drop("_all").withColumn("target", F.lit(0.0))
     seen = (
-        sources.withColumn("_cap", cap)
-        .withColumn("_all", F.sum(F.col("source_size").cast("double")).over(everything))
+        summed.filter("weight > 0")
+        .withColumn("_cap", cap)
         .withColumn("_left", F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_weights", F.sum("weight").over(after))
         .withColumn("_full", F.col("_left") * F.col("weight") >= F.col("_cap") * F.col("_weights"))
     )
     free = ~F.col("_full")
     share = F.first(F.when(free, F.col("_left")), ignorenulls=True).over(everything) * F.col("weight") / F.first(F.when(free, F.col("_weights")), ignorenulls=True).over(everything)
-    return seen.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(share)).drop("_cap", "_all", "_left", "_weights", "_full")
+    return seen.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(share)).drop("_cap", "_all", "_left", "_weights", "_full").unionByName(nothing)
 
 
 def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, most_epochs: int, seed: int) -> DataFrame:
@@ -65,8 +68,7 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     per_source = per_source.drop("_cells").withColumn("source", F.when(~F.col("_none"), F.col("_name")))
     if isinstance(weights, DataFrame):
         given = weights.select(F.col("source").alias("_w_source"), F.col("weight").cast("double").alias("weight"))
-        weighted = per_source.join(given, F.col("source").eqNullSafe(F.col("_w_source")), "left").drop("_w_source").fillna(0.0, ["weight"])
-        weighted = targets(weighted.filter("weight > 0"), most_epochs).unionByName(weighted.filter("weight <= 0").withColumn("target", F.lit(0.0)))
+        weighted = targets(per_source.join(given, F.col("source").eqNullSafe(F.col("_w_source")), "left").drop("_w_source").fillna(0.0, ["weight"]), most_epochs)
     else:
         weighted = targets(cycle_weights(per_source, weights), most_epochs)
     budget = F.floor("target").cast("bigint")
