@@ -123,15 +123,11 @@ def topological(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     their last dependency, then by path, which is the order of a queue.
     """
     graph = pinned(graph.select("src", "dst").distinct())
-    left = pinned(nodes.select("node").unionByName(graph.select(F.col("src").alias("node"))).unionByName(graph.select(F.col("dst").alias("node"))).distinct())
+    every = pinned(nodes.select("node").unionByName(graph.select(F.col("src").alias("node"))).unionByName(graph.select(F.col("dst").alias("node"))).distinct())
+    sources = lambda e: e.select(F.col("src").alias("node")).distinct()
+    due = pinned(every.join(sources(graph), "node", "left_anti").withColumn("last", F.lit(-1).cast("bigint")))
     done, level, start, open_edges = None, 0, 0, graph
-    last = left.select("node", F.lit(-1).cast("bigint").alias("last")).limit(0)
-    while True:
-        due = left.join(open_edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        due = pinned(due.join(last, "node", "left").fillna(-1, ["last"]))
-        size = due.count()
-        if not size:
-            break
+    while size := due.count():
         if size <= SMALL_LEVEL:
             place = F.row_number().over(Window.orderBy("last", "node")) - 1 + start
             found = due.withColumn("rank", place.cast("bigint"))
@@ -141,11 +137,13 @@ def topological(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         done = found if done is None else done.unionByName(found)
         if level % 16 == 15:
             done = pinned(done)
-        left = pinned(left.join(due, "node", "left_anti"))
-        open_edges = pinned(open_edges.join(due.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-        # a node of the next level has its last dependency in this one
-        last = graph.join(found.select(F.col("node").alias("dst"), "rank"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("rank").alias("last"))
         level, start = level + 1, start + size
+        # a node of the next level has its last dependency in this one, and no edge that is still open
+        reached = found.select(F.col("node").alias("dst"), "rank")
+        open_edges = pinned(open_edges.join(reached, "dst", "left_anti").select("src", "dst"))
+        last = graph.join(reached, "dst").groupBy(F.col("src").alias("node")).agg(F.max("rank").alias("last"))
+        due = pinned(last.join(sources(open_edges), "node", "left_anti"))
+    left = every if done is None else every.join(done, "node", "left_anti")
     rest = numbered(left.withColumn("level", F.lit(None).cast("int")), "node", start=start)
     return rest if done is None else done.unionByName(rest)
 
