@@ -8,7 +8,6 @@ of the file, pointers jump from block to block, and what the start of the file d
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
