@@ -28,6 +28,7 @@ TRAIN_WINDOWS = 12
 RARE = 0.003  # share of the sample's documents below which an n-gram is not learned
 _WORDS_AT_ONCE = 20_000
 STEPS, REFINE, RATE = 300, (200, 230), 0.04
+LEAST_KEPT = 20  # toxic documents that must be among those not trained on
 LOOK = 10  # steps between looks at the documents not trained on; the best model stays
 EASY = 0.1  # weight, beside their odds, of clean windows once windows are told apart
 _CHARS = 1 << 20
@@ -99,7 +100,7 @@ def _frequent(words: list[str], ids: np.ndarray, docs: np.ndarray, least: int) -
 def _kept(truth: np.ndarray) -> np.ndarray:
     """A random fifth of the sample's documents, the same each time, is not trained on, if that holds enough toxic ones."""
     fifth = np.random.default_rng(5).random(len(truth)) < 0.2
-    return fifth if truth[fifth].sum() >= 20 else np.zeros(len(truth), bool)
+    return fifth if truth[fifth].sum() >= LEAST_KEPT else np.zeros(len(truth), bool)
 
 
 def fit(windows: list[str], docs: np.ndarray, labels: np.ndarray, toxic_share: float = 0.5, seed: int = 4) -> Model:
@@ -187,6 +188,27 @@ def _order(odds: np.ndarray, labels: np.ndarray) -> float:
     return float((rank[labels == 1].sum() - toxic * (toxic + 1) / 2) / max(1, toxic * (len(labels) - toxic)))
 
 
+FOLDS = 4
+
+
+def _crossed(model: Model, windows: list[str], docs: np.ndarray, labels: np.ndarray, toxic_share: float, seed: int) -> Model:
+    """The model with a threshold from models that did not see the documents they judge, where labels are few."""
+    _, doc = np.unique(docs, return_inverse=True)
+    if not len(doc) or labels.sum() < FOLDS:
+        return model
+    fold = np.random.default_rng(seed).integers(0, FOLDS, doc.max() + 1)[doc]
+    found, truth = np.full(doc.max() + 1, -np.inf), np.zeros(doc.max() + 1, int)
+    truth[doc] = labels
+    for f in range(FOLDS):
+        own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        if len(own) and labels[rest].any():
+            other = fit([windows[i] for i in rest], docs[rest], labels[rest], toxic_share, seed)
+            np.maximum.at(found, doc[own], _Scorer(other).worst([windows[i] for i in own]))
+    seen = np.isfinite(found)
+    at, scale = _threshold(found[seen], truth[seen], toxic_share)
+    return Model(model.values, -at * scale, scale)
+
+
 def _threshold(worst: np.ndarray, truth: np.ndarray, toxic_share: float) -> tuple[float, float]:
     """The middle of the gap with the best F1 at the given share of toxic documents, and a slope for its width."""
     order = np.argsort(worst)
@@ -314,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 4) -> Model:
     sample, first = np.unique(ids_of, return_index=True)
     kept = _kept(toxic[first])
     if not kept.any():
-        return model
+        return _crossed(model, windows, ids_of, toxic, share, seed)
     # the threshold, from whole texts of the documents that were not trained on
     judged = docs.sparkSession.createDataFrame([(int(i), int(t)) for i, t in zip(sample[kept], toxic[first][kept], strict=True)], "_id long, toxic int")
     raw = docs.select("doc_id", "text").join(F.broadcast(judged), F.col("doc_id") == F.col("_id")).select("toxic", worst(F.col("text"), model).alias("odds")).toPandas()
