@@ -88,10 +88,20 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
-        whole = m.group().replace(" ", "")
-        if 15 <= len(whole) <= 34 and mod97(whole):
-            yield m.span()
+    """The longest part of a match that mod-97 confirms, ending where a word ends; then on from its end, or else from the next start."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        end = m.end()
+        while end > m.start():
+            whole = text[m.start() : end].replace(" ", "")
+            if len(whole) < 15:
+                break
+            if mod97(whole):
+                yield m.start(), end
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
 
 
 _FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans}

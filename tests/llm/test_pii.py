@@ -80,3 +80,22 @@ def test_long_runs_take_linear_time():
     for t in ("a" * 2_000_000, "1" * 2_000_000, "1." * 1_000_000, "1 " * 1_000_000, "+" * 2_000_000, "a@" * 500_000, "A" * 1_000_000, "+1 " * 500_000, "AB12" * 300_000):
         pii.spans(t)
     assert time.time() - began < 60
+
+
+def test_ibans_before_other_capitals_and_digits():
+    def ibans(t):
+        return [t[a:b] for a, n, b, _ in pii.spans(t) if pii.KINDS[n] == "iban"]
+
+    spaced, solid, other = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for t in (f"{spaced} BIC COBADEFFXXX", f"{spaced} I paid", f"to {spaced} 2024", f"AB12 {spaced} X"):
+        assert ibans(t) == [spaced], t
+    assert ibans(f"{solid} 2024") == ibans(f"AA00 1234 {solid} I") == [solid]
+    assert ibans(f"{spaced} {other} A1") == [spaced, other]
+    assert ibans("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") == []
+    assert pii.redact(f"{solid} I paid") == "[IBAN] I paid"
+
+
+def test_many_starts_of_ibans_take_linear_time():
+    began = time.time()
+    pii.spans("AB12 " * 100_000)
+    assert time.time() - began < 30
