@@ -170,7 +170,7 @@ def folder_summaries(spark, sf):
 
 
 def source_acronyms(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(rs.acronyms(F.translate(F.substring("text", 1, 300), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("acronym"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(rs.acronyms(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("acronym"))
 
 
 def call_manifest(spark, sf):

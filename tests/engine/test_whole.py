@@ -1,0 +1,22 @@
+"""Queries over whole tables and texts, held against their SQL without its cuts."""
+
+import pytest
+
+from millrace.plans import registry
+from tests.oracle import connect, same_rows
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    return connect(sf)
+
+
+def uncut(name, *cuts):
+    sql = registry.ORACLE_SQL[name]
+    for old, new in cuts:
+        sql = sql.replace(old, new)
+    return sql
+
+
+def test_source_acronyms(spark, sf, duck):
+    same_rows(registry.QUERIES["source_acronyms"](spark, sf), duck, uncut("source_acronyms", ("substr(text, 1, 300)", "text")))
