@@ -155,8 +155,8 @@ def folder_rollup(spark, sf):
 
 
 def _concepts(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.col("source").alias("folder"), F.posexplode(F.slice(F.split("text", "[^A-Za-z]+"), 1, 40)).alias("pos", "concept"))
-    return words.filter("concept <> ''").select("folder", (F.col("doc_id") * 100 + F.col("pos")).alias("ord"), "concept")
+    words = table(spark, sf, "documents").select("doc_id", F.col("source").alias("folder"), F.posexplode(F.split("text", "[^A-Za-z]+")).alias("pos", "concept"))
+    return words.filter("concept <> ''").select("folder", F.struct("doc_id", "pos").alias("ord"), "concept")
 
 
 def folder_top_concepts(spark, sf):

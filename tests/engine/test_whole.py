@@ -20,3 +20,11 @@ def uncut(name, *cuts):
 
 def test_source_acronyms(spark, sf, duck):
     same_rows(registry.QUERIES["source_acronyms"](spark, sf), duck, uncut("source_acronyms", ("substr(text, 1, 300)", "text")))
+
+
+WORDS = (("list_slice(regexp_split_to_array(text, '[^A-Za-z]+'), 1, 40)", "regexp_split_to_array(text, '[^A-Za-z]+')"), ("doc_id * 100 +", "doc_id * 1000000 +"))
+
+
+@pytest.mark.parametrize("name", ["folder_top_concepts", "folder_summaries"])
+def test_concepts(spark, sf, duck, name):
+    same_rows(registry.QUERIES[name](spark, sf), duck, uncut(name, *WORDS))
