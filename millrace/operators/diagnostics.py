@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +77,31 @@ def quotas(groups: DataFrame, budget: int) -> DataFrame:
 
 def severities(issues: DataFrame) -> DataFrame:
     """(level, n, messages): messages of errors only, in order."""
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x.message), "\n")
+    error = F.when(F.col("level") == "error", F.struct("seq", "message"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(error)), lambda x: x.message), "\n")
     return issues.groupBy("level").agg(F.count(F.lit(1)).alias("n"), listed.alias("messages")).withColumn("messages", F.when(F.col("level") == "error", F.col("messages")))
 
 
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest, some = hashlib.sha256(), False
+    for batch in batches:
+        for message in batch.column(1).to_pylist():
+            if message is not None:
+                digest.update(b"\n" * some + message.encode())
+                some = True
+    yield pa.RecordBatch.from_arrays([pa.array(["error"]), pa.array([digest.hexdigest()])], names=["level", "digest"])
+
+
+def severity_digests(issues: DataFrame) -> DataFrame:
+    """(level, n, digest): of errors, SHA-256 of the messages in order, a line each.
+
+    SHA-256 goes through them one after the other, so one task reads them, sorted, a batch at a time.
+    """
+    errors = issues.filter("level = 'error'").select("seq", "message").repartition(1).sortWithinPartitions("seq", "message")
+    counted = issues.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(errors.mapInArrow(_digest, "level string, digest string"), "level", "left")
+
+
 def corrections(events: DataFrame) -> DataFrame:
     of = lambda kind: F.count_if(F.col("event") == kind).alias(kind)
     return events.agg(of("contract_failure"), of("attempt"), of("success"), of("failure"))

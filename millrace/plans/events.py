@@ -191,8 +191,9 @@ def provider_choice(spark, sf):
 
 
 def error_summary(spark, sf):
-    issues = table(spark, sf, "events").filter("event_id < 300").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, "error").otherwise("warning").alias("level"), F.col("event_type").alias("message"))
-    return dg.severities(issues).select("level", "n", F.coalesce(F.sha2("messages", 256), F.lit("")).alias("messages"))
+    importable(spark)
+    issues = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, "error").otherwise("warning").alias("level"), F.col("event_type").alias("message"))
+    return dg.severity_digests(issues).select("level", "n", F.coalesce("digest", F.lit("")).alias("messages"))
 
 
 def correction_counts(spark, sf):

@@ -28,3 +28,7 @@ WORDS = (("list_slice(regexp_split_to_array(text, '[^A-Za-z]+'), 1, 40)", "regex
 @pytest.mark.parametrize("name", ["folder_top_concepts", "folder_summaries"])
 def test_concepts(spark, sf, duck, name):
     same_rows(registry.QUERIES[name](spark, sf), duck, uncut(name, *WORDS))
+
+
+def test_error_summary(spark, sf, duck):
+    same_rows(registry.QUERIES["error_summary"](spark, sf), duck, uncut("error_summary", (" WHERE event_id < 300", "")))
