@@ -216,14 +216,12 @@ def strongest_scope(spark, sf):
 
 
 def prompt_answers(spark, sf):
-    small = docs.files(spark, sf).filter("length(content) < 3000")
-    first = small.withColumn("prompt", en.prompt(F.col("rel"), F.col("language"), F.col("content"), 500)).select("rel", "prompt")
+    first = docs.files(spark, sf).withColumn("prompt", en.prompt(F.col("rel"), F.col("language"), F.col("content"), 12_000)).select("rel", "prompt")
     return en.corrected(first).groupBy("attempts").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("body").isNotNull()).alias("objects"))
 
 
 def agent_bodies(spark, sf):
-    small = docs.files(spark, sf).filter("length(content) < 1000")
-    return en.agents(small, "triple").groupBy("agent").agg(F.count(F.lit(1)).alias("calls"))
+    return en.agents(docs.files(spark, sf), "triple").groupBy("agent").agg(F.count(F.lit(1)).alias("calls"))
 
 
 def tree_answers(spark, sf):

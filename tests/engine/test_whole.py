@@ -32,3 +32,8 @@ def test_concepts(spark, sf, duck, name):
 
 def test_error_summary(spark, sf, duck):
     same_rows(registry.QUERIES["error_summary"](spark, sf), duck, uncut("error_summary", (" WHERE event_id < 300", "")))
+
+
+@pytest.mark.parametrize(("name", "cut"), [("prompt_answers", " WHERE length(text) < 3000"), ("agent_bodies", " WHERE length(text) < 1000")])
+def test_answers_for_all_files(spark, sf, duck, name, cut):
+    same_rows(registry.QUERIES[name](spark, sf), duck, uncut(name, (cut, "")))
