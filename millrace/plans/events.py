@@ -211,7 +211,7 @@ def division_figures(spark, sf):
 
 def strongest_scope(spark, sf):
     scope = F.element_at(F.array(F.lit("common"), F.lit("extension"), F.lit("file")), (F.col("event_id") % 3 + 1).cast("int"))
-    rows = table(spark, sf, "events").filter("event_id % 4 <> 1").select(F.col("user_id").alias("rel"), scope.alias("scope"))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("rel"), scope.alias("scope"))
     return dg.strongest_scope(rows, ("common", "extension", "file"))
 
 

@@ -37,3 +37,11 @@ def test_error_summary(spark, sf, duck):
 @pytest.mark.parametrize(("name", "cut"), [("prompt_answers", " WHERE length(text) < 3000"), ("agent_bodies", " WHERE length(text) < 1000")])
 def test_answers_for_all_files(spark, sf, duck, name, cut):
     same_rows(registry.QUERIES[name](spark, sf), duck, uncut(name, (cut, "")))
+
+
+def test_dependency_catalog(spark, sf, duck):
+    same_rows(registry.QUERIES["dependency_catalog"](spark, sf), duck, uncut("dependency_catalog", (" WHERE l_partkey % 5 < 2", "")))
+
+
+def test_strongest_scope(spark, sf, duck):
+    same_rows(registry.QUERIES["strongest_scope"](spark, sf), duck, uncut("strongest_scope", (" WHERE event_id % 4 <> 1", "")))
