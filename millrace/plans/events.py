@@ -110,14 +110,14 @@ def terminology(spark, sf):
 
 
 def usage_examples(spark, sf):
-    said = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, "import Your_App; ").otherwise(""), F.substring("text", 1, 20)).alias("example"))
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, "import Your_App; ").otherwise(""), F.col("text")).alias("example"))
     return said.select("conv_id", "turn", rs.usage_example(F.col("example")).alias("example"))
 
 
 def _facts(spark, sf):
     said = table(spark, sf, "conversations")
     word = F.split_part(F.trim("text"), F.lit(" "), F.lit(1))
-    return said.select(F.concat(F.lit("f"), (F.col("conv_id") % 7).cast("string")).alias("rel"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("role").alias("kind"), word.alias("name"), F.lit(None).cast("string").alias("scope"), F.lit("").alias("signature"), F.when(F.col("turn") > 0, F.substring("text", 1, 30)).alias("description"))
+    return said.select(F.concat(F.lit("f"), (F.col("conv_id") % 7).cast("string")).alias("rel"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("role").alias("kind"), word.alias("name"), F.lit(None).cast("string").alias("scope"), F.lit("").alias("signature"), F.when(F.col("turn") > 0, F.col("text")).alias("description"))
 
 
 def ledger_merge(spark, sf):
@@ -268,7 +268,7 @@ def upsert_records(spark, sf):
 
 
 def file_sections(spark, sf):
-    rows = docs.files(spark, sf).select("rel", "language", F.when(F.length("content") > 2000, F.substring("content", 1, 20)).alias("description"), F.array(F.col("language")).alias("key_concepts"))
+    rows = docs.files(spark, sf).select("rel", "language", F.when(F.length("content") > 2000, F.col("content")).alias("description"), F.array(F.col("language")).alias("key_concepts"))
     return vw.file_markdown(rows).select("rel", F.sha2("markdown", 256).alias("digest"))
 
 
@@ -293,9 +293,10 @@ def incremental_stream(spark, sf):
 def windowed_counts(spark, sf):
     import uuid
 
+    """(window_start, event_type, n) of the days that the watermark has closed; append mode gives no open ones."""
     events = inc.stream(spark, sf, table(spark, sf, "events").schema, names="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = inc.windowed(events, "ts", "1 day", "1 day", "event_type")
-    return inc.run_once(counts, uuid.uuid4().hex).groupBy("event_type").agg((F.sum("n") > 0).alias("counted"))
+    return inc.run_once(counts, uuid.uuid4().hex)
 
 
 NAMES = (

@@ -45,3 +45,16 @@ def test_dependency_catalog(spark, sf, duck):
 
 def test_strongest_scope(spark, sf, duck):
     same_rows(registry.QUERIES["strongest_scope"](spark, sf), duck, uncut("strongest_scope", (" WHERE event_id % 4 <> 1", "")))
+
+
+@pytest.mark.parametrize(("name", "cut", "whole"), [("usage_examples", "substr(text, 1, 20)", "text"), ("ledger_merge", "substr(text, 1, 30)", "text"), ("file_sections", "substr(content, 1, 20)", "content")])
+def test_whole_texts(spark, sf, duck, name, cut, whole):
+    same_rows(registry.QUERIES[name](spark, sf), duck, uncut(name, (cut, whole)))
+
+
+def test_windowed_counts(spark, sf, duck):
+    got = {(r.event_type, str(r.window_start)): r.n for r in registry.QUERIES["windowed_counts"](spark, sf).collect()}
+    every = duck.sql("SELECT event_type, date_trunc('day', ts::TIMESTAMP)::TIMESTAMP AS d, count(*) AS n, d + INTERVAL 2 DAY <= (SELECT max(ts::TIMESTAMP) FROM events) AS closed FROM events GROUP BY 1, 2").fetchall()
+    want = {(kind, str(day)): n for kind, day, n, closed in every if closed}
+    assert want and want.items() <= got.items()
+    assert got.items() <= {(kind, str(day)): n for kind, day, n, _ in every}.items()
