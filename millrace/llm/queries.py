@@ -105,7 +105,7 @@ ORACLE_SQL = {
     "op2_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat('2:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS k
+         md5(concat('2:', coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', md5(coalesce(text, '')))) AS k
   FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS s,

@@ -84,3 +84,56 @@ def test_documents_of_the_mix(odd_docs, make_docs):
 def test_query_runs_agree(spark, sf):
     first = sorted(map(tuple, queries.op2_mixing(spark, sf).collect()))
     assert first == sorted(map(tuple, queries.op2_mixing(spark, sf).collect()))
+
+
+@pytest.mark.parametrize("cells", [8192, 5])
+def test_one_id_for_a_third_of_all_rows(make_docs, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "ROWS_PER_CELL", cells)
+    rows = [(None if i % 3 == 0 else i, "w " * (i % 11 + 1) + str(i), "ab"[i % 2]) for i in range(300)]
+    docs = make_docs(rows)
+    found = mixing.mix(docs).collect()
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    want, taken = plain_targets(sizes, cycle(set(sizes))), defaultdict(int)
+    for r in found:
+        taken[r.source] += r.taken
+    assert len(found) == 300 and taken == {s: int(t + 1e-6) for s, t in want.items()}
+    key = mixing._groups(docs, "doc_id", "text", "source", (5.0, 2.0, 1.0), 3, 2).select("_key").distinct().count()
+    assert key == 300  # rows of one id have keys of their own, so they spread over the cells
+
+
+@pytest.mark.parametrize("cells", [8192, 4])
+def test_copies_of_one_row(make_docs, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "ROWS_PER_CELL", cells)
+    rows = [(7, "one two three", "a")] * 50 + [(i, "x y", "b") for i in range(100, 130)] + [(None, None, "b")] * 20
+    docs = make_docs(rows)
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in found)
+    taken = defaultdict(int)
+    for r in found:
+        taken[r.source] += r.taken
+    want = plain_targets({"a": 150, "b": 60}, {"a": 5, "b": 2})
+    assert taken == {s: int(t + 1e-6) for s, t in want.items()}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    said = defaultdict(int)
+    for r in out.collect():
+        said[r.source] += len(WORD.findall(r.text or ""))
+    assert said == taken
+    assert out.filter("doc_id is null").count() == 20
+
+
+def test_many_sources_by_rounds(make_docs, monkeypatch):
+    docs = make_docs([(i, "w " * (i * i % 97 + 1), f"s{i % 23}" if i % 24 else None) for i in range(500)])
+    want = {r.source: (r.source_size, r.target) for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    got = {r.source: (r.source_size, r.target) for r in mixing.mix(docs).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_clashing_columns(odd_docs):
+    for name in ("taken", "size", "target", "_cell", "weight"):
+        docs = odd_docs.withColumn(name, odd_docs["doc_id"])
+        assert mixing.mix(docs).count() == docs.count()
+        assert mixing.mixed_documents(docs).columns == docs.columns

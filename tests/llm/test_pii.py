@@ -99,3 +99,18 @@ def test_many_starts_of_ibans_take_linear_time():
     began = time.time()
     pii.spans("AB12 " * 100_000)
     assert time.time() - began < 30
+
+
+def test_context_words_are_whole_words():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text in (f"send it to my partner: {iban}", f"the apartment, {iban}", f"serialised {iban}"):
+        assert pii.redact(text) == text.replace(iban, "[IBAN]")
+    assert pii.redact(f"serial {iban}") == f"serial {iban}"
+    assert pii.score("ip", "a zip 1.2.3.4", 6, 13) == 0.5 and pii.score("ip", "an IP 1.2.3.4", 6, 13) == 0.7
+    assert pii.score("phone", "hotel +49 30 1234567", 6, 20) == 0.6 and pii.score("phone", "tel. +49 30 1234567", 5, 19) == 0.8
+
+
+def test_clashing_columns(odd_docs):
+    for name in ("spans", "kind", "_WORD"):
+        out = pii.redacted(odd_docs.withColumn(name, F.lit(1)))
+        assert out.columns == [*odd_docs.columns, name] and out.count() == odd_docs.count()
