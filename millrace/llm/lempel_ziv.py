@@ -7,6 +7,7 @@ signatures estimates the Jaccard likeness of the phrase sets.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST = 64  # values of a signature
+LEAST_SPREAD = 128  # rows of each range over which a repeated row is spread
 _MASK = (1 << 64) - 1
 _NO_ID = -(1 << 63)
 _ROWS_OUT = 256
@@ -107,31 +109,62 @@ def similarity(a: Column, b: Column) -> Column:
     return _likeness_column(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
+def _ranges(cut: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Ends of ranges (key, hash, rows), sorted, and how many ranges share the end at a place: those of a repeated row.
+
+    Only where each of these has LEAST_SPREAD rows is the row spread, so that none of them can come out empty.
+    """
+    ends: list[tuple[int, int]] = []
+    spread: dict[int, int] = {}
+    same: dict[tuple[int, int], list[int]] = {}
+    for key, h, n in cut:
+        same.setdefault((key, h), []).append(n)
+    for end in sorted(same):
+        many = len(same[end]) - 1  # the first of them may hold rows before the repeated one
+        if many > 1 and sum(same[end]) // len(same[end]) >= LEAST_SPREAD:
+            spread[len(ends)] = many
+            ends += [end] * many
+        else:
+            ends.append(end)
+    return ends, spread
+
+
 def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edited text and the likeness to both it and the next document.
 
     The next document has the next smaller id (after the last: the first); null ids come last, rows of one
-    id go by text. Null texts count as empty. One row a row of ``docs``; an empty table gives none.
-    Documents are dealt out by ranges of ids, and each range also gets the last document of the range
-    before it, so that every task reads its rows in order and holds two texts at a time.
+    id go by a hash of their text, and of equal rows each is the other's next. Null texts count as empty. One
+    row a row of ``docs``; an empty table gives none; ids are longs, other columns, whatever their names, do not count.
+    Documents are dealt out by ranges of (id, hash), and each range also gets the last document of the range
+    before it, so that every task reads its rows in order and holds two texts at a time. A row that is
+    repeated beyond a range is spread over several, where it follows itself.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("key"), F.xxhash64(text).alias("h"), F.col(id_col).alias("doc_id"), text.alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 4 * tasks
-    found = keyed.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("cuts"), F.max("key").alias("last")).first()
-    ends = np.array(sorted({*(found["cuts"] or ()), found["last"]} - {None}), dtype=np.int64)
+    slim = keyed.select("key", "h").withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(buckets, "key", "h", "salt")
+    cut = slim.groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("key", "h")).alias("end"), F.count(F.lit(1)).alias("n")).select("end.key", "end.h", "n").collect()
+    ends, spread = _ranges([(r["key"], r["h"], r["n"]) for r in cut])
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def places(keys: pa.Array) -> pa.Array:
-        """The own range, and for the last id of a range also the range that follows, as -number - 1."""
-        own = np.asarray(keys.to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = np.searchsorted(ends, own)
-        return pa.array([[int(i), -((int(i) + 1) % len(ends)) - 1] if ends[i] == k else [int(i)] for i, k in zip(at, own, strict=True)], type=pa.list_(pa.int32()))
-
-    sent = keyed.withColumn("place", F.explode(places("key")))
+    def places(keys: pa.Array, hashes: pa.Array, salts: pa.Array) -> pa.Array:
+        """The own range, and for the last row of a range also the range that follows, as -number - 1."""
+        found = []
+        for row in zip(keys.to_pylist(), hashes.to_pylist(), strict=True):
+            at = bisect_left(ends, row)
+            if ends[at] != row:
+                found.append([at])
+                continue
+            own = at + int(salts[len(found)].as_py() % spread.get(at, 1))
+            last = at + spread.get(at, 1) - 1
+            found.append([own, -((last + 1) % len(ends)) - 1] if own == last else [own])
+        return pa.array(found, type=pa.list_(pa.int32()))
+
+    sent = keyed.withColumn("place", F.explode(places("key", "h", F.monotonically_increasing_id())))
     sent = sent.withColumn("range", F.when(F.col("place") < 0, -F.col("place") - 1).otherwise(F.col("place"))).withColumn("own", F.col("place") >= 0).drop("place")
-    dealt = sent.repartition(tasks, "range").sortWithinPartitions("range", "own", "key", "text")
+    dealt = sent.repartition(tasks, "range").sortWithinPartitions("range", "own", "key", "h")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +179,8 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if not own.as_py():
                     before = text
                     continue
-                if sign is None:
+                if sign is None:  # a range of one repeated row has none before it but itself
+                    before = text if before is None else before
                     sign = signature(before)
                 half = len(text) // 2
                 parser = Parser()

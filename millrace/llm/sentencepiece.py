@@ -177,8 +177,8 @@ class Coder:
     """Encodes and decodes with a model.
 
     Where no piece spans a space, the words of a text, each with the spaces before it, are independent:
-    every unit is encoded once, many in one call, compared with the sentencepiece library, and remembered.
-    Other models encode and compare whole texts.
+    every unit is encoded once, many in one call, and remembered. Other models encode whole texts. The ids
+    of every whole text are compared with those that the sentencepiece library gives for it.
     """
 
     def __init__(self, data: bytes) -> None:
@@ -191,7 +191,6 @@ class Coder:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_unit = splits_at_spaces(model) and model.dummy_prefix and model.escape and not model.squeeze and not model.charsmap and SPACE in model.pieces
         self.known: dict[str, bytes] = {}
-        self.differing: set[str] = set()
         self.starts = np.array([p.startswith(SPACE) for p in model.pieces])
         self.plain = np.array([k in (NORMAL, USER, BYTE) for k in model.kinds])
         sign = " " if model.escape else SPACE
@@ -203,7 +202,7 @@ class Coder:
         plain = [u for u in units if u and SPACE not in u and not u.startswith(" ")]
         groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
         lines = [" ".join(g) for g in groups]
-        for group, coded, other in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), self.library.encode(lines, num_threads=THREADS), strict=True):
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype="<i4")
             cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
             raw = ids.tobytes()
@@ -211,32 +210,33 @@ class Coder:
                 odd += group
                 continue
             self.known.update(zip(group, [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], strict=True))
-            if coded.ids != other:
-                self.differing.update(u for u in group if self.known[u] != np.array(self.library.encode(u), dtype="<i4").tobytes())
         for unit, coded in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             ids = coded.ids if unit else [self.model.pieces.index(SPACE)]
             self.known[unit] = np.array(ids, dtype="<i4").tobytes()
-            if unit and ids != self.library.encode(unit):
-                self.differing.add(unit)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """Ids of all texts, where each text's end, and whether the sentencepiece library gives the same."""
-        rows, same = [], []
+        values, ends = self.ids(texts)
+        return values, ends, self.parity(texts, values, ends)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's end."""
         if not self.by_unit:
-            for coded, other in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), self.library.encode(texts, num_threads=THREADS), strict=True):
-                rows.append(np.array(coded.ids, dtype="<i4").tobytes())
-                same.append(coded.ids == other)
+            rows = [np.array(c.ids, dtype="<i4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         else:
             if len(self.known) > UNITS:
                 self.known.clear()
             units = [_units(t) for t in texts]
             self._learn([u for u in {u for r in units for u in r} if u not in self.known])
-            known, differing = self.known, self.differing
-            for row in units:
-                rows.append(b"".join([known[u] for u in row]))
-                same.append(not differing or differing.isdisjoint(row))
+            known = self.known
+            rows = [b"".join([known[u] for u in row]) for row in units]
         ends = np.cumsum([0, *map(len, rows)]) // 4
-        return np.frombuffer(b"".join(rows), dtype="<i4"), ends.astype(np.int32), same
+        return np.frombuffer(b"".join(rows), dtype="<i4"), ends.astype(np.int32)
+
+    def parity(self, texts: list[str], values: np.ndarray, ends: np.ndarray) -> list[bool]:
+        """Whether the sentencepiece library gives the same ids for each whole text."""
+        said = self.library.encode(texts, num_threads=THREADS)
+        return [np.array_equal(np.array(ids, dtype="<i4"), values[a:b]) for ids, a, b in zip(said, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def decode(self, values: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of ids. Pieces are looked up and joined in Arrow; rows with special ids or broken characters go through the tokenizer."""
@@ -274,8 +274,8 @@ def encoded(text: Column, model: bytes) -> Column:
 
     @F.arrow_udf(_IDS)
     def of(texts: pa.Array) -> pa.Array:
-        parts = [coder(model).encode(part) for part in _portions([t or "" for t in texts.to_pylist()])]
-        lists = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values, ends, _ in parts] or [pa.array([], type=pa.list_(pa.int32()))])
+        parts = [coder(model).ids(part) for part in _portions([t or "" for t in texts.to_pylist()])]
+        lists = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values, ends in parts] or [pa.array([], type=pa.list_(pa.int32()))])
         return pc.if_else(texts.is_null(), None, lists) if texts.null_count else lists
 
     return of(text)

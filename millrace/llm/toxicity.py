@@ -22,9 +22,8 @@ WIDTH = 8
 WINDOW = 48  # words
 LEAST_WORDS = 24  # a window of fewer different words is filled up with neutral ones
 WORDS = 100_000  # words remembered by a worker
-#: The sample that a model is fitted on: documents of each label, windows of a document.
-TRAIN_DOCS = {1: 2_000, 0: 3_500}
-TRAIN_WINDOWS = 12
+#: The most labelled documents of each label that a model is fitted on, with all their windows.
+TRAIN_DOCS = {1: 1_500, 0: 2_500}
 RARE = 0.003  # share of the sample's documents below which an n-gram is not learned
 _WORDS_AT_ONCE = 20_000
 STEPS, REFINE, RATE = 300, (200, 230), 0.04
@@ -313,23 +312,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, seed: int = 4) -> Model:
-    """Fits on a bounded sample: TRAIN_DOCS documents of each label in the order of a hash of their ids,
-    TRAIN_WINDOWS windows of each in the order of a hash of the window. Ids that are held out, null labels and
+def train(docs: DataFrame, labels: DataFrame, seed: int = 4, train_docs: dict[int, int] | None = None) -> Model:
+    """Fits on a bounded sample of labelled rows: ``train_docs`` documents of each label (TRAIN_DOCS if not given) in the
+    order of a hash of their ids, with all windows of their whole texts. Ids that are held out, null labels and
     labels without a document are left out; of several labels of an id the higher counts. Only ids are
     collected to choose the sample, then its windows, then the odds of those not trained on."""
+    train_docs = train_docs or TRAIN_DOCS
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {label: known.filter(F.col("toxic") == label).count() for label in TRAIN_DOCS}
+    counts = {label: known.filter(F.col("toxic") == label).count() for label in train_docs}
     ids = None
-    for label, most in TRAIN_DOCS.items():
+    for label, most in train_docs.items():
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
     chosen = ids.withColumnRenamed("doc_id", "_id")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", _windows("text").alias("all"))
-    # distinct ordered by hash: a random choice that does not depend on how the rows are dealt out
-    some = F.transform(F.slice(F.array_sort(F.transform("all", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, TRAIN_WINDOWS), lambda s: s.w)
-    rows = texts.select("doc_id", "toxic", F.explode(some).alias("window")).orderBy("doc_id", "window").toPandas()
-    windows, ids_of, toxic = rows["window"].tolist(), rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(dtype=int)
+    rows = texts.select("doc_id", "toxic", F.explode(F.array_distinct("all")).alias("window")).orderBy("doc_id", "window").toArrow()
+    windows, ids_of, toxic = rows["window"].to_pylist(), rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(int)
     del rows
     share = counts[1] / max(1, sum(counts.values()))
     model = fit(windows, ids_of, toxic, share, seed)
@@ -339,15 +337,16 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 4) -> Model:
         return _crossed(model, windows, ids_of, toxic, share, seed)
     # the threshold, from whole texts of the documents that were not trained on
     judged = docs.sparkSession.createDataFrame([(int(i), int(t)) for i, t in zip(sample[kept], toxic[first][kept], strict=True)], "_id long, toxic int")
-    raw = docs.select("doc_id", "text").join(F.broadcast(judged), F.col("doc_id") == F.col("_id")).select("toxic", worst(F.col("text"), model).alias("odds")).toPandas()
-    at, scale = _threshold(raw["odds"].to_numpy(), raw["toxic"].to_numpy(dtype=int), share)
+    raw = docs.select("doc_id", "text").join(F.broadcast(judged), F.col("doc_id") == F.col("_id")).select("toxic", worst(F.col("text"), model).alias("odds")).toArrow()
+    at, scale = _threshold(raw["odds"].to_numpy(), raw["toxic"].to_numpy().astype(int), share)
     return Model(model.values, -at * scale, scale)
 
 
-def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", train_docs: dict[int, int] | None = None) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 from a score of 0.5); input columns of those names are replaced.
 
     Null text counts as empty. Without toxic labels to learn from, all scores are near 0. ``docs`` may be empty.
+    ``train_docs`` bounds the labelled documents learned from, by label; every document is scored, by all its words.
     """
-    model = train(docs, labels)
+    model = train(docs, labels, train_docs=train_docs)
     return docs.withColumn("score", scores(F.col(text_col), model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

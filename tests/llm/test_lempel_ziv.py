@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import lempel_ziv as lz
@@ -54,9 +55,13 @@ def test_likeness_estimates_the_overlap_of_phrase_sets(spark, sf):
     assert abs(np.mean(errors)) < 0.08 and np.std(errors) < 0.1
 
 
+def hashed(text):
+    return xxhash.xxh64_intdigest((text or "").encode(), 42) - (xxhash.xxh64_intdigest((text or "").encode(), 42) >> 63 << 64)
+
+
 def plain_rows(docs):
-    """docs: (id, text), in any order; the next of each is the next smaller id, rows of one id by text."""
-    order = sorted(docs, key=lambda d: (-(1 << 63) if d[0] is None else d[0], d[1] or ""))
+    """docs: (id, text), in any order; the next of each is the next smaller id, rows of one id by a hash of the text."""
+    order = sorted(docs, key=lambda d: (-(1 << 63) if d[0] is None else d[0], hashed(d[1])))
     out = []
     for i, (key, text) in enumerate(order):
         text, after = text or "", order[i - 1][1] or ""
@@ -89,3 +94,26 @@ def test_columns(spark):
     frame = spark.createDataFrame([("some text " * 30, "some text " * 30), ("a", None), (None, None)], "a string, b string")
     rows = frame.select(lz.similarity(lz.fingerprint(F.col("a")), lz.fingerprint(F.col("b"))).alias("s")).collect()
     assert [r.s for r in rows] == [1.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("buckets", [4, 30])
+def test_a_third_of_all_rows_without_an_id(make_docs, buckets):
+    rows = [(None if i % 3 == 0 else i, f"text {i} " * (i % 9), "s") for i in range(240)]
+    docs = make_docs(rows)
+    got = sorted(map(tuple, lz.with_neighbours(docs, buckets=buckets).collect()), key=str)
+    assert got == plain_rows([(i, t) for i, t, _ in rows])
+
+
+def test_a_repeated_row_is_spread(make_docs, monkeypatch):
+    monkeypatch.setattr(lz, "LEAST_SPREAD", 20)
+    rows = [(5, "the same row ", "s")] * 400 + [(i, f"other {i}", "s") for i in range(100, 160)] + [(1, "low", "s")]
+    docs = make_docs(rows).repartition(6)
+    got = sorted(map(tuple, lz.with_neighbours(docs, buckets=12).collect()), key=str)
+    assert got == plain_rows([(i, t) for i, t, _ in rows])
+    assert lz._ranges([(1, 1, 40), (5, 7, 40), (5, 7, 40), (5, 7, 40), (9, 2, 3)]) == ([(1, 1), (5, 7), (5, 7), (9, 2)], {1: 2})
+
+
+def test_clashing_columns(odd_docs):
+    want = sorted(map(str, lz.with_neighbours(odd_docs).collect()))
+    docs = odd_docs.withColumns({n: F.lit("x") for n in ("key", "h", "place", "range", "own", "salt")})
+    assert sorted(map(str, lz.with_neighbours(docs).collect())) == want

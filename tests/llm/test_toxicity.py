@@ -80,3 +80,18 @@ def test_held_out_rows_teach_nothing(spark, sf):
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, turned)
     assert (a.values == b.values).all() and (a.bias, a.scale) == (b.bias, b.scale)
+
+
+def test_query_finds_held_out_toxic_documents(spark):
+    """About 350 toxic labels to learn from; the documents counted here were held out."""
+    folder = "/root/testdata/sf0.1"
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter("toxic is not null")
+    n = {(r.toxic, r.predicted): r["count"] for r in queries.op4_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.65 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.015
+
+
+def test_the_sample_is_a_parameter(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    few = toxicity.train(docs, labels, train_docs={1: 3, 0: 5})
+    assert (few.values != toxicity.train(docs, labels).values).any()
+    assert toxicity.scored(docs, labels, train_docs={1: 3, 0: 5}).count() == docs.count()
