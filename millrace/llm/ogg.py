@@ -154,6 +154,9 @@ def _read(media: pa.Array) -> pa.Array:
     rows = []
     for m in media:
         stored = m.as_py()
+        if stored is None:
+            rows.append(None)
+            continue
         payload, seen = decode(stored)
         feature = "streams={streams};packets={packets};seconds={seconds:.3f};mean={mean:.4f};rms={rms:.4f};turns={turns}".format(**seen)
         rows.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-BLOCK:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": feature})
@@ -162,16 +165,24 @@ def _read(media: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def _payload(media: pa.Array) -> pa.Array:
-    return pa.array([decode(m.as_py())[0] for m in media], type=pa.binary())
+    return pa.array([None if m.as_py() is None else decode(m.as_py())[0] for m in media], type=pa.binary())
 
 
 def stored(payload: Column) -> Column:
-    """The media column: a payload (text or bytes, null as empty), padded with zero bytes, as an Ogg file."""
+    """The media column: a payload (text or bytes, null as empty), padded with zero bytes, as an Ogg file.
+
+    Payloads of any length are stored whole, one at a time; equal payloads give equal files, an empty table an empty
+    column. A column function: other columns, whatever their names, are not looked at.
+    """
     return _store(F.coalesce(payload, F.lit("").cast("string")))
 
 
 def read_back(media: Column) -> Column:
-    """What the stored bytes hold: lengths, digests and features of payload and file. Damage fails the job."""
+    """What the stored bytes hold: lengths, digests and features of payload and file. Damage fails the job, null gives null.
+
+    Features are the number of streams and packets, the seconds of the last granule position, and mean, root mean
+    square and zero crossings of the samples around 128.
+    """
     return _read(media)
 
 

@@ -8,6 +8,7 @@ point between them. Leaves give spanning forests, which are joined by star contr
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -24,7 +25,11 @@ from millrace.session import pinned
 SEED = 42
 SAMPLE = 16_384  # fingerprints the tree is fitted on
 LEAF = 1_024  # fingerprints a leaf is meant to hold
-MOST_IN_LEAF = 131_072  # a larger leaf is dealt out as pairs of blocks
+MOST_IN_LEAF = 131_072  # a larger leaf is cut by a tree of its own; where no cut helps, it is dealt out as pairs of blocks
+SMALL = 50_000  # large leaves up to which their table is broadcast
+_LEAVES = 4_096  # numbers of a leaf's leaves; a tree on SAMPLE points has fewer
+_LAST_LEAF = (1 << 62) // _LEAVES
+SHRINKS = 0.8  # of the points: what a side may keep, overlap included, for a cut to count
 _FORK = 4_096
 _CHUNK = 65_536
 
@@ -78,7 +83,7 @@ def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
 
 def _cut(points: np.ndarray, reach: int, rng) -> tuple[np.uint64, int, np.ndarray] | None:
     """The vantage point and radius with the least overlap among a few; None if no cut makes both sides smaller."""
-    best, least = None, 0.9 * len(points)
+    best, least = None, SHRINKS * len(points)
     for vantage in rng.choice(points, size=min(8, len(points)), replace=False):
         d = _distance(points, vantage)
         for radius in np.unique(np.percentile(d, (35, 42, 50, 58, 65), method="lower")).astype(int):
@@ -148,8 +153,47 @@ def forest(points: np.ndarray, most: int, seed: int = 9) -> list[tuple[np.ndarra
     return edges
 
 
-def links(points: DataFrame, most: int) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints ``fp``, enough to connect all that are linked."""
+def _fit(rows: pd.DataFrame, leaf: int, reach: int) -> bytes:
+    return json.dumps(fit_tree(rows["fp"].to_numpy(np.int64).view(np.uint64), leaf, reach)).encode()
+
+
+def _finer(sent: DataFrame, large: DataFrame, reach: int) -> DataFrame:
+    """``sent`` with the leaves of ``large`` (leaf, n) cut by trees of their own, each fitted on about SAMPLE points of its leaf.
+
+    A leaf that no cut makes smaller gets a negative number, as does one whose numbers are used up: it is final.
+    """
+    parts = large.withColumns({"step": F.ceil(F.col("n") / SAMPLE), "blocks": F.ceil(F.col("n") / _CHUNK)})
+    if parts.count() <= SMALL:
+        parts = F.broadcast(parts)
+    rows = sent.join(parts, "leaf")
+
+    def fit(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        nodes = _fit(own, max(64, math.ceil(LEAF * len(own) / int(own["n"].iloc[0]))), reach)
+        return pd.DataFrame({"leaf": [key[0]], "tree": [nodes if key[0] < _LAST_LEAF else b"[]"]})
+
+    some = rows.filter(F.pmod(F.xxhash64("fp", F.lit(17)), F.col("step")) == 0).select("leaf", "n", "fp")
+    trees = pinned(some.groupBy("leaf").applyInPandas(fit, "leaf bigint, tree binary"))
+    cut = trees.filter("tree <> cast('[]' AS binary)")
+
+    def send(key: tuple, own: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        points = own["fp"].to_numpy(np.int64)
+        if not len(tree):
+            return pd.DataFrame({"leaf": np.full(len(points), -key[0] - 1), "fp": points})
+        at, leaf = route(points.view(np.uint64), [tuple(n) for n in json.loads(tree["tree"].iloc[0])], reach)
+        return pd.DataFrame({"leaf": key[0] * _LEAVES + leaf + 1, "fp": points[at]})
+
+    block = F.pmod(F.xxhash64("fp", F.lit(18)), F.col("blocks")).cast("int").alias("block")
+    each = cut.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), "tree")
+    routed = rows.select("leaf", block, "fp").groupBy("leaf", "block").cogroup(each.groupBy("leaf", "block")).applyInPandas(send, "leaf bigint, fp bigint")
+    return sent.join(parts.select("leaf"), "leaf", "left_anti").select("leaf", "fp").unionByName(routed)
+
+
+def shards(points: DataFrame, most: int) -> DataFrame:
+    """(leaf, fp): distinct fingerprints ``fp`` in the leaves of a tree; any two within ``most`` bits share a leaf.
+
+    The first tree is fitted on a bounded sample of all points; leaves above MOST_IN_LEAF are cut by further
+    trees, fitted on samples of their own, until they are small or no cut makes them smaller.
+    """
     reach = -(-most // 2)
     total = points.count()
     sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -160,9 +204,19 @@ def links(points: DataFrame, most: int) -> DataFrame:
             own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             if len(own):
                 at, leaf = route(own, nodes, reach)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(own[at].view(np.int64))], names=["leaf", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(own[at].view(np.int64))], names=["leaf", "fp"])
 
-    sent = pinned(points.select("fp").mapInArrow(send, "leaf int, fp bigint"))
+    sent = pinned(points.select("fp").mapInArrow(send, "leaf bigint, fp bigint"))
+    while True:
+        large = pinned(sent.filter("leaf >= 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_IN_LEAF))
+        if not large.limit(1).count():
+            return sent
+        sent = pinned(_finer(sent, large, reach))
+
+
+def links(points: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints ``fp``, enough to connect all that are linked."""
+    sent = shards(points, most)
     large = sent.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_IN_LEAF).select("leaf", F.ceil(F.col("n") / (MOST_IN_LEAF // 2)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))

@@ -162,7 +162,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     Payloads that hold version lines, or whole records, are put together again. A payload that is not
     what its record's digest says fails the job. A revisit gives the length and digest of the full payload.
-    An empty folder gives no rows.
+    An empty folder gives no rows, repeated records give a row each; payloads of any length are whole, as a record that
+    one read does not hold is joined from its pieces.
     """
     chunks = _chunks(spark, folder)
     slim = pinned(_parsed(chunks).drop("value", "head"))
@@ -179,7 +180,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     result = _result(whole)
     parted = own.filter("NOT whole")
     if parted.limit(1).count():
-        result = result.unionByName(_result(_joined(chunks, placed, parted)))
+        result = result.unionByName(_result(_joined(chunks, placed, own, parted)))
     return result
 
 
@@ -196,13 +197,20 @@ def _result(found: DataFrame) -> DataFrame:
     )
 
 
-def _joined(chunks: DataFrame, placed: DataFrame, parted: DataFrame) -> DataFrame:
-    """Records whose payload holds version lines, from their pieces: those from their start to their end."""
-    heads = parted.select("file", F.col("at").alias("head_at"), F.col("next").alias("head_end"))
-    pieces = placed.join(heads, "file").filter("at >= head_at AND at < head_end").select("file", "block", "nth", "size", "at", "head_at")
+def _joined(chunks: DataFrame, placed: DataFrame, own: DataFrame, parted: DataFrame) -> DataFrame:
+    """Records whose payload holds version lines, from their pieces: those from their start to their end.
+
+    A record whose pieces are not found again has no digest, which fails the job.
+    """
+    # in the order of offsets every piece belongs to the last record that began at or before it
+    starts = own.select("file", "at", F.col("next").alias("end"), (~F.col("whole")).alias("parted"))
+    upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    marked = placed.join(parted.select("file").distinct(), "file", "left_semi").join(starts, ["file", "at"], "left")
+    marked = marked.withColumn("head", F.last(F.when(F.col("end").isNotNull(), F.struct(F.col("at").alias("at"), "end", "parted")), ignorenulls=True).over(upto))
+    pieces = marked.filter("head.parted AND at < head.end").select("file", "block", "nth", "size", "at", F.col("head.at").alias("head_at"))
     texts = chunks.join(pieces, ["file", "block", "nth"]).filter(F.octet_length("value") == F.col("size"))
     parts = texts.groupBy("file", "head_at").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
     whole = parts.select("file", F.col("head_at").alias("at"), F.array_join(F.transform("parts", lambda p: p.value), MAGIC).alias("value"))
-    both = whole.join(parted.select("file", "at", "start", "length", "kind", "name", "keeper", "said"), ["file", "at"])
+    both = parted.select("file", "at", "start", "length", "kind", "name", "keeper", "said").join(whole, ["file", "at"], "left")
     block = F.substr(F.col("value").cast("binary"), (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
     return both.withColumn("bytes", block).withColumns(_payload(F.col("bytes"))).drop("value")

@@ -65,3 +65,21 @@ def test_media_column_and_odd_rows(odd_docs):
     for r in kept.select("text", ogg.payload(F.col("media")).alias("back")).collect():
         assert bytes(r.back) == ogg.pad((r.text or "").encode())
     assert odd_docs.limit(0).select(ogg.read_back(ogg.stored(F.col("text")))).count() == 0
+
+
+def test_features_from_the_bytes_alone(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    for r in queries.op5_media_columns(spark, sf).collect():
+        data = ogg.pad(texts[r.doc_id].encode())
+        seconds = -(-len(data) // 8000)
+        signs = [b < 128 for b in data]
+        want = {"streams": 2, "packets": 2 * (1 + seconds), "seconds": len(data) / 8000, "mean": sum(data) / len(data) - 128, "rms": (sum((b - 128) ** 2 for b in data) / len(data)) ** 0.5, "turns": sum(a != b for a, b in zip(signs, signs[1:], strict=False))}
+        got = dict(f.split("=") for f in r.feature.split(";"))
+        assert got.keys() == want.keys() and all(float(got[k]) == pytest.approx(want[k], abs=1e-3) for k in want)
+
+
+def test_null_media_and_clashing_columns(odd_docs):
+    none = odd_docs.select(ogg.read_back(F.lit(None).cast("binary")).alias("r"), ogg.payload(F.lit(None).cast("binary")).alias("p")).collect()
+    assert all(r.r is None and r.p is None for r in none)
+    docs = odd_docs.withColumns({n: F.lit(1) for n in ("payload_bytes", "media", "feature")})
+    assert docs.select("*", ogg.read_back(ogg.stored(F.col("text"))).alias("r")).select("doc_id", "feature", "r.media_bytes").count() == odd_docs.count()

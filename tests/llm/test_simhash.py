@@ -124,3 +124,34 @@ def test_long_chains_and_stars(spark):
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(101)} | {i: 1000 for i in range(1000, 1200)}
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_trees_grow_with_the_table(spark, monkeypatch):
+    for name, value in (("SAMPLE", 200), ("LEAF", 30), ("MOST_IN_LEAF", 400), ("_CHUNK", 300)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 2**64, 1500, dtype=np.uint64)
+    points = np.unique(np.concatenate([centres, *[centres ^ (np.uint64(1) << rng.integers(0, 64, 1500, dtype=np.uint64)) for _ in range(2)]]))
+    frame = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long").repartition(5)
+    sent = simhash.shards(frame, 2)
+    sizes = {r.leaf: r["count"] for r in sent.groupBy("leaf").count().collect()}
+    assert max(n for leaf, n in sizes.items() if leaf >= 0) <= 400 and max(sizes) >= simhash._LEAVES
+    found = {int(p): int(p) for p in points.view(np.int64)}
+    found.update({r.node: r.root for r in simhash.components(simhash.links(frame, 2)).collect()})
+    want = plain_components([(int(p), int(u)) for p, u in zip(points.view(np.int64), points, strict=True)], 2)
+    assert [found[int(p)] for p in points.view(np.int64)] == want
+
+
+def test_a_dense_table_is_dealt_out_as_blocks(spark, monkeypatch):
+    for name, value in (("SAMPLE", 100), ("LEAF", 10), ("MOST_IN_LEAF", 50)):
+        monkeypatch.setattr(simhash, name, value)
+    points = np.arange(256, dtype=np.uint64)  # each is within two bits of many others
+    frame = spark.createDataFrame([(int(p),) for p in points], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(frame, 2)).collect()}
+    assert set(roots.values()) == {0} and len(roots) == 256
+
+
+def test_clashing_columns(odd_docs):
+    want = sorted(map(str, simhash.near_duplicates(odd_docs).collect()))
+    docs = odd_docs.withColumns({n: F.lit(1) for n in ("fp", "component_id", "leaf", "first", "node")})
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == want

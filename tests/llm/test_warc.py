@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from millrace.llm import queries, warc
 from millrace.session import table
 
@@ -63,3 +65,8 @@ def test_files_follow_the_format(spark, tmp_path):
         kinds.append(fields[b"WARC-Type"])
         at += len(head) + 8 + int(fields[b"Content-Length"])
     assert sorted(kinds) == [b"response"] * 3 + [b"revisit"] and folder
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumns({n: F.lit("x") for n in ("n", "digest", "keeper", "value", "file")})
+    assert sorted(str(tuple(r)) for r in warc.read_archives(spark, warc.write_archives(frame)).collect()) == plain(PAGES)
