@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip_ascii
@@ -74,10 +74,15 @@ VERDICTS = {
 
 
 def failure(insufficient_source: Column, contract_final: Column, reason: Column) -> Column:
-    """Verdict in fixed precedence: the source, the response contract, the reason code, else transient."""
+    """Verdict in fixed precedence: the source, the response contract, the reason code, transient without one.
+
+    A reason code outside the closed set is an error.
+    """
     mapped = F.lit("transient")
     for code, verdict in VERDICTS.items():
         mapped = F.when(reason == code, verdict).otherwise(mapped)
+    unknown = F.raise_error(F.concat(F.lit("unknown reason code "), reason))
+    mapped = F.when(reason.isNotNull() & ~reason.isin(*VERDICTS), unknown).otherwise(mapped)
     return F.when(insufficient_source, "insufficient_source").when(contract_final, "response_contract_final").otherwise(mapped)
 
 
@@ -93,22 +98,48 @@ def backoff(rung: Column, retry_after: Column, least: float, scale: float, cap:
     return F.least(F.lit(float(cap)), F.coalesce(retry_after.cast("double"), own))
 
 
-def provider(name: Column, model: Column) -> Column:
-    low = F.lower(model)
-    auto = F.when(F.startswith(low, F.lit("claude")), "anthropic").when(F.startswith(low, F.lit("gemini")), "gemini").otherwise("openai")
-    return F.when(F.coalesce(name, F.lit("auto")) != "auto", name).otherwise(auto)
+# The providers, and what the names of their models begin with; all others are the last one's.
+PROVIDERS = ("anthropic", "gemini", "openai")
+PREFIXES = {"anthropic": ("claude",), "gemini": ("gemini",)}
+
+
+def provider(name: Column, model: Column, prefixes: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """A named provider, or for ``auto`` (and null) that of the model's prefix; any other name is an error."""
+    low, auto = F.lower(model), F.lit("openai")
+    for kind in ("gemini", "anthropic"):
+        begins = F.exists(F.array(*[F.lit(p) for p in (prefixes or PREFIXES).get(kind, ())]).cast("array<string>"), lambda p: F.startswith(low, p))
+        auto = F.when(begins, kind).otherwise(auto)
+    asked = F.coalesce(name, F.lit("auto"))
+    return F.when(asked == "auto", auto).when(asked.isin(*PROVIDERS), asked).otherwise(F.raise_error(F.concat(F.lit("no provider "), asked)))
 
 
-# Signs that an instruction asks for more than one file shows, in order; the first that matches counts.
+# Signs that an instruction asks for more than one file shows, in order, with the words shown for them;
+# the first that matches counts. And the most notes of a run.
 CROSS_FILE = (
-    ("repository_scope", r"(?i)\b(?:repository|repo[- ]wide)\b"), ("codebase_scope", r"(?i)\bcodebase\b"), ("other_modules", r"(?i)\bother\s+modules?\b"),
-    ("importers", r"(?i)\bfiles?\s+that\s+imports?\b"), ("callers", r"(?i)\bcallers?\b"), ("cross_file_usages", r"(?i)\busages?\s+across\b"),
-    ("all_references", r"(?i)\b(?:all|every)\b[^\n]{0,40}\breferences?\b"), ("all_imports_from", r"(?i)\ball\s+imports?\s+from\b"),
+    ("every_file", "every file", r"(?i)\bevery\s+files?\b"), ("each_file", "each file", r"(?i)\beach\s+files?\b"), ("all_files", "all files", r"(?i)\ball\s+files?\b"),
+    ("other_file", "other/another file", r"(?i)\b(?:other|another)\s+files?\b"), ("different_file", "different file", r"(?i)\bdifferent\s+files?\b"),
+    ("across_files", "across files", r"(?i)\bacross\s+(?:all\s+)?files?\b"),
+    ("project_scope", "project-wide", r"(?i)\b(?:across\s+the\s+project|project[- ]wide|whole\s+project|entire\s+project)\b"),
+    ("repository_scope", "repository/repo-wide", r"(?i)\b(?:repository|repo[- ]wide)\b"), ("codebase_scope", "codebase", r"(?i)\bcodebase\b"), ("other_modules", "other modules", r"(?i)\bother\s+modules?\b"),
+    ("importers", "files that import", r"(?i)\bfiles?\s+that\s+imports?\b"), ("callers", "callers", r"(?i)\bcallers?\b"), ("cross_file_usages", "usages across", r"(?i)\busages?\s+across\b"),
+    ("all_references", "all/every references", r"(?i)\b(?:all|every)\b[^\n]{0,40}\breferences?\b"), ("all_imports_from", "all imports from", r"(?i)\ball\s+imports?\s+from\b"),
 )
+MOST_NOTES = 16
 
 
 def cross_file(instruction: Column) -> Column:
-    found = F.lit(None).cast("string")
-    for name, pattern in reversed(CROSS_FILE):
-        found = F.when(F.rlike(instruction, F.lit(pattern)), name).otherwise(found)
+    """(category, shown) of the first sign that matches, else null."""
+    found = F.lit(None).cast("struct<category:string,shown:string>")
+    for name, shown, pattern in reversed(CROSS_FILE):
+        found = F.when(F.rlike(instruction, F.lit(pattern)), F.struct(F.lit(name).alias("category"), F.lit(shown).alias("shown"))).otherwise(found)
     return found
+
+
+def feasibility_notes(units: DataFrame, most: int = MOST_NOTES) -> DataFrame:
+    """(ord, note): what changed instructions ask for beyond one file, in order, without repeats, the first ``most``.
+
+    ``units`` is (ord, component, field, instruction, default_instruction); a unit as it is by default gives no note.
+    """
+    own = units.filter(~F.col("instruction").eqNullSafe(F.col("default_instruction"))).withColumn("sign", cross_file(F.col("instruction"))).filter("sign IS NOT NULL")
+    note = F.format_string("%s %s: asks for %s (%s), but one pass sees one file only", "component", "field", F.col("sign.shown"), F.col("sign.category"))
+    return own.groupBy(note.alias("note")).agg(F.min("ord").alias("ord")).orderBy("ord").limit(most).select("ord", "note")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,12 @@ from millrace.functions import text as tx
 MOST_ATOMS, MOST_SYMBOLS, MOST_UNITS, MOST_CHUNKS, MOST_DEPTH = 4_096, 8_192, 4_096, 256, 6
 MANIFEST_FLOOR, ENVELOPE, NARRATIVE, ITEM_PREFIX, ITEM_GAP = 12_000, 80, 300, 2, 1
 MOST_NAMES = 32
+SYNOPSIS, METADATA = 3_000, 32_768
+# Why a chunk ends, where a cut may lie, and what can stop a division, in the order of the checks.
+REASONS = ("continuation", "oversized-unit-isolation", "source-ceiling", "metadata-ceiling", "source-and-metadata-ceiling", "end-of-file")
+CUTS = ("syntax", "physical-line", "balanced-codepoint")
+EDGES = ("file-start", "file-end", "semantic-unit", *CUTS)
+BLOCKED = ("atom-cap", "symbol-cap", "unit-cap", "chunk-cap", "reduction-envelope-cap", "reduction-fan-in-cap", "reduction-depth-cap", "final-synthesis-envelope-cap")
 
 
 def line_atoms(files: DataFrame) -> DataFrame:
@@ -29,6 +36,11 @@ def fan_in(budget: int = MANIFEST_FLOOR) -> int:
     return (budget - ENVELOPE + ITEM_GAP) // (ITEM_PREFIX + NARRATIVE + ITEM_GAP)
 
 
+def final_chars(roots: Column) -> Column:
+    """What the last call's manifest may be at most: an envelope, a synopsis of the ledger, and a narrative for each root."""
+    return F.lit(ENVELOPE + SYNOPSIS - ITEM_GAP) + roots * (ITEM_PREFIX + NARRATIVE + ITEM_GAP)
+
+
 def packed(atoms: DataFrame, budget: int) -> DataFrame:
     """(rel, chunk, first_ord, last_ord, atoms, chars, reason): neighbours together while they fit.
 
@@ -40,19 +52,19 @@ def packed(atoms: DataFrame, budget: int) -> DataFrame:
     start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("open"))
 
     def step(acc, x):
-        alone = F.struct(x.ord.alias("first"), x.ord.alias("last"), x.chars.alias("chars"), F.lit("oversized").alias("reason"))
+        alone = F.struct(x.ord.alias("first"), x.ord.alias("last"), x.chars.alias("chars"), F.lit("continuation").alias("reason"))
         fresh = F.struct(x.ord.alias("first"), x.ord.alias("last"), x.chars.alias("chars"), F.lit(None).cast("string").alias("reason"))
         grown = F.struct(acc.open.first.alias("first"), x.ord.alias("last"), (acc.open.chars + x.chars).alias("chars"), F.lit(None).cast("string").alias("reason"))
         closed = lambda why: F.when(acc.open.isNotNull(), F.concat(acc.done, F.array(F.struct(acc.open.first.alias("first"), acc.open.last.alias("last"), acc.open.chars.alias("chars"), F.lit(why).alias("reason"))))).otherwise(acc.done)
         state = lambda done, left: F.struct(done.alias("done"), left.alias("open"))
         return (
-            F.when(x.chars > budget, state(F.concat(closed("isolation"), F.array(alone)), F.lit(None).cast(chunk)))
+            F.when(x.chars > budget, state(F.concat(closed("oversized-unit-isolation"), F.array(alone)), F.lit(None).cast(chunk)))
             .when(acc.open.isNull(), state(acc.done, fresh))
-            .when(acc.open.chars + x.chars > budget, state(closed("source"), fresh))
+            .when(acc.open.chars + x.chars > budget, state(closed("source-ceiling"), fresh))
             .otherwise(state(acc.done, grown))
         )
 
-    last = lambda acc: F.when(acc.open.isNotNull(), F.concat(acc.done, F.array(F.struct(acc.open.first.alias("first"), acc.open.last.alias("last"), acc.open.chars.alias("chars"), F.lit("end").alias("reason"))))).otherwise(acc.done)
+    last = lambda acc: F.when(acc.open.isNotNull(), F.concat(acc.done, F.array(F.struct(acc.open.first.alias("first"), acc.open.last.alias("last"), acc.open.chars.alias("chars"), F.lit("end-of-file").alias("reason"))))).otherwise(acc.done)
     rows = sizes.select("rel", F.posexplode(F.aggregate("xs", start, step, last)).alias("chunk", "c"))
     return rows.select("rel", "chunk", F.col("c.first").alias("first_ord"), F.col("c.last").alias("last_ord"), (F.col("c.last") - F.col("c.first") + 1).cast("bigint").alias("atoms"), F.col("c.chars").alias("chars"), F.col("c.reason").alias("reason"))
 
@@ -60,55 +72,42 @@ def packed(atoms: DataFrame, budget: int) -> DataFrame:
 def balanced_cuts(text: str, budget: int, preferred: tuple[int, ...] = ()) -> list[tuple[int, str]]:
     """Cuts (offset, kind) of a text into the fewest pieces of at most ``budget`` signs, as even as may be.
 
-    Each cut aims at an equal share of what is left, and takes a preferred place, else a line's end, within
-    a tenth of that; else the place itself. A carriage return and its line feed stay together.
+    A text may be cut anywhere but between a carriage return and its line feed. Each cut aims at an equal share of
+    what is left, and takes the nearest syntax place, else the nearest line end, within a tenth of that share;
+    else the aim itself. A place counts only if the pieces that are left can hold the rest, and each gets something.
     """
     size = len(text)
     if size <= budget:
         return []
-    pairs = [i for i in range(size - 1) if text[i] == "\r" and text[i + 1] == "\n"]
-    inside = {i + 1 for i in pairs}
-    back = lambda at: at - 1 if at in inside else at
-
-    pieces, at = 0, 0
-    while at < size:
-        end = back(min(at + budget, size))
-        if end <= at:
+    free = np.delete(np.arange(size + 1), [m.start() + 1 for m in re.finditer("\r\n", text)])
+    upto = lambda at: int(free[np.searchsorted(free, at, side="right") - 1])
+    ends = [0]
+    while ends[-1] < size:
+        ends.append(upto(ends[-1] + budget))
+        if ends[-1] == ends[-2]:
             raise ValueError("a budget of one sign cannot hold a line end of two")
-        at, pieces = end, pieces + 1
-    # what is left must fit into the pieces that are left, and give each of them something
-    from_end, earliest, latest = size, [size], [size]
-    one = size
+    pieces = len(ends) - 1
+    earliest = [size]  # by pieces left: from where they reach the end
     for _ in range(pieces):
-        low = max(from_end - budget, 0)
-        from_end = low + 1 if low in inside else low
-        earliest.append(from_end)
-        one = max(0, one - (2 if one - 1 in inside else 1))
-        latest.append(one)
-    ends = []
-    for i, c in enumerate(text):
-        if c in "\n\x0b\x0c\x1c\x1d\x1e\x85  " or (c == "\r" and i + 1 not in inside):
-            ends.append(i + 1)
-    places = (("syntax", sorted(p for p in preferred if 0 < p < size and p not in inside)), ("line", [e for e in ends if e < size]))
+        earliest.append(int(free[np.searchsorted(free, max(0, earliest[-1] - budget))]))
+    lines = np.cumsum([len(line) for line in text.splitlines(keepends=True)])
+    tiers = (("syntax", np.intersect1d(np.array(preferred, dtype=np.int64), free[1:-1])), ("physical-line", lines[lines < size]))
 
     cuts, start = [], 0
-    for left in range(pieces, 1, -1):
-        share = -(-(size - start) // left)
-        aim, room = start + share, max(1, share // 10)
-        low, high = max(start + 1, earliest[left - 1]), min(start + budget, size, latest[left - 1])
-        chosen = None
-        for kind, known in places:
-            own = known[bisect_left(known, max(low, aim - room)) : bisect_right(known, min(high, aim + room))]
-            if own:
-                chosen = min(own, key=lambda p: (abs(p - aim), p)), kind
+    for left in range(pieces - 1, 0, -1):
+        share = -(-(size - start) // (left + 1))
+        aim, slack = start + share, max(1, share // 10)
+        first, last = max(start + 1, earliest[left]), min(start + budget, int(free[-1 - left]))
+        kind, at = "balanced-codepoint", upto(min(max(aim, first), last))
+        if at < first:
+            at = int(free[np.searchsorted(free, first)])
+        for tier, places in tiers:
+            near = places[np.searchsorted(places, max(first, aim - slack)) : np.searchsorted(places, min(last, aim + slack), side="right")]
+            if len(near):
+                kind, at = tier, int(near[np.argmin(np.abs(near - aim))])
                 break
-        if chosen is None:
-            at = min(max(aim, low), high)
-            if at in inside:
-                at = at - 1 if at - 1 >= low else at + 1
-            chosen = at, "balanced"
-        cuts.append(chosen)
-        start = chosen[0]
+        cuts.append((at, kind))
+        start = at
     return cuts
 
 
@@ -132,15 +131,21 @@ def subdivided(units: DataFrame, budget: int) -> DataFrame:
 
 
 def capacity(counts: DataFrame, budget: int = MANIFEST_FLOOR) -> DataFrame:
-    """``counts`` (rel, atoms, symbols, units, chunks, depth) with ``blocked``: the first bound that is exceeded, else null."""
+    """``counts`` (rel, atoms, symbols, units, chunks, depth[, roots]) with ``blocked``: the first bound that is exceeded, else null.
+
+    ``roots`` are the answers that the last call would join; without them that bound is not looked at.
+    """
+    if "roots" not in counts.columns:
+        counts = counts.withColumn("roots", F.lit(None).cast("bigint"))
     reason = (
         F.when(F.col("atoms") > MOST_ATOMS, "atom-cap")
         .when(F.col("symbols") > MOST_SYMBOLS, "symbol-cap")
         .when(F.col("units") > MOST_UNITS, "unit-cap")
         .when(F.col("chunks") > MOST_CHUNKS, "chunk-cap")
-        .when(F.lit(budget <= ENVELOPE), "envelope-cap")
-        .when(F.lit(fan_in(budget) < 2), "fan-in-cap")
-        .when(F.col("depth") > MOST_DEPTH, "depth-cap")
+        .when(F.lit(budget <= ENVELOPE), "reduction-envelope-cap")
+        .when(F.lit(fan_in(budget) < 2), "reduction-fan-in-cap")
+        .when(F.col("depth") > MOST_DEPTH, "reduction-depth-cap")
+        .when(F.col("roots").isNotNull() & (final_chars(F.col("roots")) > budget), "final-synthesis-envelope-cap")
     )
     return counts.withColumn("blocked", reason)
 

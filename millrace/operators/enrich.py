@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.operators.responses import json_candidate
+from millrace.session import pinned
+
+REPAIR = "\n\nAnswer with one JSON object. This was none:\n"
 
 Complete = Callable[[list[str]], list[str]]
 
@@ -38,31 +41,44 @@ def completed(rows: DataFrame, complete: Complete = echo, out: str = "answer") -
 
 
 def corrected(rows: DataFrame, complete: Complete = echo, repair: Complete | None = None) -> DataFrame:
-    """Answers with their outcome; those that are no object get one second try, with the first answer in the prompt."""
-    first = completed(rows, complete).withColumn("c", json_candidate(F.col("answer")))
+    """Answers with their outcome; those that are no object get one second try, with the first answer in the prompt.
+
+    Both stages are pinned: every prompt is paid for once, also where an executor is lost or the result is read again.
+    """
+    first = pinned(completed(rows, complete)).withColumn("c", json_candidate(F.col("answer")))
     good = first.filter("c.outcome = 'object'").select(*rows.columns, F.col("c.body").alias("body"), F.lit(1).alias("attempts"))
-    bad = first.filter("c.outcome <> 'object'").withColumn("prompt", F.concat(F.col("prompt"), F.lit("\n\nAnswer with one JSON object. This was none:\n"), F.col("answer")))
-    again = completed(bad.select(*rows.columns), repair or complete).withColumn("c", json_candidate(F.col("answer")))
+    bad = first.filter("c.outcome <> 'object'").withColumn("prompt", F.concat(F.col("prompt"), F.lit(REPAIR), F.col("answer")))
+    again = pinned(completed(bad.select(*rows.columns), repair or complete)).withColumn("c", json_candidate(F.col("answer")))
     return good.unionByName(again.select(*rows.columns, F.col("c.body").alias("body"), F.lit(2).alias("attempts")))
 
 
 def reduced(chunks: DataFrame, complete: Complete = echo, width: int = 39, levels: int = 6) -> DataFrame:
-    """(rel, body): answers over chunks (rel, ord, prompt), joined level by level, ``width`` neighbours at a time."""
-    now = completed(chunks.select("rel", F.col("ord").cast("int").alias("ord"), "prompt")).select("rel", "ord", "answer")
-    for _ in range(levels):
-        groups = now.groupBy("rel", F.floor(F.col("ord") / width).cast("int").alias("ord")).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), "answer"))).alias("xs"))
-        parts = groups.select("rel", "ord", F.size("xs").alias("n"), F.concat_ws("\n", F.transform("xs", lambda x: F.concat(F.lit("- "), x.answer))).alias("prompt"), F.col("xs")[0]["answer"].alias("only"))
-        done = completed(parts, complete).withColumn("answer", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("answer")))
-        now = done.select("rel", "ord", "answer")
-    return now.groupBy("rel").agg(F.max("answer").alias("body"))
+    """(rel, body): answers over chunks (rel, ord, prompt), joined level by level, ``width`` neighbours at a time.
+
+    A group of one goes up as it is and costs no call; levels end where every file has one answer left. Files that
+    have more after the last level are an error. Each level is pinned, so no call is made twice.
+    """
+    now = pinned(completed(chunks.select("rel", F.col("ord").cast("int").alias("ord"), "prompt"), complete).select("rel", "ord", "answer"))
+    for level in range(levels + 1):
+        if not now.groupBy("rel").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+            return now.select("rel", F.col("answer").alias("body"))
+        if level == levels:
+            break
+        members = F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), "answer")))
+        groups = now.groupBy("rel", F.floor(F.col("ord") / width).cast("int").alias("ord")).agg(members.alias("xs"))
+        one = groups.filter("size(xs) = 1").select("rel", "ord", F.col("xs")[0]["answer"].alias("answer"))
+        more = groups.filter("size(xs) > 1").select("rel", "ord", F.concat_ws("\n", F.transform("xs", lambda x: F.concat(F.lit("- "), x.answer))).alias("prompt"))
+        now = pinned(one.unionByName(completed(more, complete).select("rel", "ord", "answer")))
+    raise ValueError(f"more than one answer is left after {levels} levels of {width}")
 
 
 def agents(files: DataFrame, mode: str = "single", most: int = 12_000, complete: Complete = echo) -> DataFrame:
     """(rel, agent, body): one call a file, or structure and dependency calls and a documentation call over both."""
     base = files.withColumn("prompt", prompt(F.col("rel"), F.col("language"), F.col("content"), most))
     if mode == "single":
-        return completed(base.select("rel", "prompt"), complete).select("rel", F.lit("file").alias("agent"), F.col("answer").alias("body"))
-    parts = completed(base.select("rel", F.explode(F.array(F.lit("structure"), F.lit("dependency"))).alias("agent"), "prompt").withColumn("prompt", F.concat("agent", F.lit("\n"), "prompt")), complete)
+        return pinned(completed(base.select("rel", "prompt"), complete).select("rel", F.lit("file").alias("agent"), F.col("answer").alias("body")))
+    asked = base.select("rel", F.explode(F.array(F.lit("structure"), F.lit("dependency"))).alias("agent"), "prompt")
+    parts = pinned(completed(asked.withColumn("prompt", F.concat("agent", F.lit("\n"), "prompt")), complete).select("rel", "agent", "answer"))
     known = parts.groupBy("rel").agg(F.array_join(F.array_sort(F.collect_list(F.concat("agent", F.lit(": "), "answer"))), "\n").alias("prompt"))
-    docs = completed(known, complete).select("rel", F.lit("documentation").alias("agent"), F.col("answer").alias("body"))
+    docs = pinned(completed(known, complete).select("rel", F.lit("documentation").alias("agent"), F.col("answer").alias("body")))
     return parts.select("rel", "agent", F.col("answer").alias("body")).unionByName(docs)

@@ -2,31 +2,55 @@
 
 from __future__ import annotations
 
-import ast
 import re
+import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _normal(name: Column) -> Column:
-    return F.regexp_replace(F.trim(name), r"(?U)\s+", " ")
+# Languages whose names do not differ by case.
+CASELESS = ("sql", "pascal", "basic", "fortran")
+
+
+def _squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+@F.arrow_udf(T.StringType())
+def _composed(names: pa.Array) -> pa.Array:
+    return pa.array([None if n is None else unicodedata.normalize("NFC", n) for n in names.to_pylist()], type=pa.string())
+
+
+def symbol_key(name: Column, language: Column | None = None) -> Column:
+    """Names that are the same: composed, white space as one space, lower case for languages that do not differ by it.
+
+    Names of ASCII signs are composed as they are; only others go to Python.
+    """
+    odd = F.when(F.rlike(name, F.lit(r"[^\x00-\x7F]")), name)
+    key = _squeezed(F.coalesce(_composed(odd), name))
+    return key if language is None else F.when(F.lower(language).isin(*CASELESS), F.lower(key)).otherwise(key)
 
 
 def merged(facts: DataFrame) -> DataFrame:
-    """One row a (rel, kind, name, scope, signature) of facts (rel, ord, kind, name, scope, signature, description).
+    """One row a (rel, kind, name, scope, signature) of facts (rel, ord, kind, name, scope, signature, description[, language]).
 
-    The first non-empty description counts, in the order of ``ord``; origins are the places, in order. A
-    null scope or signature counts as ''.
+    Names are one by ``symbol_key``; the first spelling is shown. The first non-empty description counts, in the
+    order of ``ord``; origins are the places, in order. A null scope or signature counts as ''.
     """
-    named = facts.filter(F.nullif(_normal(F.col("name")), F.lit("")).isNotNull())
-    keyed = named.select("rel", "kind", _normal(F.col("name")).alias("name"), F.coalesce("scope", F.lit("")).alias("scope"), _normal(F.coalesce("signature", F.lit(""))).alias("signature"), "ord", F.nullif(F.trim("description"), F.lit("")).alias("description"))
-    return keyed.groupBy("rel", "kind", "name", "scope", "signature").agg(
+    key = symbol_key(F.col("name"), F.col("language") if "language" in facts.columns else None)
+    keyed = facts.select(
+        "rel", "kind", key.alias("key"), _squeezed(F.col("name")).alias("shown"), F.coalesce("scope", F.lit("")).alias("scope"), symbol_key(F.coalesce("signature", F.lit(""))).alias("signature"), "ord", F.nullif(F.trim("description"), F.lit("")).alias("description")
+    ).filter("key <> ''")
+    return keyed.groupBy("rel", "kind", F.col("key").alias("name_key"), "scope", "signature").agg(
+        F.min_by("shown", F.struct("ord", "shown")).alias("name"),
         F.min("ord").alias("first_ord"),
         F.min_by("description", F.when(F.col("description").isNotNull(), F.col("ord"))).alias("description"),
         F.array_sort(F.collect_set("ord")).alias("origins"),
-    )
+    ).select("rel", "kind", "name", "scope", "signature", "first_ord", "description", "origins")
 
 
 def occurrences(facts: DataFrame) -> DataFrame:
@@ -91,66 +115,120 @@ def public_exports(exports: DataFrame, proven: DataFrame) -> DataFrame:
     return proven.join(exports.select("rel", "name").distinct(), ["rel", "name"], "left_semi").groupBy("rel", "name").agg(F.min("start").alias("start"))
 
 
-def visible_lines(source: str) -> list[str]:
-    """Lines without comments and strings: '#' and '//' end a line, block comments and long strings blank it."""
-    out, closing = [], None
-    for line in source.split("\n"):
-        shown, at = [], 0
-        began_inside = closing is not None
-        while at < len(line):
+# Languages whose declarations lines can prove, and the forms that prove them. A name is group 1.
+NODE = ("javascript", "jsx", "typescript", "tsx")
+_NAME = r"[A-Za-z_$À-￿][\w$À-￿]*"
+_EXPORT = r"(?:export\s+(?:default\s+)?)?"
+_PYTHON_FORMS = (("functions", re.compile(rf"(?:async\s+)?def\s+({_NAME})\b")), ("classes", re.compile(rf"class\s+({_NAME})\b")))
+_NODE_FORMS = (("functions", re.compile(rf"{_EXPORT}(?:async\s+)?function\s*\*?\s*({_NAME})\b")), ("classes", re.compile(rf"{_EXPORT}(?:abstract\s+)?class\s+({_NAME})\b")))
+_BINDING = re.compile(rf"{_EXPORT}(?:const|let|var)\s+({_NAME})\s*(?::\s*(?P<kind>[^=]+?)\s*)?=\s*(?P<value>.+)$")
+_CALLABLE = re.compile(rf"(?:async\s+)?(?:function\b|(?:\([^)]*\)|{_NAME})\s*(?::[^=]+)?=>)")
+_COMPONENT = re.compile(r"(?:React\.)?(?:FC|FunctionComponent|VFC|VoidFunctionComponent)\b")
+_NAMED_EXPORT = (
+    re.compile(rf"export\s+\*\s+as\s+({_NAME})\s+from\b"), re.compile(rf"export\s+default\s+({_NAME})\s*;?\s*$"),
+    re.compile(rf"module\.exports\s*=\s*({_NAME})\s*;?\s*$"), re.compile(rf"(?:module\.)?exports\.({_NAME})\s*="),
+)
+_EXPORT_LIST, _EXPORT_OBJECT = re.compile(r"export\s+(?:type\s+)?\{([^}]*)\}"), re.compile(r"module\.exports\s*=\s*\{(.*)\}\s*;?\s*$")
+_ALL = re.compile(r"(?m)^__all__\s*(?::[^=\n]+)?\s*(?:=|\+=)[ \t]*")
+_ALL_ITEMS = r"""([\s,]*+(?:(?:'[A-Za-z_]\w*'|"[A-Za-z_]\w*")[\s,]*+)*+)"""
+_ALL_LIST = re.compile(rf"(?:\[{_ALL_ITEMS}\]|\({_ALL_ITEMS}\))[ \t]*+(?:#|;?[ \t]*+$)", re.MULTILINE)
+_OPENERS = re.compile(r"""'{3}|"{3}|//|/\*|[#`'"]""")
+_LONG = {"'" * 3: "'" * 3, '"' * 3: '"' * 3, "/*": "*/", "`": "`"}
+
+
+def visible_lines(source: str) -> list[tuple[int, str]]:
+    """(byte offset, code) of every line: without comments, and without what strings hold.
+
+    ``#`` and ``//`` end a line in any language. A line that begins inside a block comment or a template shows
+    nothing; one that begins inside a long string shows what follows its end.
+    """
+    out, closing, start = [], None, 0
+    for line in source.splitlines(keepends=True):
+        body, at, shown = line.rstrip("\r\n"), 0, []
+        hidden = closing in ("*/", "`")
+        while at < len(body):
             if closing:
-                end = line.find(closing, at)
-                if end < 0:
-                    break
-                at, closing = end + len(closing), None
+                end = body.find(closing, at)
+                at, closing = (len(body), closing) if end < 0 else (end + len(closing), None)
                 continue
-            rest = line[at:]
-            opener = next((o for o in ('"""', "'''", "/*", "`") if rest.startswith(o)), None)
-            if opener:
-                closing, at = {"/*": "*/"}.get(opener, opener), at + len(opener)
-            elif rest[0] == "#" or rest.startswith("//"):
+            found = _OPENERS.search(body, at)
+            shown.append(body[at : found.start()] if found else body[at:])
+            if not found or found.group() in ("#", "//"):
                 break
-            elif rest[0] in "\"'":
-                end = at + 1
-                while end < len(line) and line[end] != rest[0]:
-                    end += 2 if line[end] == "\\" else 1
-                at = end + 1
-            else:
-                shown.append(rest[0])
-                at += 1
-        out.append("" if began_inside else "".join(shown))
+            at = found.end()
+            if found.group() in _LONG:
+                closing = _LONG[found.group()]
+            else:  # a short string ends with its line at the latest
+                rest = re.compile(rf"(?:\\.|[^\\{found.group()}])*").match(body, at)
+                at = rest.end() + 1
+        out.append((start, "" if hidden else "".join(shown)))
+        start += len(line.encode())
     return out
 
 
-_DECLARED = (
-    ("functions", re.compile(r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)")),
-    ("classes", re.compile(r"^\s*class\s+([A-Za-z_]\w*)")),
-    ("functions", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)")),
-    ("classes", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface)\s+([A-Za-z_$][\w$]*)")),
-    ("functions", re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>")),
-)
-
-
-def declarations(source: str) -> list[tuple[str, str, int]]:
-    """(bucket, name, line) that lines of code prove, and the literal names of __all__ as exports."""
-    found = [(bucket, m.group(1), n) for n, line in enumerate(visible_lines(source), 1) for bucket, p in _DECLARED if (m := p.match(line))]
-    found = list(dict.fromkeys(found))
-    try:
-        for node in ast.parse(source).body:
-            if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets):
-                if isinstance(node.value, (ast.List, ast.Tuple)) and all(isinstance(e, ast.Constant) and isinstance(e.value, str) for e in node.value.elts):
-                    found += [("exports", e.value, node.lineno) for e in node.value.elts]
-    except (SyntaxError, ValueError):
-        pass
+def _literal_exports(source: str) -> list[tuple[str, int]]:
+    """(name, byte offset) of every ``__all__`` that is a flat list or tuple of plain names; any other form voids them all."""
+    found = []
+    for head in _ALL.finditer(source):
+        value = _ALL_LIST.match(source, head.end())
+        if not value:
+            return []
+        start = len(source[: head.start()].encode())
+        found += [(name, start) for name in re.findall(r"\w+", value.group(1) or value.group(2) or "")]
     return found
 
 
+def _said(code: str) -> tuple[str | None, str, list[str]]:
+    """(bucket, name, exported names) of a line of the Node family; no bucket where it declares nothing."""
+    own = lambda name: [name] if code.startswith("export") else []
+    for bucket, form in _NODE_FORMS:
+        if m := form.match(code):
+            return bucket, m[1], own(m[1])
+    if m := _BINDING.match(code):
+        callable_ = _CALLABLE.match(m["value"].strip()) or (m["kind"] and _COMPONENT.match(m["kind"].strip()))
+        return ("functions" if callable_ else None), m[1], own(m[1])
+    if m := _EXPORT_LIST.match(code):
+        names = [part.split(" as ")[-1].strip() for part in m[1].split(",")]
+        return None, "", [n for n in names if re.fullmatch(_NAME, n)]
+    if m := _EXPORT_OBJECT.match(code):
+        members = [re.match(rf"({_NAME})\s*(?::|$)", part.strip()) for part in m[1].split(",")]
+        return None, "", [] if "..." in m[1] or "[" in m[1] else [x[1] for x in members if x]
+    return None, "", next(([m[1]] for form in _NAMED_EXPORT if (m := form.match(code))), [])
+
+
+def declarations(source: str, language: str | None) -> list[tuple[str, str, int]]:
+    """(bucket, name, byte offset of its line) that lines of code prove; exports in order, each once.
+
+    Only Python and the Node family have such lines; a file of any other language proves nothing.
+    """
+    lang = (language or "").lower()
+    if lang != "python" and lang not in NODE:
+        return []
+    lines = visible_lines(source)
+    found, exports = [], []
+    if lang == "python":
+        shown = {start for start, code in lines if code.lstrip().startswith("__all__")}
+        exports = [(name, start) for name, start in _literal_exports(source) if start in shown]
+    for start, code in lines:
+        code = code.strip()
+        if lang == "python":
+            found += [(bucket, m[1], start) for bucket, form in _PYTHON_FORMS if (m := form.match(code))]
+            continue
+        bucket, name, names = _said(code)
+        found += [(bucket, name, start)] if bucket else []
+        exports += [(n, start) for n in names]
+    first: dict[str, int] = {}
+    for name, start in exports:
+        first.setdefault(name, start)
+    return [*found, *(("exports", name, start) for name, start in first.items())]
+
+
 def proven(files: DataFrame) -> DataFrame:
-    """(rel, bucket, name, line) over files (rel, content)."""
+    """(rel, bucket, name, start) over files (rel, language, content): what their own lines prove, at its byte."""
 
     def prove(batches):
         for rows in batches:
-            out = [(r.rel, *d) for r in rows.itertuples() for d in declarations(r.content or "")]
-            yield pd.DataFrame(out, columns=["rel", "bucket", "name", "line"])
+            out = [(r.rel, *d) for r in rows.itertuples() for d in declarations(r.content or "", r.language)]
+            yield pd.DataFrame(out, columns=["rel", "bucket", "name", "start"])
 
-    return files.select("rel", "content").mapInPandas(prove, "rel string, bucket string, name string, line int")
+    return files.select("rel", "language", "content").mapInPandas(prove, "rel string, bucket string, name string, start bigint")

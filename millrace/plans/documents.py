@@ -252,8 +252,8 @@ _LEVELS = """lv AS (
   SELECT rel, n AS total, 1 AS level, CAST(ceil(n / 5.0) AS BIGINT) AS after_, CAST(n % 5 = 1 AS BIGINT) AS single FROM leaves WHERE n > 1
   UNION ALL
   SELECT rel, after_, level + 1, CAST(ceil(after_ / 5.0) AS BIGINT), CAST(after_ % 5 = 1 AS BIGINT) FROM lv WHERE after_ > 1 AND level < 6)"""
-_WORDS = """words0 AS (SELECT doc_id, source AS folder, list_slice(regexp_split_to_array(text, '[^A-Za-z]+'), 1, 40) AS ws FROM documents),
-words AS (SELECT folder, doc_id * 100 + generate_subscripts(ws, 1) - 1 AS ord, unnest(ws) AS concept FROM words0),
+_WORDS = """words0 AS (SELECT doc_id, source AS folder, regexp_split_to_array(text, '[^A-Za-z]+') AS ws FROM documents),
+words AS (SELECT folder, doc_id * 100000000 + generate_subscripts(ws, 1) - 1 AS ord, unnest(ws) AS concept FROM words0),
 counted AS (SELECT folder, concept, count(*) AS n, min(ord) AS first_ FROM words WHERE concept <> '' GROUP BY folder, concept),
 top AS (SELECT folder, CAST(row_number() OVER (PARTITION BY folder ORDER BY n DESC, first_) AS INTEGER) AS rank, concept, n FROM counted QUALIFY rank <= 5)"""
 _MARK = "chr(10) || '... [truncated] ...' || chr(10)"
@@ -280,7 +280,7 @@ SELECT doc_id, length(t) AS chars, sha256(t) AS digest FROM c""",
     "oversized_route_view": f"WITH {_PLAN} SELECT rel, chars, 'truncate' AS view, route = 'agent' AS payable FROM planned WHERE chars > 12000",
     "greedy_chunks": f"WITH RECURSIVE {_PACKED} SELECT rel, chunk, first_ord, last_ord, atoms, chars FROM chunks",
     "chunk_reasons": f"""WITH RECURSIVE {_PACKED}, r AS (SELECT *, lead(big) OVER w AS next_big, lead(chunk) OVER w AS nxt FROM chunks WINDOW w AS (PARTITION BY rel ORDER BY chunk))
-SELECT CASE WHEN big THEN 'oversized' WHEN nxt IS NULL THEN 'end' WHEN next_big THEN 'isolation' ELSE 'source' END AS reason, count(*) AS chunks, CAST(sum(chars) AS BIGINT) AS chars FROM r GROUP BY 1""",
+SELECT CASE WHEN big THEN 'continuation' WHEN nxt IS NULL THEN 'end-of-file' WHEN next_big THEN 'oversized-unit-isolation' ELSE 'source-ceiling' END AS reason, count(*) AS chunks, CAST(sum(chars) AS BIGINT) AS chars FROM r GROUP BY 1""",
     "capacity_blocks": f"""WITH {_ATOMS}, n AS (SELECT rel, count(*) AS atoms FROM atoms GROUP BY rel)
 SELECT CASE WHEN atoms * 100 > 4096 THEN 'atom-cap' WHEN atoms * 5 > 256 THEN 'chunk-cap' ELSE 'fits' END AS reason, count(*) AS files FROM n GROUP BY 1""",
     "reduction_levels": f"WITH RECURSIVE {_ATOMS}, leaves AS (SELECT rel, count(*) AS n FROM atoms GROUP BY rel), {_LEVELS} SELECT rel, level, after_ - single AS nodes, single AS passed_on FROM lv",
@@ -302,7 +302,7 @@ SELECT ranked.source, cap, rank, CAST(count(taken.source) AS BIGINT) AS quota FR
     "folder_summaries": f"""WITH {_WORDS}, {_FILES}, g AS (SELECT split_part(rel, '/', 1) AS folder, count(*) AS c, array_to_string(list_sort(list_distinct(list(language))), ', ') AS ls FROM files GROUP BY 1),
 t AS (SELECT folder, string_agg(concept, ', ' ORDER BY rank) AS cs FROM top GROUP BY folder)
 SELECT folder, 'Files under `' || folder || '` (' || c || ' ' || ls || ' file(s)). Common concepts: ' || cs || '.' AS summary FROM g JOIN t USING (folder)""",
-    "source_acronyms": """SELECT DISTINCT doc_id, w AS acronym FROM (SELECT doc_id, unnest(regexp_split_to_array(translate(substr(text, 1, 300), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Za-z0-9_]+')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Z][A-Z0-9]{1,5}')""",
+    "source_acronyms": """SELECT DISTINCT doc_id, w AS acronym FROM (SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Za-z0-9_]+')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Z][A-Z0-9]{1,5}')""",
     "call_manifest": f"""WITH RECURSIVE {_PACKED}, planned AS (SELECT f.*, CASE WHEN coalesce(l.quality = 1, false) THEN 'unchanged' ELSE 'agent' END AS route FROM files f LEFT JOIN labels l USING (doc_id)),
 big AS (SELECT c.rel, count(*) AS leaves FROM chunks c JOIN planned p ON p.rel = c.rel WHERE p.chars > 12000 AND p.route = 'agent' GROUP BY c.rel),
 calls AS (

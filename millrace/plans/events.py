@@ -71,13 +71,14 @@ def clean_list_arrays(spark, sf):
 
 def clean_fixed_arrays(spark, sf):
     said = table(spark, sf, "conversations").filter("role = 'assistant'")
-    return said.select("conv_id", "turn", F.size(rs.clean_fixed(F.split("text", "[ ,]"), 6)).cast("bigint").alias("kept"))
+    return said.select("conv_id", "turn", F.array_join(rs.clean_fixed(F.split("text", "[ ,]"), 6), " ").alias("kept"))
 
 
 def clean_symbol_arrays(spark, sf):
     said = table(spark, sf, "conversations").filter("role = 'assistant'")
     symbols = F.transform(F.split("text", r"\."), lambda s: F.struct(F.split_part(F.trim(s), F.lit(" "), F.lit(1)).alias("name"), s.alias("description")))
-    return said.select("conv_id", "turn", F.size(rs.clean_symbols(symbols, 5)).cast("bigint").alias("symbols"))
+    kept = F.transform(rs.clean_symbols(symbols, 5), lambda s: F.concat(s["name"], F.lit("="), s["description"]))
+    return said.select("conv_id", "turn", F.sha2(F.array_join(kept, "\n"), 256).alias("symbols"))
 
 
 def contract_validation(spark, sf):
@@ -90,8 +91,7 @@ def contract_validation(spark, sf):
 def bounded_answers(spark, sf):
     importable(spark)
     said = table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.to_json(F.struct(F.col("text").alias("description"), F.split("text", " ").alias("key_concepts"))).alias("answer"))
-    cut = rs.bounded_json(F.col("answer"), 200)
-    return said.select("conv_id", "turn", (F.length(cut) <= 200).alias("fits"), (F.length("answer") <= 200).alias("fitted"))
+    return said.select("conv_id", "turn", rs.bounded_json(F.col("answer"), 200).alias("answer"))
 
 
 def pruned_answers(spark, sf):
@@ -152,14 +152,16 @@ def reconciliation(spark, sf):
 
 
 CODE = (
-    ("a.py", '"""doc\ndef no(): pass\n"""\nclass A:  # class B\n    def run(self): pass\n    async def go(self): pass\nx = "def no2():"\n__all__ = ["A", "x"]\n'),
-    ("b.ts", "/* class No {\n */\nexport default class View {}\nexport const use = (a: number): string => a\nfunction* gen() {}\n// function no() {}\nexport interface Shape {}\n"),
+    ("a.py", "python", '"""doc\ndef no(): pass\n"""\nclass A:  # class B\n    def run(self): pass\n    async def go(self): pass\nx = "def no2():"\n__all__ = ["A", "x"]\n'),
+    ("b.ts", "TypeScript", "/* class No {\n */\nexport default class View {}\nexport const use = (a: number): string => a\nfunction* gen() {}\n// function no() {}\nexport interface Shape {}\nexport { use, gen as made }\nexport const size = 3\n"),
+    ("c.js", "javascript", "module.exports = { a, b: 1 }\nvar é = 1; exports.late = 2\nclass Öl {}\nconst f = x => x\nlet n = 5\nexports.é = f\n`\nclass Hidden {}\n` + class_\n"),
+    ("d.java", "java", "class No {}\n"), ("e.py", "python", "__all__ = ['a'] + other\n'\'\'\nx'\'\'; y\nclass After: pass\n"), ("f.py", "python", None),
 )
 
 
 def lexical_proof(spark, sf):
     importable(spark)
-    return lg.proven(spark.createDataFrame(list(CODE), "rel string, content string"))
+    return lg.proven(spark.createDataFrame(list(CODE), "rel string, language string, content string"))
 
 
 def rate_limits(spark, sf):
@@ -182,7 +184,20 @@ def failure_verdicts(spark, sf):
 
 def feasibility_notes(spark, sf):
     rows = [(t,) for t in ("Describe the whole Repository", "list all files that import it", "usages across other modules", "every known reference to it, all references", "only this file", "repo-wide codebase", "all imports from x", "its callers")]
-    return spark.createDataFrame(rows, "instruction string").withColumn("category", cl.cross_file(F.col("instruction")))
+    units = spark.createDataFrame([(n, "single/file/*", "description", t[0], "only this file") for n, t in enumerate(rows)], "ord int, component string, field string, instruction string, default_instruction string")
+    return cl.feasibility_notes(units.unionByName(units.withColumn("ord", F.col("ord") + 100)))
+
+
+def feasibility_signs(spark, sf):
+    return spark.createDataFrame([(t,) for t, _ in SIGNS], "instruction string").withColumn("category", cl.cross_file(F.col("instruction")).getField("category"))
+
+
+SIGNS = (
+    ("look at Every file", "every_file"), ("each  file here", "each_file"), ("list ALL files", "all_files"), ("see another file", "other_file"), ("other files", "other_file"), ("a different file", "different_file"),
+    ("across all files", "all_files"), ("across files", "across_files"), ("across the project", "project_scope"), ("the whole project", "project_scope"), ("project wide", "project_scope"), ("the Repository", "repository_scope"),
+    ("repo wide", "repository_scope"), ("this codebase", "codebase_scope"), ("other modules", "other_modules"), ("files that import it", "importers"), ("its callers", "callers"), ("usages across it", "cross_file_usages"),
+    ("every known reference", "all_references"), ("all imports from x", "all_imports_from"), ("only this file", None), ("everyfile", None), ("small files", None),
+)
 
 
 def provider_choice(spark, sf):
@@ -216,18 +231,26 @@ def strongest_scope(spark, sf):
 
 
 def prompt_answers(spark, sf):
+    """Answers in place of a model: prose instead of an object to a prompt whose digest begins with 0 to 3, and then again if the second does."""
+    importable(spark)
     first = docs.files(spark, sf).withColumn("prompt", en.prompt(F.col("rel"), F.col("language"), F.col("content"), 12_000)).select("rel", "prompt")
-    return en.corrected(first).groupBy("attempts").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("body").isNotNull()).alias("objects"))
+    return en.corrected(first, _moody).select("rel", "attempts", F.sha2("body", 256).alias("body"))
+
+
+def _moody(prompts: list[str]) -> list[str]:
+    import hashlib
+
+    return [a if hashlib.sha256(p.encode()).hexdigest()[0] > "3" else f"Sorry, {len(p)}" for p, a in zip(prompts, en.echo(prompts), strict=True)]
 
 
 def agent_bodies(spark, sf):
-    return en.agents(docs.files(spark, sf), "triple").groupBy("agent").agg(F.count(F.lit(1)).alias("calls"))
+    return en.agents(docs.files(spark, sf), "triple").select("rel", "agent", "body")
 
 
 def tree_answers(spark, sf):
     large = docs.files(spark, sf).filter("length(content) > 12000")
     atoms = dv.line_atoms(large).select("rel", "ord", F.col("source").alias("prompt"))
-    return en.reduced(atoms, width=5).select("rel", F.col("body").isNotNull().alias("done"))
+    return en.reduced(atoms, width=5)
 
 
 def markdown_round_trip(spark, sf):
@@ -235,7 +258,7 @@ def markdown_round_trip(spark, sf):
     none = F.lit(None).cast("string")
     records = docs.prior(spark, sf).select("path", "hash", "language", F.concat(F.lit("About "), "path").alias("description"), F.array(F.lit("x"), F.col("language")).alias("key_concepts"), *[F.coalesce(c, none).alias(c) for c in docs.pl.IDENTITY])
     back = rc.from_markdown(rc.to_markdown(records))
-    return rc.disagreements(records, back).agg(F.count(F.lit(1)).alias("differing"))
+    return back.select("path", "hash", "language", "description", F.array_join("key_concepts", ",").alias("key_concepts"), F.col("ordinary_path_identity").alias("identity"))
 
 
 def cross_document(spark, sf):
@@ -286,8 +309,7 @@ def incremental_stream(spark, sf):
     source.select(F.col("user_id").cast("string").alias("rel"), F.col("event_id").alias("seq"), F.col("event_type").alias("hash")).repartition(4).write.parquet(f"{folder}/in")
     rows = inc.stream(spark, f"{folder}/in", "rel string, seq long, hash string", 1)
     inc.run_once(rows, uuid.uuid4().hex, inc.changed_only(f"{folder}/out"))
-    written = spark.read.parquet(f"{folder}/out")
-    return written.groupBy("rel").agg(F.max_by("hash", "seq").alias("hash")).groupBy("hash").agg(F.count_distinct("rel").alias("files_seen")).select(F.sum("files_seen").alias("files_seen"))
+    return inc.state(spark, f"{folder}/out").select("rel", "hash", "seq")
 
 
 def windowed_counts(spark, sf):
@@ -301,7 +323,7 @@ def windowed_counts(spark, sf):
 
 NAMES = (
     "queue_status_counts", "consecutive_failure_abort", "json_candidate", "clean_lists", "removal_report", "clean_list_arrays", "clean_fixed_arrays", "clean_symbol_arrays", "contract_validation", "bounded_answers", "pruned_answers",
-    "terminology", "usage_examples", "ledger_merge", "fact_occurrences", "scope_allocation", "reconciliation", "lexical_proof", "rate_limits", "backoff_ladder", "failure_verdicts", "feasibility_notes", "provider_choice",
+    "terminology", "usage_examples", "ledger_merge", "fact_occurrences", "scope_allocation", "reconciliation", "lexical_proof", "rate_limits", "backoff_ladder", "failure_verdicts", "feasibility_notes", "feasibility_signs", "provider_choice",
     "error_summary", "correction_counts", "division_figures", "strongest_scope", "prompt_answers", "agent_bodies", "tree_answers", "markdown_round_trip", "cross_document", "recovery_identity", "recovered_tree", "upsert_records",
     "file_sections", "run_figures", "incremental_stream", "windowed_counts",
 )
@@ -313,7 +335,14 @@ vals AS (SELECT id, idx, left(nullif(trim(item, ' \t\n\r'), ''), 6) AS value FRO
 firsts AS (SELECT *, value IS NOT NULL AND row_number() OVER (PARTITION BY id, value ORDER BY idx) = 1 AS f FROM vals),
 marked AS (SELECT *, CASE WHEN value IS NULL THEN 'invalid_value' WHEN NOT f THEN 'duplicate' WHEN sum(CAST(f AS INT)) OVER (PARTITION BY id ORDER BY idx) > 32 THEN 'item_limit' END AS reason FROM firsts)"""
 _ITEMS = _ITEMS.replace("' \t\n\r'", "concat(' ', chr(9), chr(10), chr(13))")
-_FACTS = """facts AS (SELECT concat('f', conv_id % 7) AS rel, conv_id * 1000 + turn AS ord, role AS kind, split_part(trim(text), ' ', 1) AS name, CASE WHEN turn > 0 THEN nullif(trim(substr(text, 1, 30)), '') END AS description FROM conversations)"""
+_FACTS = r"""facts AS (SELECT concat('f', conv_id % 7) AS rel, conv_id * 1000 + turn AS ord, role AS kind, trim(regexp_replace(nfc_normalize(split_part(trim(text), ' ', 1)), '\s+', ' ', 'g')) AS name, CASE WHEN turn > 0 THEN nullif(trim(text), '') END AS description FROM conversations)"""
+
+_PROMPT = f"'File: ' || rel || chr(10) || 'Language: ' || language || chr(10) || chr(10) || CASE WHEN chars <= 12000 THEN content ELSE substr(content, 1, 8385) || {docs._MARK} || right(content, 3594) END"
+_ECHO = """'{{"description": "' || length({0}) || ' characters, ' || left(sha256({0}), 12) || '", "role_in_system": "", "key_concepts": []}}'"""
+_TREE = ",\n".join(
+    f"g{n} AS (SELECT rel, ord // 5 AS ord, count(*) AS n, min(answer) AS one, string_agg('- ' || answer, chr(10) ORDER BY ord) AS p FROM a{n - 1} GROUP BY ALL), a{n} AS (SELECT rel, ord, CASE WHEN n = 1 THEN one ELSE {_ECHO.format('p')} END AS answer FROM g{n})"
+    for n in range(1, 7)
+)
 
 ORACLE_SQL = {
     "queue_status_counts": """WITH l AS (SELECT user_id, max_by(['unchecked', 'in_progress', 'checked', 'failed'][event_id % 4 + 1], event_id) AS status FROM events GROUP BY user_id)
@@ -326,43 +355,60 @@ SELECT queue, seq, outcome, run, coalesce(max(CAST(run >= 5 AS INT)) OVER (PARTI
     "clean_lists": f"WITH {_ITEMS} SELECT id, idx, value FROM marked WHERE reason IS NULL",
     "removal_report": f"WITH {_ITEMS} SELECT reason, count(*) AS n, max(idx) AS last FROM marked WHERE reason IS NOT NULL GROUP BY reason",
     "clean_list_arrays": f"WITH {_ITEMS}, k AS (SELECT id, value, row_number() OVER (PARTITION BY id ORDER BY idx) AS nth, idx FROM firsts WHERE f QUALIFY nth <= 16) SELECT conv_id, turn, coalesce(string_agg(value, ' ' ORDER BY idx), '') AS kept FROM items0 LEFT JOIN k USING (id) GROUP BY conv_id, turn",
-    "clean_fixed_arrays": f"WITH {_ITEMS} SELECT conv_id, turn, count(DISTINCT CASE WHEN length(trim(item)) BETWEEN 1 AND 6 THEN trim(item, concat(' ', chr(10))) END) AS kept FROM items0 LEFT JOIN items USING (id) GROUP BY conv_id, turn",
+    "clean_fixed_arrays": f"WITH {_ITEMS}, t AS (SELECT id, idx, trim(item, concat(' ', chr(9), chr(10), chr(13))) AS v FROM items), k AS (SELECT id, v, min(idx) AS idx FROM t WHERE length(v) BETWEEN 1 AND 6 GROUP BY ALL) SELECT conv_id, turn, coalesce(string_agg(v, ' ' ORDER BY idx), '') AS kept FROM items0 LEFT JOIN k USING (id) GROUP BY conv_id, turn",
+    "clean_symbol_arrays": """WITH s AS (SELECT conv_id, turn, regexp_split_to_array(text, '[.]') AS ss FROM conversations WHERE role = 'assistant'),
+x AS (SELECT conv_id, turn, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM s),
+v AS (SELECT conv_id, turn, i, left(trim(split_part(trim(s), ' ', 1), concat(' ', chr(9), chr(10), chr(13))), 128) AS name, left(nullif(trim(s, concat(' ', chr(9), chr(10), chr(13))), ''), 300) AS d FROM x),
+f AS (SELECT conv_id, turn, name, d, min(i) AS i FROM v WHERE name <> '' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS nth FROM f QUALIFY nth <= 5)
+SELECT s.conv_id, s.turn, sha256(coalesce(string_agg(k.name || '=' || k.d, chr(10) ORDER BY k.i), '')) AS symbols FROM s LEFT JOIN k USING (conv_id, turn) GROUP BY ALL""",
     "contract_validation": """SELECT conv_id, turn, array_to_string(list_filter(['the', 'and', 'of', 'nowhere'], lambda w: NOT list_contains(regexp_split_to_array(text, '[ .,]+'), w)), ',') AS missing FROM conversations""",
-    "bounded_answers": """SELECT conv_id, turn, true AS fits, length(to_json({'description': text, 'key_concepts': string_split(text, ' ')})) <= 200 AS fitted FROM conversations WHERE role = 'assistant'""",
+    "bounded_answers": """WITH a AS (SELECT conv_id, turn, text, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'),
+n AS (SELECT conv_id, turn, text, length(CAST(to_json(text) AS VARCHAR)) AS d, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM a),
+u AS (SELECT *, sum(length(CAST(to_json(w) AS VARCHAR)) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i) AS upto FROM n),
+k AS (SELECT conv_id, turn, any_value(text) AS text, any_value(d) AS d, list(w ORDER BY i) FILTER (33 + d + upto <= 200) AS kept FROM u GROUP BY conv_id, turn),
+t AS (SELECT *, (SELECT max(r.k) FROM (SELECT unnest(range(0, length(text))) AS k) r WHERE 16 + length(CAST(to_json(substr(text, 1, r.k) || chr(10) || '... [truncated] ...' || chr(10)) AS VARCHAR)) <= 200) AS m FROM k)
+SELECT conv_id, turn, CASE WHEN kept IS NOT NULL THEN '{"description":' || to_json(text) || ',"key_concepts":' || to_json(kept) || '}' WHEN 16 + d <= 200 THEN '{"description":' || to_json(text) || '}' ELSE '{"description":' || to_json(substr(text, 1, m) || chr(10) || '... [truncated] ...' || chr(10)) || '}' END AS answer FROM t""",
     "pruned_answers": """SELECT * FROM (VALUES ('{"a": null, "b": "", "c": [], "d": {"e": {}}, "f": 0, "g": false, "h": [null, "x", {"i": ""}]}', '{"f":0,"g":false,"h":["x"]}'), ('{"z": {"y": [[]]}}', '{}'), ('{"k": "v"}', '{"k":"v"}')) AS t(answer, pruned)""",
     "terminology": """SELECT * FROM (VALUES ('Uses the Data Processing Record table.', 'DPR = 1', '', true), ('Uses the Data Processing Record table.', 'DPR = 1', 'Data Processing Record', false), ('Uses Data of the Record', 'DR', '', true),
 ('Data Processing Reporter', 'DPR', 'Data Processing Report', true), ('Data-Processing Record', 'DPR', '', false), ('all lower', 'AL', '', false), ('Alpha Beta Gamma', 'BG', '', true), ('Alpha Beta', 'XABY', '', false), ('Alpha Beta', 'AB', 'xAlpha Beta', true)) AS t(value, source, evidence, invented)""",
-    "usage_examples": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS example FROM conversations",
+    "usage_examples": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS example FROM conversations",
     "ledger_merge": f"WITH {_FACTS} SELECT rel, kind, name, min(ord) AS first_ord, coalesce(min_by(description, ord) FILTER (description IS NOT NULL), '') AS description, array_to_string(list_sort(list_distinct(list(ord))), ',') AS origins FROM facts WHERE name <> '' GROUP BY rel, kind, name",
     "fact_occurrences": f"WITH {_FACTS} SELECT rel, lpad(CAST(ord AS VARCHAR), 12, '0') AS canonical, CAST(row_number() OVER (PARTITION BY rel, kind, name ORDER BY ord % 2 <> 0, lpad(CAST(ord AS VARCHAR), 12, '0')) - 1 AS INTEGER) AS occurrence FROM facts",
     "scope_allocation": "SELECT * FROM (VALUES ('a', 0, 'f1', 's2'), ('a', 0, 'f2', 's1'), ('a', 0, 'f3', 's3'), ('a', 0, 'f4', 's4'), ('a', 0, 'f5', NULL), ('a', 1, 'f6', 's5')) AS t(rel, chunk, fact, symbol)",
     "reconciliation": "SELECT * FROM (VALUES ('a', 'functions', 'run', 'run(x)', 10, 'runs x'), ('a', 'functions', 'run', 'run(y)', 20, NULL), ('a', 'classes', 'A', '', 30, 'a class after all'), ('a', 'functions', 'solo', 'solo()', 40, 'alone')) AS t(rel, bucket, name, signature, start, description)",
-    "lexical_proof": "SELECT * FROM (VALUES ('a.py', 'classes', 'A', 4), ('a.py', 'functions', 'run', 5), ('a.py', 'functions', 'go', 6), ('a.py', 'exports', 'A', 8), ('a.py', 'exports', 'x', 8), ('b.ts', 'classes', 'View', 3), ('b.ts', 'functions', 'use', 4), ('b.ts', 'functions', 'gen', 5), ('b.ts', 'classes', 'Shape', 7)) AS t(rel, bucket, name, line)",
+    "lexical_proof": "SELECT * FROM (VALUES ('a.py', 'classes', 'A', 26), ('a.py', 'functions', 'run', 46), ('a.py', 'functions', 'go', 70), ('a.py', 'exports', 'A', 116), ('a.py', 'exports', 'x', 116), ('b.ts', 'classes', 'View', 18), ('b.ts', 'exports', 'View', 18), ('b.ts', 'functions', 'use', 47), ('b.ts', 'exports', 'use', 47), ('b.ts', 'functions', 'gen', 91), ('b.ts', 'exports', 'made', 156), ('b.ts', 'exports', 'size', 184), ('c.js', 'exports', 'a', 0), ('c.js', 'exports', 'b', 0), ('c.js', 'classes', 'Öl', 58), ('c.js', 'functions', 'f', 71), ('c.js', 'exports', 'é', 98), ('e.py', 'classes', 'After', 36)) AS t(rel, bucket, name, start)",
     "rate_limits": "SELECT * FROM (VALUES ('Limit: 10 tokens per min', 'tpm', true), ('TPM exceeded', 'tpm', false), ('rpm', 'rpm', false), ('requests per min and quota', 'rpm', false), ('Daily limit', 'quota', true), ('RESOURCE_EXHAUSTED', 'quota', false), ('error 529', 'overloaded', false), ('stpm', NULL, false), ('Overloaded', 'overloaded', false), ('else', NULL, true)) AS t(message, kind, signalled)",
     "backoff_ladder": """WITH w AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS workers), l AS (SELECT workers, CASE WHEN workers = 1 THEN [1] WHEN workers = 2 THEN [2, 1] WHEN workers = 3 THEN [3, 2, 1] ELSE [workers, workers // 2, 1] END AS ls FROM w),
 u AS (SELECT workers, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS rung, CAST(unnest(ls) AS INTEGER) AS level FROM l)
 SELECT workers, rung, level, least(60.0::DOUBLE, CASE WHEN workers % 3 = 0 THEN workers * 20.0::DOUBLE ELSE 2.0 * pow(3.0, rung) END) AS seconds FROM u""",
     "failure_verdicts": """WITH p AS (SELECT * FROM (SELECT unnest([true, false]) AS insufficient) CROSS JOIN (SELECT unnest([true, false]) AS contract) CROSS JOIN (SELECT unnest([NULL, 'provider-quota-exhausted', 'provider-rate-limited', 'provider-authentication-rejected', 'provider-input-rejected']) AS reason))
 SELECT *, CASE WHEN insufficient THEN 'insufficient_source' WHEN contract THEN 'response_contract_final' WHEN reason = 'provider-quota-exhausted' THEN 'terminal_billing' WHEN reason = 'provider-rate-limited' THEN 'rate_limit' WHEN reason = 'provider-authentication-rejected' THEN 'global' WHEN reason = 'provider-input-rejected' THEN 'input' ELSE 'transient' END AS verdict FROM p""",
-    "feasibility_notes": "SELECT * FROM (VALUES ('Describe the whole Repository', 'repository_scope'), ('list all files that import it', 'importers'), ('usages across other modules', 'other_modules'), ('every known reference to it, all references', 'all_references'), ('only this file', NULL), ('repo-wide codebase', 'repository_scope'), ('all imports from x', 'all_imports_from'), ('its callers', 'callers')) AS t(instruction, category)",
+    "feasibility_notes": "SELECT ord, 'single/file/* description: asks for ' || shown || ' (' || category || '), but one pass sees one file only' AS note FROM (VALUES (0, 'repository_scope', 'repository/repo-wide'), (1, 'all_files', 'all files'), (2, 'other_modules', 'other modules'), (3, 'all_references', 'all/every references'), (6, 'all_imports_from', 'all imports from'), (7, 'callers', 'callers')) AS t(ord, category, shown)",
+    "feasibility_signs": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if c is None else repr(c)})" for t, c in SIGNS) + ") AS t(instruction, category)",
     "provider_choice": """WITH p AS (SELECT * FROM (SELECT unnest(['auto', 'openai', NULL]) AS name) CROSS JOIN (SELECT unnest(['claude-x', 'Gemini-2', 'gpt-x', '']) AS model))
 SELECT *, CASE WHEN name = 'openai' THEN 'openai' WHEN lower(model) LIKE 'claude%' THEN 'anthropic' WHEN lower(model) LIKE 'gemini%' THEN 'gemini' ELSE 'openai' END AS provider FROM p""",
-    "error_summary": """SELECT CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'warning' END AS level, count(*) AS n, CASE WHEN min(event_id % 5) = 0 THEN sha256(string_agg(event_type, chr(10) ORDER BY event_id)) ELSE '' END AS messages FROM events WHERE event_id < 300 GROUP BY 1""",
+    "error_summary": """SELECT CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'warning' END AS level, count(*) AS n, CASE WHEN min(event_id % 5) = 0 THEN sha256(string_agg(event_type, chr(10) ORDER BY event_id)) ELSE '' END AS messages FROM events GROUP BY 1""",
     "correction_counts": "SELECT count(*) FILTER (event_id % 4 = 0) AS contract_failure, count(*) FILTER (event_id % 4 = 1) AS attempt, count(*) FILTER (event_id % 4 = 2) AS success, count(*) FILTER (event_id % 4 = 3) AS failure FROM events",
     "division_figures": f"""WITH RECURSIVE {docs._PACKED}, u AS (SELECT rel, count(*) AS units, sum(chars) AS chars FROM atoms GROUP BY rel), c AS (SELECT rel, count(*) AS chunks FROM chunks GROUP BY rel),
 r AS (SELECT CASE WHEN chars > 12000 THEN 'divided' ELSE 'ordinary' END AS mode, units, chunks FROM u JOIN c USING (rel))
 SELECT coalesce(mode, 'all') AS mode, count(*) AS files, CAST(sum(units) AS BIGINT) AS units, CAST(sum(chunks) AS BIGINT) AS chunks, count(*) FILTER (chunks > 10) AS blocked FROM r GROUP BY CUBE (mode)""",
-    "strongest_scope": """WITH m AS (SELECT user_id, max(event_id % 3) AS s FROM events WHERE event_id % 4 <> 1 GROUP BY user_id) SELECT ['common', 'extension', 'file'][s + 1] AS scope, count(*) AS files FROM m GROUP BY 1""",
-    "prompt_answers": "SELECT 1 AS attempts, count(*) AS files, count(*) AS objects FROM documents WHERE length(text) < 3000",
-    "agent_bodies": "SELECT unnest(['structure', 'dependency', 'documentation']) AS agent, (SELECT count(*) FROM documents WHERE length(text) < 1000) AS calls",
-    "tree_answers": f"WITH {docs._FILES} SELECT rel, true AS done FROM files WHERE chars > 12000",
-    "markdown_round_trip": "SELECT 0::BIGINT AS differing",
+    "strongest_scope": """WITH m AS (SELECT user_id, max(event_id % 3) AS s FROM events GROUP BY user_id) SELECT ['common', 'extension', 'file'][s + 1] AS scope, count(*) AS files FROM m GROUP BY 1""",
+    "prompt_answers": f"""WITH {docs._FILES}, p AS (SELECT rel, {_PROMPT} AS p FROM files), a AS (SELECT rel, p, left(sha256(p), 1) <= '3' AS bad, p || chr(10) || chr(10) || 'Answer with one JSON object. This was none:' || chr(10) || 'Sorry, ' || length(p) AS q FROM p)
+SELECT rel, CASE WHEN bad THEN 2 ELSE 1 END AS attempts, CASE WHEN NOT bad THEN sha256({_ECHO.format('p')}) WHEN left(sha256(q), 1) > '3' THEN sha256({_ECHO.format('q')}) END AS body FROM a""",
+    "agent_bodies": f"""WITH {docs._FILES}, p AS (SELECT rel, {_PROMPT} AS p FROM files),
+s AS (SELECT rel, 'structure' || chr(10) || p AS s, 'dependency' || chr(10) || p AS d FROM p), a AS (SELECT rel, {_ECHO.format('s')} AS s, {_ECHO.format('d')} AS d FROM s),
+k AS (SELECT rel, 'dependency: ' || d || chr(10) || 'structure: ' || s AS k FROM a)
+SELECT rel, 'structure' AS agent, s AS body FROM a UNION ALL SELECT rel, 'dependency', d FROM a UNION ALL SELECT rel, 'documentation', {_ECHO.format('k')} FROM k""",
+    "tree_answers": f"""WITH {docs._ATOMS}, a0 AS (SELECT rel, ord, {_ECHO.format('source')} AS answer FROM atoms WHERE rel IN (SELECT rel FROM files WHERE chars > 12000)),
+{_TREE}
+SELECT rel, answer AS body FROM a6""",
+    "markdown_round_trip": f"WITH {docs._FILES} SELECT rel AS path, CASE WHEN l.quality = 1 THEN hash ELSE sha256(content || '#') END AS hash, language, 'About ' || rel AS description, 'x,' || language AS key_concepts, CASE WHEN chars >= 0 THEN 'path_' || sha256(rel) END AS identity FROM files JOIN labels l USING (doc_id)",
     "cross_document": "SELECT 'path' AS fields, count(*) AS paths FROM documents JOIN labels USING (doc_id) WHERE lang = 'fr'",
     "recovery_identity": "SELECT CASE WHEN lang = 'de' THEN 'analysis_mode' ELSE 'none' END AS mismatch, count(*) AS records FROM documents JOIN labels USING (doc_id) GROUP BY 1",
     "recovered_tree": "SELECT CASE o_orderkey % 10 WHEN 9 THEN 'stale-identity' WHEN 1 THEN 'stale-identity' WHEN 2 THEN 'input-digest-mismatch' WHEN 3 THEN 'stage-mismatch' WHEN 4 THEN 'child-order-mismatch' WHEN 5 THEN 'coverage-mismatch' WHEN 6 THEN 'live-schema-mismatch' ELSE 'valid' END AS reason, count(*) AS nodes FROM orders GROUP BY 1",
     "upsert_records": "SELECT source = 'src1' AS fresh, count(*) AS records FROM documents JOIN labels USING (doc_id) WHERE source <> 'src2' GROUP BY 1",
-    "file_sections": f"""WITH {docs._FILES} SELECT rel, sha256(concat_ws(chr(10) || chr(10), '### `' || rel || '`', '**Language:** ' || language, CASE WHEN chars > 2000 THEN '**Description:** ' || substr(content, 1, 20) END, '**Key concepts:** ' || language)) AS digest FROM files""",
+    "file_sections": f"""WITH {docs._FILES} SELECT rel, sha256(concat_ws(chr(10) || chr(10), '### `' || rel || '`', '**Language:** ' || language, CASE WHEN chars > 2000 THEN '**Description:** ' || content END, '**Key concepts:** ' || language)) AS digest FROM files""",
     "run_figures": f"WITH {docs._PLAN} SELECT count(*) FILTER (route = 'agent') AS documented, count(*) FILTER (route = 'unchanged') AS unchanged, 0::BIGINT AS identical, 0::BIGINT AS skipped, count(*) AS selected FROM planned",
-    "incremental_stream": "SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS files_seen FROM events",
-    "windowed_counts": "SELECT DISTINCT event_type, true AS counted FROM events",
+    "incremental_stream": "SELECT CAST(user_id AS VARCHAR) AS rel, max_by(event_type, event_id) AS hash, max(event_id) AS seq FROM events GROUP BY user_id",
+    "windowed_counts": "WITH e AS (SELECT date_trunc('day', ts::TIMESTAMP)::TIMESTAMP AS d, event_type FROM events), c AS (SELECT d, event_type, count(*) AS n FROM e GROUP BY d, event_type) SELECT d AS window_start, event_type, n FROM c WHERE d + INTERVAL 2 DAY <= (SELECT max(ts::TIMESTAMP) FROM events)",
 }

@@ -214,7 +214,7 @@ SELECT coalesce(f.node, b.node) AS node, coalesce(f.d, '') AS dependencies, coal
 c AS (SELECT *, {_CLASSES} AS canonical FROM p)
 SELECT raw, language, canonical, CASE WHEN lang = 'dart' AND v LIKE 'dart:%' THEN 'sdk' WHEN lang = 'python' AND canonical IN ('os') AND v NOT LIKE '.%' THEN 'sdk' WHEN lang = 'typescript' AND (v LIKE 'node:%' OR (canonical IN ('fs', 'crypto') AND v NOT LIKE '.%')) THEN 'sdk' ELSE 'external' END AS kind FROM c""",
     "project_links": f"""SELECT * FROM (VALUES {_rows([("src/app/main.py", "sdk", "os"), ("src/app/util.py", "external", "numpy"), ("src/app/util.py", "external", "app"), ("src/app/util.py", "external", "Src"), ("src/lib/core.ts", "external", "rxjs"), ("src/lib/core.ts", "sdk", "fs"), ("lib/dart_ui.dart", "sdk", "dart:async"), ("lib/dart_ui.dart", "external", "flutter"), ("web/index.html", "external", "HTTPS://cdn/x.js"), ("Main.java", "external", "java.util.List"), ("pkg/mod.go", "external", "github.com/x/y")])}) AS t(rel, kind, canonical)""",
-    "dependency_catalog": """WITH keys AS (SELECT DISTINCT l_suppkey AS ord, CAST(l_suppkey AS VARCHAR) AS rel, CASE WHEN p_size % 7 = 0 THEN 'internal' WHEN p_size % 3 = 0 THEN 'sdk' ELSE 'external' END AS type, CAST(p_size AS VARCHAR) AS name, (l_suppkey * 31 + p_size * 17) % 11 AS h FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 5 < 2),
+    "dependency_catalog": """WITH keys AS (SELECT DISTINCT l_suppkey AS ord, CAST(l_suppkey AS VARCHAR) AS rel, CASE WHEN p_size % 7 = 0 THEN 'internal' WHEN p_size % 3 = 0 THEN 'sdk' ELSE 'external' END AS type, CAST(p_size AS VARCHAR) AS name, (l_suppkey * 31 + p_size * 17) % 11 AS h FROM lineitem JOIN part ON l_partkey = p_partkey),
 texts AS (SELECT *, CASE WHEN h < 2 THEN 'update' ELSE 'note' END AS origin, ['used', 'api of the app', 'database schema', 'state'][h + 1] || ' ' || repeat('x', CAST(ord % 4 AS INT)) AS t FROM keys WHERE h < 4 AND NOT (type <> 'x' AND type = 'internal' AND h >= 2)),
 first_ AS (SELECT type, name, min(ord) AS since, min_by(t, ord) AS first_text FROM texts GROUP BY ALL),
 better AS (SELECT t.type, t.name, t.t, length(t.t) AS len, t.ord, t.origin FROM texts t),

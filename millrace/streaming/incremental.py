@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import checkpoint_folder
+from millrace.session import checkpoint_folder, pinned
 
 
 def stream(spark: SparkSession, folder: str, schema, files_at_once: int = 8, names: str = "*") -> DataFrame:
@@ -46,24 +46,54 @@ def windowed(events: DataFrame, time: str, length: str, late: str, *by: str) ->
     return counted.select(F.col("w.start").alias("window_start"), *by, "n")
 
 
+def state(spark: SparkSession, table: str) -> DataFrame:
+    """(rel, hash, seq): the last content of each file that ``changed_only`` wrote to ``table``."""
+    return spark.read.parquet(f"{_states(table)}/{_newest(spark, table)}")
+
+
+def _states(table: str) -> str:
+    return f"{table.rstrip('/')}-state"
+
+
+def _newest(spark: SparkSession, table: str, before: int | None = None) -> int | None:
+    """The highest number of a finished state below ``before``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = path(_states(table))
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return None
+    numbers = [int(f.getPath().getName()) for f in store.listStatus(folder) if store.exists(path(f.getPath(), "_SUCCESS"))]
+    return max((n for n in numbers if before is None or n < before), default=None)
+
+
 def changed_only(table: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: files (rel, hash) whose content is new or changed go to ``table``, a Parquet folder.
+    """For foreachBatch: files (rel, hash, seq) whose content is new or changed go to ``table``/batch=number, a Parquet folder each.
 
-    A batch that is repeated after a crash writes to the folder of its own number again, so nothing doubles.
+    Beside it, in ``table``-state, a folder for each number holds the last content of each file, so a batch reads one state and not all
+    earlier batches; older states go. A batch that is repeated after a crash writes the folders of its own
+    number again, from the state before it, so nothing doubles.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        own = batch.groupBy("rel").agg(F.max_by("hash", "seq").alias("hash"), F.max("seq").alias("seq"))
-        try:
-            seen = spark.read.parquet(table).filter(F.col("batch") < number)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            seen = None
-        if seen is not None:
-            last = seen.groupBy("rel").agg(F.max_by("hash", "seq").alias("old"))
-            own = own.join(last, "rel", "left").filter(~F.col("hash").eqNullSafe(F.col("old"))).drop("old")
-        own.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        own = pinned(batch.groupBy("rel").agg(F.max_by("hash", "seq").alias("hash"), F.max("seq").alias("seq")))
+        last = _newest(spark, table, number)
+        old = None if last is None else spark.read.parquet(f"{_states(table)}/{last}").select("rel", F.col("hash").alias("old"), F.col("seq").alias("old_seq"))
+        if old is None:
+            new, now = own, own
+        else:
+            both = pinned(own.join(old, "rel", "full"))
+            newer = F.col("seq").isNotNull() & (F.col("old_seq").isNull() | (F.col("seq") > F.col("old_seq")))
+            new = both.filter(newer & ~F.col("hash").eqNullSafe(F.col("old"))).select("rel", "hash", "seq")
+            now = both.select("rel", F.when(newer, F.col("hash")).otherwise(F.col("old")).alias("hash"), F.when(newer, F.col("seq")).otherwise(F.col("old_seq")).alias("seq"))
+        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        now.write.mode("overwrite").parquet(f"{_states(table)}/{number}")
+        if last is not None and (older := _newest(spark, table, last)) is not None:
+            _drop(spark, f"{_states(table)}/{older}")
 
     return upsert
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -5,16 +5,20 @@ from millrace.plans import registry
 from tests.oracle import connect, same_rows
 
 
+FOLDERS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
-def duck(sf):
-    return connect(sf)
+def duck():
+    return {folder: connect(folder) for folder in FOLDERS}
 
 
+@pytest.mark.parametrize("folder", FOLDERS)
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query(spark, sf, duck, name):
-    df = registry.QUERIES[name](spark, sf)
+def test_query(spark, duck, folder, name):
+    df = registry.QUERIES[name](spark, folder)
     if name in registry.ORACLE_SQL:
-        same_rows(df, duck, registry.ORACLE_SQL[name])
+        same_rows(df, duck[folder], registry.ORACLE_SQL[name])
     else:
         assert df.count() > 0
 
