@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
+from millrace.functions.structure import Index, Structure, structure
 
 # Bounds of a divided file, in the order in which they are checked.
 MOST_ATOMS, MOST_SYMBOLS, MOST_UNITS, MOST_CHUNKS, MOST_DEPTH = 4_096, 8_192, 4_096, 256, 6
@@ -41,32 +43,11 @@ def final_chars(roots: Column) -> Column:
     return F.lit(ENVELOPE + SYNOPSIS - ITEM_GAP) + roots * (ITEM_PREFIX + NARRATIVE + ITEM_GAP)
 
 
-def packed(atoms: DataFrame, budget: int) -> DataFrame:
-    """(rel, chunk, first_ord, last_ord, atoms, chars, reason): neighbours together while they fit.
-
-    An atom above the budget closes what is open and stands alone, to be cut later. The fold runs over the
-    lengths of one file's atoms, never over their text.
-    """
-    sizes = atoms.groupBy("rel").agg(F.array_sort(F.collect_list(F.struct("ord", "chars"))).alias("xs"))
-    chunk = "struct<first:int,last:int,chars:bigint,reason:string>"
-    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("open"))
-
-    def step(acc, x):
-        alone = F.struct(x.ord.alias("first"), x.ord.alias("last"), x.chars.alias("chars"), F.lit("continuation").alias("reason"))
-        fresh = F.struct(x.ord.alias("first"), x.ord.alias("last"), x.chars.alias("chars"), F.lit(None).cast("string").alias("reason"))
-        grown = F.struct(acc.open.first.alias("first"), x.ord.alias("last"), (acc.open.chars + x.chars).alias("chars"), F.lit(None).cast("string").alias("reason"))
-        closed = lambda why: F.when(acc.open.isNotNull(), F.concat(acc.done, F.array(F.struct(acc.open.first.alias("first"), acc.open.last.alias("last"), acc.open.chars.alias("chars"), F.lit(why).alias("reason"))))).otherwise(acc.done)
-        state = lambda done, left: F.struct(done.alias("done"), left.alias("open"))
-        return (
-            F.when(x.chars > budget, state(F.concat(closed("oversized-unit-isolation"), F.array(alone)), F.lit(None).cast(chunk)))
-            .when(acc.open.isNull(), state(acc.done, fresh))
-            .when(acc.open.chars + x.chars > budget, state(closed("source-ceiling"), fresh))
-            .otherwise(state(acc.done, grown))
-        )
-
-    last = lambda acc: F.when(acc.open.isNotNull(), F.concat(acc.done, F.array(F.struct(acc.open.first.alias("first"), acc.open.last.alias("last"), acc.open.chars.alias("chars"), F.lit("end-of-file").alias("reason"))))).otherwise(acc.done)
-    rows = sizes.select("rel", F.posexplode(F.aggregate("xs", start, step, last)).alias("chunk", "c"))
-    return rows.select("rel", "chunk", F.col("c.first").alias("first_ord"), F.col("c.last").alias("last_ord"), (F.col("c.last") - F.col("c.first") + 1).cast("bigint").alias("atoms"), F.col("c.chars").alias("chars"), F.col("c.reason").alias("reason"))
+def packed(files: DataFrame, budget: int) -> DataFrame:
+    """(rel, chunk, first_ord, last_ord, atoms, chars, reason): groups of ``divided`` lines; one above the budget stands alone."""
+    lines = divided(files.select("rel", F.lit("").alias("language"), "content"), budget)
+    whole = lines.groupBy("rel", F.col("unit_group").alias("chunk")).agg(F.min("first_unit").alias("first_ord"), F.max("last_unit").alias("last_ord"), F.sum("chars").alias("chars"), F.min("reason").alias("reason"))
+    return whole.select("rel", "chunk", "first_ord", "last_ord", (F.col("last_ord") - F.col("first_ord") + 1).cast("bigint").alias("atoms"), "chars", "reason")
 
 
 def balanced_cuts(text: str, budget: int, preferred: tuple[int, ...] = ()) -> list[tuple[int, str]]:
@@ -111,6 +92,276 @@ def balanced_cuts(text: str, budget: int, preferred: tuple[int, ...] = ()) -> li
     return cuts
 
 
+_UNIT = len('{"end":,"index":,"start":,"unit":"unit_"}') + 64
+_GROUP = len('{"group":"unit_","units":[]}') + 64
+_BETWEEN = 3  # signs between two entries
+
+
+@dataclass(frozen=True)
+class Chunk:
+    """Neighbouring units of a file in one call, or a piece of a unit that is too large for one."""
+
+    group: int
+    piece: int
+    pieces: int
+    first: int
+    last: int
+    start: int
+    end: int
+    chars: int
+    reason: str
+    left: str
+    right: str
+
+
+def planned_chunks(text: str, found: Structure, budget: int, metadata: int = METADATA) -> list[Chunk]:
+    """Units of a text packed in order while their signs, and what a prompt says of them, stay within their bounds.
+
+    A unit above the budget closes what is open and is cut into even pieces, at nested declarations or line ends
+    where it can be.
+    """
+    index = Index(text)
+    starts = [a for a, _ in found.units]
+    signs = np.array([index.sign(a) for a in starts] + [len(text)])
+    ends = np.array(starts + [len(index.data)])
+    digits = np.array([len(f"{a}{b}{i}") for i, (a, b) in enumerate(found.units)])
+    said = np.concatenate([[0], np.cumsum(digits + _UNIT + _BETWEEN)]) if len(starts) else np.zeros(1, int)
+    large = np.append(np.flatnonzero(np.diff(signs) > budget), len(starts))
+    chunks: list[Chunk] = []
+    at = group = 0
+    while at < len(starts):
+        start = int(ends[at])
+        if at in large:
+            own = text[signs[at] : signs[at + 1]]
+            nested = [index.sign(d.start) - int(signs[at]) for d in found.declared if start < d.start < ends[at + 1]]
+            cuts = [(0, ""), *balanced_cuts(own, budget, tuple(nested)), (len(own), "")]
+            places = [start + len(own[:c].encode()) for c, _ in cuts]
+            for n, ((a, left), (b, right)) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                chunks.append(Chunk(group, n, len(cuts) - 1, at, at, places[n], places[n + 1], b - a, "continuation", left, right))
+            at, group = at + 1, group + 1
+            continue
+        by_signs = int(np.searchsorted(signs, signs[at] + budget, side="right")) - 1
+        by_words = int(np.searchsorted(said, said[at] + metadata - _GROUP + _BETWEEN, side="right")) - 1
+        alone = int(large[np.searchsorted(large, at)])
+        to = min(by_signs, by_words, alone)
+        if to <= at:
+            raise ValueError("what a prompt says of one unit is above its bound")
+        ceilings = {(True, True): "source-and-metadata-ceiling", (True, False): "source-ceiling", (False, True): "metadata-ceiling"}
+        reason = "end-of-file" if to == len(starts) else "oversized-unit-isolation" if to == alone else ceilings[by_signs == to, by_words == to]
+        chunks.append(Chunk(group, 0, 1, at, to - 1, start, int(ends[to]), int(signs[to] - signs[at]), reason, "", ""))
+        at, group = to, group + 1
+    size = len(index.data)
+    edge = lambda c: replace(c, left="file-start" if c.start == 0 else c.left or "semantic-unit", right="file-end" if c.end == size else c.right or "semantic-unit")
+    return [edge(c) for c in chunks]
+
+
+_CHUNKS = "rel string, mode string, chunk int, chunks int, unit_group int, piece int, pieces int, first_unit int, last_unit int, start_byte bigint, end_byte bigint, chars bigint, reason string, left_edge string, right_edge string"
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def divided(files: DataFrame, budget: int, metadata: int = METADATA) -> DataFrame:
+    """The chunks of each file (rel, language, content), in order; a blank one has none.
+
+    A file is divided where its row is, so nothing is shuffled.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                text = row["content"] or ""
+                found = structure(text, row["language"])
+                chunks = planned_chunks(text, found, budget, metadata)
+                out += [(row["rel"], found.mode, n, len(chunks), c.group, c.piece, c.pieces, c.first, c.last, c.start, c.end, c.chars, c.reason, c.left, c.right) for n, c in enumerate(chunks)]
+            yield _rows(_CHUNKS, out)
+
+    return files.select("rel", "language", "content").mapInArrow(cut, _CHUNKS)
+
+
+_UNITS = "rel string, mode string, unit int, start_byte bigint, end_byte bigint, chars bigint"
+_DECLARED = "rel string, kind string, name string, signature string, start_byte bigint, end_byte bigint, line int, column int, last_line int"
+
+
+def units(files: DataFrame) -> DataFrame:
+    """(rel, mode, unit, start_byte, end_byte, chars): top declarations and the gaps between them, or lines."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                found, data = structure(row["content"] or "", row["language"]), (row["content"] or "").encode()
+                out += [(row["rel"], found.mode, n, a, b, len(data[a:b].decode())) for n, (a, b) in enumerate(found.units)]
+            yield _rows(_UNITS, out)
+
+    return files.select("rel", "language", "content").mapInArrow(cut, _UNITS)
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """(rel, kind, name, signature, start_byte, end_byte, line, column, last_line) of what a parser finds declared, names qualified."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                text = row["content"] or ""
+                index = Index(text)
+                for d in structure(text, row["language"]).declared:
+                    out.append((row["rel"], d.kind, d.name, d.signature, d.start, d.end, *index.place(d.start), index.place(d.end)[0]))
+            yield _rows(_DECLARED, out)
+
+    return files.select("rel", "language", "content").mapInArrow(find, _DECLARED)
+
+
+def tree_rows(leaves: Column, width: int, levels: int = MOST_DEPTH) -> Column:
+    """Array of (level, ordinal, first, last, children) of the nodes over ``leaves`` in a row, ``width`` at a time.
+
+    A node of a level stands for width**level leaves, so its place says all of it; a last group of one is no node but goes
+    up, so a child is named by the lowest level at which it stands alone: (0, leaf) or (level, ordinal).
+    """
+    span = lambda level: F.pow(F.lit(float(width)), level).cast("bigint")
+
+    def child(level, at):
+        size = F.least((at + 1) * span(level - 1), leaves) - at * span(level - 1)
+        low = F.size(F.filter(F.sequence(F.lit(0), level - 1), lambda j: span(j) < size))
+        return F.struct(low.alias("level"), (at * span(level - 1 - low) + F.when(low > 0, 1).otherwise(0)).cast("int").alias("ordinal"))
+
+    def node(level, at):
+        to = F.least((at + 1) * span(level), leaves)
+        below = F.ceil((to - at * span(level)) / span(level - 1)).cast("int")
+        children = F.transform(F.sequence(F.lit(0), below - 1), lambda c: child(level, (at * width + c).cast("bigint")))
+        return F.struct(level.cast("int").alias("level"), (at + 1).cast("int").alias("ordinal"), (at * span(level)).cast("int").alias("first"), (to - 1).cast("int").alias("last"), children.alias("children"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda level: F.transform(F.sequence(F.lit(0).cast("bigint"), F.ceil(leaves / span(level)) - 1), lambda at: node(level, at))))
+    return F.when(leaves > 1, F.filter(every, lambda n: (n["last"] - n["first"] + 1) > span(n["level"] - 1))).otherwise(F.filter(every, lambda n: F.lit(False)))
+
+
+def general_levels(roots: Column, budget: int = MANIFEST_FLOOR, levels: int = MOST_DEPTH) -> Column:
+    """How many levels of reductions it takes until the last call can join what is left."""
+    left = lambda level: F.ceil(roots / F.pow(F.lit(float(fan_in(budget))), level))
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda level: (final_chars(left(level)) > budget) & (left(level) > 1)))
+
+
+def reduction_plan(chunks: DataFrame, budget: int = MANIFEST_FLOOR) -> DataFrame:
+    """(rel, phase, unit_group, level, ordinal, first, last, children, node_id) of the calls above the chunks of ``divided``.
+
+    Pieces of one unit are joined first (unit-consolidation), then neighbours among what stands for the units (general), until the
+    last call (final) can join the rest. ``first`` and ``last`` are chunks for a consolidation, groups else.
+    The plan of a file follows from its counts, so only these are grouped.
+    """
+    width = fan_in(budget)
+    counted = chunks.groupBy("rel").agg((F.max("unit_group") + 1).cast("bigint").alias("roots"), F.max("chunks").alias("chunks"))
+    pieces = chunks.filter("piece = 0 AND pieces > 1").select("rel", "unit_group", F.col("chunk").alias("from"), F.explode(tree_rows(F.col("pieces").cast("bigint"), width)).alias("n"))
+    own = pieces.select("rel", F.lit("unit-consolidation").alias("phase"), "unit_group", "n.level", "n.ordinal", (F.col("from") + F.col("n.first")).alias("first"), (F.col("from") + F.col("n.last")).alias("last"), "n.children")
+    rows = counted.withColumns({"levels": general_levels(F.col("roots"), budget), "nodes": tree_rows(F.col("roots"), width)})
+    joined = rows.select("rel", "levels", F.explode("nodes").alias("n")).filter("n.level <= levels")
+    none = F.lit(None).cast("int").alias("unit_group")
+    general = joined.select("rel", F.lit("general").alias("phase"), none, "n.level", "n.ordinal", "n.first", "n.last", "n.children")
+    span = F.pow(F.lit(float(width)), F.col("levels")).cast("bigint")
+    left = F.ceil(F.col("roots") / span).cast("int")
+    ends = F.transform(F.sequence(F.lit(0), left - 1), lambda at: F.struct(F.col("levels").alias("level"), (at + 1).alias("ordinal")))
+    final = rows.select("rel", F.lit("final").alias("phase"), none, F.lit(0).alias("level"), F.lit(1).alias("ordinal"), F.lit(0).alias("first"), (F.col("roots") - 1).cast("int").alias("last"), ends.alias("children"))
+    return own.unionByName(general).unionByName(final).withColumn("node_id", tx.domain_id("node", *[F.col(c) for c in ("rel", "phase", "unit_group", "level", "ordinal", "first", "last")]))
+
+
+def plan_figures(chunks: DataFrame, budget: int = MANIFEST_FLOOR) -> DataFrame:
+    """(rel, mode, units, chunks, continuation_groups, consolidations, generals, levels, calls, blocked) of each divided file."""
+    counts = chunks.groupBy("rel").agg(
+        F.max("mode").alias("mode"), (F.max("last_unit") + 1).cast("bigint").alias("units"), F.max("chunks").cast("bigint").alias("chunks"),
+        F.count_if((F.col("pieces") > 1) & (F.col("piece") == 0)).alias("continuation_groups"), F.max("pieces").cast("bigint").alias("most_pieces"), (F.max("unit_group") + 1).cast("bigint").alias("groups"),
+    )
+    nodes = reduction_plan(chunks, budget).groupBy("rel").agg(F.count_if(F.col("phase") == "unit-consolidation").alias("consolidations"), F.count_if(F.col("phase") == "general").alias("generals"), F.max("level").alias("levels"))
+    both = counts.join(nodes, "rel").withColumn("roots", F.ceil(F.col("groups") / F.pow(F.lit(float(fan_in(budget))), general_levels(F.col("groups"), budget))))
+    deep = lambda n: F.size(F.filter(F.sequence(F.lit(0), F.lit(MOST_DEPTH + 1)), lambda level: F.pow(F.lit(float(fan_in(budget))), level) < n))
+    both = both.withColumns({"atoms": F.col("units"), "symbols": F.lit(0), "depth": deep(F.col("most_pieces")) + general_levels(F.col("groups"), budget)})
+    calls = (F.col("chunks") + F.col("consolidations") + F.col("generals") + 1).alias("calls")
+    return capacity(both, budget).select("rel", "mode", "units", "chunks", "continuation_groups", "consolidations", "generals", F.col("levels").cast("int").alias("levels"), calls, "blocked")
+
+
+def unit_summaries(chunks: DataFrame, found: DataFrame, budget: int) -> DataFrame:
+    """(rel, unit, chars, least, pieces, extra, payloads): each unit, the fewest pieces its signs allow, and the pieces it has.
+
+    ``least`` is ceil(chars / budget); more are there only where a line end of two signs may not be cut.
+    """
+    cut = chunks.filter("pieces > 1").groupBy("rel", F.col("first_unit").alias("unit")).agg(F.array_sort(F.collect_list(F.struct("piece", "chars", "left_edge", "right_edge"))).alias("cut"))
+    both = found.join(cut, ["rel", "unit"], "left")
+    least = F.greatest(F.lit(1), F.ceil(F.col("chars") / budget)).cast("int")
+    pieces = F.coalesce(F.size("cut"), F.lit(1))
+    payloads = F.coalesce(F.transform("cut", lambda c: F.struct(c["chars"].alias("chars"), c["left_edge"].alias("left_edge"), c["right_edge"].alias("right_edge"))), F.array().cast("array<struct<chars:bigint,left_edge:string,right_edge:string>>"))
+    return both.select("rel", "unit", "chars", least.alias("least"), F.when(F.col("cut").isNull(), 1).otherwise(pieces).alias("pieces"), (F.when(F.col("cut").isNull(), 1).otherwise(pieces) - least).alias("extra"), payloads.alias("payloads"))
+
+
+def leaf_summaries(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """(rel, chunk, chars, reason, left_edge, right_edge, parts, digest): each paid chunk and the units it is made of, in order."""
+    spread = chunks.withColumn("unit", F.explode(F.sequence("first_unit", "last_unit")))
+    sized = spread.join(found.select("rel", "unit", F.col("chars").alias("whole")), ["rel", "unit"]).withColumn("part", F.struct("unit", F.when(F.col("pieces") > 1, F.col("chars")).otherwise(F.col("whole")).alias("chars")))
+    parts = sized.groupBy("rel", "chunk", "chars", "reason", "left_edge", "right_edge").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return parts.withColumn("digest", F.sha2(F.to_json("parts"), 256))
+
+
+def plan_stream(chunks: DataFrame, found: DataFrame, budget: int, manifest: int = MANIFEST_FLOOR) -> DataFrame:
+    """(rel, seq, kind, item): all that a plan says of a file as one ordered stream of JSON: the file, its units, its leaves, its nodes."""
+    figures = plan_figures(chunks, manifest)
+    row = lambda df, kind, order, *cols: df.select("rel", F.lit(kind).alias("kind"), order.cast("bigint").alias("at"), F.to_json(F.struct(*cols)).alias("item"))
+    nodes = reduction_plan(chunks, manifest)
+    phase = F.when(F.col("phase") == "unit-consolidation", 0).when(F.col("phase") == "general", 1).otherwise(2).cast("bigint")
+    place = (phase * (1 << 20) + F.col("level")) * (1 << 20) + F.col("first")
+    every = (
+        row(figures, "file", F.lit(0), *[c for c in figures.columns if c != "rel"])
+        .unionByName(row(unit_summaries(chunks, found, budget), "unit", F.col("unit"), "unit", "chars", "least", "pieces", "extra"))
+        .unionByName(row(leaf_summaries(chunks, found), "leaf", F.col("chunk"), "chunk", "chars", "reason", "left_edge", "right_edge", "digest"))
+        .unionByName(row(nodes, "node", place, "phase", "level", "ordinal", "first", "last"))
+    )
+    order = F.when(F.col("kind") == "file", 0).when(F.col("kind") == "unit", 1).when(F.col("kind") == "leaf", 2).otherwise(3)
+    seq = (F.row_number().over(Window.partitionBy("rel").orderBy(order, "at", "item")) - 1).alias("seq")
+    return every.select("rel", seq, "kind", "item")
+
+
+def synopsis(functions: Column, classes: Column, exports: Column, most: int | Column = SYNOPSIS) -> Column:
+    """(functions, classes, exports): names within ``most`` signs of JSON. Functions give way first, then classes, then exports, each from its end."""
+    most = F.lit(most) if isinstance(most, int) else most
+    base = F.lit(len('{"classes":[],"exports":[],"functions":[]}'))
+    cost = lambda names: F.transform(names, lambda n: F.length(F.to_json(F.array(n))) - 1)
+    total = lambda names: F.aggregate(cost(names), F.lit(0), lambda a, x: a + x) - F.when(F.size(names) > 0, 1).otherwise(0)
+
+    def fitting(names, room):
+        upto = F.aggregate(cost(names), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.slice(names, F.lit(1), F.size(F.filter(F.slice(upto, F.lit(2), F.greatest(F.size(names), F.lit(1))), lambda u: u - 1 <= room)))
+
+    f = fitting(functions, most - base - total(classes) - total(exports))
+    c = fitting(classes, most - base - total(exports) - total(f))
+    e = fitting(exports, most - base - total(f) - total(c))
+    return F.struct(f.alias("functions"), c.alias("classes"), e.alias("exports"))
+
+
+def final_manifest(files: DataFrame, narratives: DataFrame, ledger: DataFrame, most: int = MANIFEST_FLOOR) -> DataFrame:
+    """(rel, manifest): canonical JSON of what the last call of a file sees, within ``most`` signs.
+
+    ``files`` (rel, language, imports, leaves), ``narratives`` (rel, ord, text), ``ledger`` (rel, kind, name, ord). Narratives come in
+    order, blank ones and repeats left out. Only the synopsis of the ledger gives way: first to its own bound, then
+    to that of the whole.
+    """
+    told = narratives.filter(F.length(F.trim("text")) > 0).groupBy("rel", "text").agg(F.min("ord").alias("ord")).groupBy("rel").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("told"))
+    listed = ledger.filter("name <> ''").groupBy("rel").pivot("kind", ["functions", "classes", "exports"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]))
+    none = F.array().cast("array<string>")
+    rows = files.join(told, "rel", "left").join(listed, "rel", "left")
+    rows = rows.select("rel", "language", "leaves", *[F.coalesce(c, none).alias(c) for c in ("imports", "told", "functions", "classes", "exports")])
+    rows = rows.withColumn("s", synopsis(F.col("functions"), F.col("classes"), F.col("exports")))
+
+    def manifest(s):
+        short = F.struct(s["classes"].alias("classes"), s["exports"].alias("exports"), s["functions"].alias("functions"))
+        return F.to_json(F.struct(short.alias("fact_ledger_synopsis"), F.col("rel").alias("file_path"), "imports", "language", F.col("leaves").cast("bigint").alias("root_coverage_leaf_count"), F.col("told").alias("root_narratives")))
+
+    empty = F.struct(none.alias("functions"), none.alias("classes"), none.alias("exports"))
+    room = F.lit(most) - F.length(manifest(empty)) + len('{"classes":[],"exports":[],"functions":[]}')
+    rows = rows.withColumn("room", room).withColumn("s", F.when(F.length(manifest(F.col("s"))) > most, synopsis(F.col("s.functions"), F.col("s.classes"), F.col("s.exports"), F.col("room"))).otherwise(F.col("s")))
+    return rows.select("rel", manifest(F.col("s")).alias("manifest"))
+
+
 def subdivided(units: DataFrame, budget: int) -> DataFrame:
     """(rel, ord, piece, pieces, source, left_cut, right_cut) of units (rel, ord, source), each cut by ``balanced_cuts``."""
     schema = "rel string, ord int, piece int, pieces int, source string, left_cut string, right_cut string"
@@ -193,13 +444,22 @@ def covers(tree: DataFrame, leaves: DataFrame) -> DataFrame:
     return joined.select("rel", "leaves", "covered", ((F.col("leaves") == F.col("covered")) & (F.col("leaves") == F.col("distinct_leaves"))).alias("holds"))
 
 
-def names_in_ranges(points: DataFrame, ranges: DataFrame, most: int = MOST_NAMES) -> DataFrame:
-    """(rel, range_id, names): names of the points (rel, at, name, ord) in each half-open range (rel, range_id, start, end).
+def in_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Points (rel, at, ...) with the ``range_id`` of the half-open range (rel, range_id, start, end) that holds them, else null.
 
-    Equal file and a residual range condition; first-seen names, at most ``most``.
+    Ranges of a file are disjoint, so each point is in the last one that began before it or nowhere: both go through one sort.
     """
-    inside = ranges.join(points, "rel").filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    firsts = inside.groupBy("rel", "range_id", "name").agg(F.min("ord").alias("ord"))
+    rest = [c for c in points.columns if c != "rel"]
+    both = points.select("rel", F.struct(*rest).alias("point"), F.col("at").alias("_at"), F.lit(1).alias("_late")).withColumn("mark", F.lit(None).cast("struct<end:bigint,id:%s>" % ranges.schema["range_id"].dataType.simpleString()))
+    starts = ranges.select("rel", F.lit(None).cast(both.schema["point"].dataType).alias("point"), F.col("start").alias("_at"), F.lit(0).alias("_late"), F.struct(F.col("end").cast("bigint").alias("end"), F.col("range_id").alias("id")).alias("mark"))
+    upto = Window.partitionBy("rel").orderBy("_at", "_late").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.unionByName(starts).withColumn("mark", F.last("mark", ignorenulls=True).over(upto)).filter("point IS NOT NULL")
+    return seen.select("rel", "point.*", F.when(F.col("point.at") < F.col("mark.end"), F.col("mark.id")).alias("range_id"))
+
+
+def names_in_ranges(points: DataFrame, ranges: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """(rel, range_id, names): names of the points (rel, at, name, ord) in each range; first-seen names, at most ``most``."""
+    firsts = in_ranges(points, ranges).filter("range_id IS NOT NULL").groupBy("rel", "range_id", "name").agg(F.min("ord").alias("ord"))
     ranked = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("rel", "range_id").orderBy("ord", "name"))).filter(F.col("nth") <= most)
     return ranked.groupBy("rel", "range_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]).alias("names"))
 

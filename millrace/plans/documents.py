@@ -96,11 +96,11 @@ def oversized_route_view(spark, sf):
 
 
 def greedy_chunks(spark, sf):
-    return dv.packed(dv.line_atoms(files(spark, sf)), 2_000).drop("reason")
+    return dv.packed(files(spark, sf), 2_000).drop("reason")
 
 
 def chunk_reasons(spark, sf):
-    return dv.packed(dv.line_atoms(files(spark, sf)), 2_000).groupBy("reason").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
+    return dv.packed(files(spark, sf), 2_000).groupBy("reason").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
 
 
 def balanced_subdivision(spark, sf):
@@ -132,9 +132,8 @@ def reduction_coverage(spark, sf):
 def names_in_chunks(spark, sf):
     """The first words of lines as names at their byte, and the chunks as ranges."""
     atoms = dv.line_atoms(files(spark, sf))
-    chunks = dv.packed(atoms, 2_000)
-    ranges = chunks.join(atoms.select("rel", F.col("ord").alias("first_ord"), "start_byte"), ["rel", "first_ord"]).join(atoms.select("rel", F.col("ord").alias("last_ord"), "end_byte"), ["rel", "last_ord"])
-    ranges = ranges.select("rel", F.col("chunk").alias("range_id"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
+    lines = dv.divided(files(spark, sf).withColumn("language", F.lit("")), 2_000)
+    ranges = lines.groupBy("rel", F.col("unit_group").alias("range_id")).agg(F.min("start_byte").alias("start"), F.max("end_byte").alias("end"))
     points = atoms.select("rel", F.col("start_byte").alias("at"), F.regexp_extract("source", "^([A-Za-z]+)", 1).alias("name"), "ord").filter("name <> ''")
     return dv.names_in_ranges(points, ranges).select("rel", "range_id", F.array_join("names", ",").alias("names"))
 
@@ -174,7 +173,7 @@ def source_acronyms(spark, sf):
 
 
 def call_manifest(spark, sf):
-    leaves = dv.packed(dv.line_atoms(files(spark, sf).filter(F.length("content") > 12_000)), 2_000).groupBy("rel").agg(F.count(F.lit(1)).alias("leaves"))
+    leaves = dv.packed(files(spark, sf).filter(F.length("content") > 12_000), 2_000).groupBy("rel").agg(F.count(F.lit(1)).alias("leaves"))
     chunks = leaves.withColumn("reductions", F.lit(1))
     calls = pl.manifest(planned(spark, sf), RUN, chunks)
     return calls.select("seq", "category", "rel", "ordinal")

@@ -219,7 +219,7 @@ def correction_counts(spark, sf):
 def division_figures(spark, sf):
     atoms = dv.line_atoms(docs.files(spark, sf))
     units = atoms.groupBy("rel").agg(F.count(F.lit(1)).alias("units"), F.sum("chars").alias("chars"))
-    chunks = dv.packed(atoms, 2_000).groupBy("rel").agg(F.count(F.lit(1)).alias("chunks"))
+    chunks = dv.packed(docs.files(spark, sf), 2_000).groupBy("rel").agg(F.count(F.lit(1)).alias("chunks"))
     rows = units.join(chunks, "rel").select("rel", F.when(F.col("chars") > 12_000, "divided").otherwise("ordinary").alias("mode"), "units", "chunks", F.when(F.col("chunks") > 10, "chunk-cap").alias("blocked"))
     return dg.division_figures(rows)
 
