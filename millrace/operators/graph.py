@@ -76,15 +76,16 @@ def reverse(graph: DataFrame) -> DataFrame:
 def closure(graph: DataFrame, seeds: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, depth): the seeds and all that edges lead to from them. ``seeds`` is (node).
 
-    A frontier is joined with the edges and loses what was seen, round by round; every round is
-    checkpointed, so plans stay flat and a lost executor costs one round.
+    A frontier is joined with the edges and loses what was seen, round by round; the edges are computed once and every
+    round is checkpointed, so plans stay flat and a lost executor costs one round.
     """
     frontier = pinned(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
-    graph = graph.select("src", "dst").distinct()
-    while frontier.limit(1).count() and (most_rounds is None or depth < most_rounds):
+    graph = pinned(graph.select("src", "dst").filter("src <> dst"))
+    while (size := frontier.count()) and (most_rounds is None or depth < most_rounds):
         depth += 1
-        new = frontier.join(graph, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = F.broadcast(frontier) if size <= SMALL_LEVEL else frontier
+        new = graph.join(front, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = pinned(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
         if depth % 16 == 0:
@@ -103,7 +104,7 @@ def affected(graph: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def select_files(graph: DataFrame, files: DataFrame, entry: str | None, explicit: bool = False, scope: str = "entry") -> DataFrame:
-    """(rel, reachable, documented). An unknown entry means every file, unless it was asked for: then it is an error."""
+    """(rel, reachable, documented). What is left out is ``excluded_sample``'s to show. An unknown entry means every file, unless it was asked for: then it is an error."""
     if scope not in ("entry", "all"):
         raise ValueError("scope is 'entry' or 'all'")
     known = entry is not None and files.filter(F.col("rel") == entry).limit(1).count() > 0
@@ -116,6 +117,12 @@ def select_files(graph: DataFrame, files: DataFrame, entry: str | None, explicit
     return marked.select("rel", "reachable", (F.col("reachable") | F.lit(scope == "all")).alias("documented"))
 
 
+def excluded_sample(selection: DataFrame, most: int = 10) -> DataFrame:
+    """(rel, excluded): the first ``most`` paths that are not documented, and how many there are."""
+    out = selection.filter("NOT documented").select("rel")
+    return out.orderBy("rel").limit(most).crossJoin(out.agg(F.count(F.lit(1)).alias("excluded")))
+
+
 def topological(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level, rank): dependencies first; what lies on a cycle or behind one comes last, by path, with a null level.
 
@@ -123,10 +130,10 @@ def topological(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     their last dependency, then by path, which is the order of a queue.
     """
     graph = pinned(graph.select("src", "dst").distinct())
+    needed = pinned(graph.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("needed")))
     every = pinned(nodes.select("node").unionByName(graph.select(F.col("src").alias("node"))).unionByName(graph.select(F.col("dst").alias("node"))).distinct())
-    sources = lambda e: e.select(F.col("src").alias("node")).distinct()
-    due = pinned(every.join(sources(graph), "node", "left_anti").withColumn("last", F.lit(-1).cast("bigint")))
-    done, level, start, open_edges = None, 0, 0, graph
+    due = pinned(every.join(needed, "node", "left_anti").withColumn("last", F.lit(-1).cast("bigint")))
+    done, level, start, begun = None, 0, 0, None
     while size := due.count():
         if size <= SMALL_LEVEL:
             place = F.row_number().over(Window.orderBy("last", "node")) - 1 + start
@@ -138,11 +145,14 @@ def topological(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         if level % 16 == 15:
             done = pinned(done)
         level, start = level + 1, start + size
-        # a node of the next level has its last dependency in this one, and no edge that is still open
+        # a round reads the edges into this level, and writes the nodes of which some dependencies are done
         reached = found.select(F.col("node").alias("dst"), "rank")
-        open_edges = pinned(open_edges.join(reached, "dst", "left_anti").select("src", "dst"))
-        last = graph.join(reached, "dst").groupBy(F.col("src").alias("node")).agg(F.max("rank").alias("last"))
-        due = pinned(last.join(sources(open_edges), "node", "left_anti"))
+        reached = F.broadcast(reached) if size <= SMALL_LEVEL else reached
+        hit = graph.join(reached, "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("done"), F.max("rank").alias("last"))
+        if begun is not None:
+            hit = hit.unionByName(begun).groupBy("node").agg(F.sum("done").alias("done"), F.max("last").alias("last"))
+        state = pinned(hit.join(needed, "node").select("node", "done", "last", (F.col("done") == F.col("needed")).alias("due")))
+        due, begun = state.filter("due").select("node", "last"), state.filter("NOT due").select("node", "done", "last")
     left = every if done is None else every.join(done, "node", "left_anti")
     rest = numbered(left.withColumn("level", F.lit(None).cast("int")), "node", start=start)
     return rest if done is None else done.unionByName(rest)

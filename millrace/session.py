@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +32,25 @@ def local_session(cpus: int | str | None = None, **conf: str) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where none is set (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only in local mode (tests), where none is set. It goes with the process."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of intermediate rows, wherever it is stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are computed once, and outlive any executor."""
     checkpoint_folder(df.sparkSession)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import checkpoint_folder, pinned
+from millrace.session import checkpoint_folder, dropped, pinned
 
 
 def stream(spark: SparkSession, folder: str, schema, files_at_once: int = 8, names: str = "*") -> DataFrame:
@@ -89,11 +89,6 @@ def changed_only(table: str) -> Callable[[DataFrame, int], None]:
         new.write.mode("overwrite").parquet(f"{table}/batch={number}")
         now.write.mode("overwrite").parquet(f"{_states(table)}/{number}")
         if last is not None and (older := _newest(spark, table, last)) is not None:
-            _drop(spark, f"{_states(table)}/{older}")
+            dropped(spark, f"{_states(table)}/{older}")
 
     return upsert
-
-
-def _drop(spark: SparkSession, folder: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

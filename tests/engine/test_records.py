@@ -1,3 +1,4 @@
+import hashlib
 import json
 import uuid
 
@@ -58,6 +59,31 @@ def test_scan_of_a_folder(spark, tmp_path):
     assert rows["src/a.py"].content == "import os\n" and rows["src/f.TSX"].language == "tsx" and rows["src/f.TSX"].content == "x"
 
 
+def test_scan_opens_only_what_it_keeps(spark, tmp_path):
+    for name in ("pkg/__init__.py", "pkg/_own.py", "pkg/a.py", "node_modules/b.py", ".git/c.py", "docs/d.py", "pkg/deep/__init__.py", "pkg/skip.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    for name in ("node_modules/b.py", ".git/c.py", "docs/d.py"):  # opening these fails
+        (tmp_path / name).unlink()
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "e.py").mkdir()
+    paths = [r.path for r in fl.listed(spark, str(tmp_path), ignored=("Docs",)).collect()]
+    assert not [p for p in paths if "node_modules" in p or ".git" in p or "/docs/" in p]
+    rows = {r.rel: r.content for r in fl.read_files(spark, str(tmp_path), ignored=("Docs",), excluded=("./pkg//skip.py",)).collect()}
+    assert rows == {n: f"# {n}\n" for n in ("pkg/__init__.py", "pkg/_own.py", "pkg/a.py", "pkg/deep/__init__.py")}
+    assert fl.read_files(spark, str(tmp_path / "pkg" / "deep")).count() == 1
+
+
+def test_details_of_a_scan(spark):
+    paths = spark.createDataFrame([(f"f{i:02}.txt", 5) for i in range(30)] + [("big.py", 600_000), ("ok.py", 1)], "rel string, length long")
+    rows = fl.scan_details(fl.scanned(paths), 4).collect()
+    texts = sorted((r for r in rows if r.kind == "extension"), key=lambda r: r.rel)
+    assert [r.rel for r in texts] == [f"f{i:02}.txt" for i in range(4)] and {(r.total, r.retained, r.omitted) for r in texts} == {(30, 4, 26)}
+    inner = ",".join(f'"{hashlib.sha256(f"f{i:02}.txt".encode()).hexdigest()}"' for i in range(30))
+    assert {r.digest for r in texts} == {hashlib.sha256(f"[{inner}]".encode()).hexdigest()}
+    assert [(r.rel, r.observed, r.bound, r.total) for r in rows if r.kind == "too_large"] == [("big.py", 600_000, 512_000, 1)]
+
+
 def test_entries(spark):
     files = spark.createDataFrame([("src/main.py",), ("app.py",)], "rel string")
     assert fl.entry(files, ("main.py", "app.py", "src/main.py")) == "app.py"
