@@ -94,8 +94,3 @@ def digest(*parts: Column) -> Column:
 
 def domain_id(domain: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{domain}_"), digest(*parts))
-
-
-def first_seen(items: Column) -> Column:
-    """Without repeats, the first of each kept in its place."""
-    return F.array_distinct(items)

@@ -55,8 +55,10 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     side needs to be small; the first hit is a pre-aggregated minimum.
     """
     raw = F.trim("raw")
-    tried = imports.withColumn("_try", F.when(raw != "", F.flatten(F.transform(candidates(raw, F.col("rel")), variants))))
-    tried = tried.select("rel", "ord", "raw", F.posexplode("_try").alias("_at", "_path"))
+    tried = imports.withColumn("_try", F.when(raw != "", candidates(raw, F.col("rel"))))
+    # candidates and variants are exploded one after the other: as one expression they outgrow a compiled method
+    tried = tried.select("rel", "ord", "raw", F.posexplode("_try").alias("_nth", "_base")).select("rel", "ord", "raw", "_nth", F.posexplode(variants(F.col("_base"))).alias("_at", "_path"))
+    tried = tried.withColumn("_at", F.struct("_nth", "_at"))
     hits = tried.join(files.select(F.col("rel").alias("_path")).distinct(), "_path").groupBy("rel", "ord").agg(F.min_by("_path", "_at").alias("target"))
     return imports.join(hits, ["rel", "ord"], "left")
 

@@ -59,53 +59,73 @@ def occurrences(facts: DataFrame) -> DataFrame:
     return facts.withColumn("occurrence", F.row_number().over(order) - 1)
 
 
-def allocated(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+def allocated(facts: DataFrame, symbols: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """(rel, chunk, fact, symbol): each fact gets one declaration of its name and kind, each declaration at most one fact.
 
     Facts with a signature choose first, then by canonical form. Candidates have the qualified name, else
-    the short one; a signature narrows them if it is part of any of theirs. Greedy within a chunk, so the
-    chunk's rows, a bounded number, meet in one call; null where no declaration is left.
+    the short one; a signature narrows them if it is part of any of theirs. Where all of several candidates are taken
+    the fact gets a scope of its own (scope_...), a sole one is shared. Without a candidate the units of the chunk (rel, chunk,
+    symbol, kind, qualified_name, signature, start) are asked the same way; a chunk of one unit gives that. Greedy within a
+    chunk, whose rows are bounded by what one call may answer.
     """
+    columns = ["rel", "chunk", "symbol", "kind", "qualified_name", "signature", "start"]
+    known = symbols.select(*columns, F.lit(0).alias("tier"))
+    if units is not None:
+        known = known.unionByName(units.select(*columns, F.lit(1).alias("tier")))
 
     def allocate(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         squeezed = lambda s: re.sub(r"\s+", "", s or "")
-        known = sorted(right.to_dict("records"), key=lambda r: (r["start"], r["symbol"]))
+        rows_of = right.sort_values(["start", "symbol"]).to_dict("records")
         taken, rows = set(), []
-        for f in sorted(left.to_dict("records"), key=lambda r: (not (r["signature"] or "").strip(), r["canonical"])):
-            same = [s for s in known if s["kind"] == f["kind"]]
-            near = [s for s in same if s["qualified_name"] == f["name"]] or [s for s in same if s["qualified_name"].split(".")[-1] == f["name"]]
-            if squeezed(f["signature"]):
-                near = [s for s in near if squeezed(f["signature"]) in squeezed(s["signature"])] or near
-            free = [s for s in near if s["symbol"] not in taken]
-            chosen = free[0]["symbol"] if free else near[0]["symbol"] if len(near) == 1 else None
-            if chosen is not None:
-                taken.add(chosen)
+        for n, f in enumerate(sorted(left.to_dict("records"), key=lambda r: (not (r["signature"] or "").strip(), r["canonical"]))):
+            chosen = None
+            for tier in (0, 1):
+                own = [s for s in rows_of if s["tier"] == tier]
+                same = [s for s in own if s["kind"] == f["kind"]]
+                near = [s for s in same if s["qualified_name"] == f["name"]] or [s for s in same if (s["qualified_name"] or "").split(".")[-1] == f["name"]]
+                if squeezed(f["signature"]):
+                    near = [s for s in near if squeezed(f["signature"]) in squeezed(s["signature"])] or near
+                free = [s for s in near if s["symbol"] not in taken]
+                if near:
+                    chosen = free[0]["symbol"] if free else near[0]["symbol"] if len(near) == 1 else f"scope_{key[1]}_{n}"
+                elif tier and len(own) == 1:
+                    chosen = own[0]["symbol"]
+                if chosen is not None:
+                    break
+            taken.add(chosen)
             rows.append((key[0], key[1], f["fact"], chosen))
         return pd.DataFrame(rows, columns=["rel", "chunk", "fact", "symbol"])
 
-    pairs = facts.groupBy("rel", "chunk").cogroup(symbols.groupBy("rel", "chunk"))
+    pairs = facts.groupBy("rel", "chunk").cogroup(known.groupBy("rel", "chunk"))
     return pairs.applyInPandas(allocate, "rel string, chunk int, fact string, symbol string").filter("fact IS NOT NULL")
 
 
+_LAST = r"(?:::|[./#$\\])"
+
+
 def reconciled(model: DataFrame, declared: DataFrame) -> DataFrame:
     """(rel, bucket, name, signature, start, description) of the declarations that a model named, all overloads of them.
 
-    A name counts in its own bucket, else in the other if it is declared there once. A description goes to
-    a declaration only if that is the only one of the name, or the only one with the signature; the first one
-    wins. ``model`` is (rel, ord, bucket, name, signature, description), ``declared`` (rel, bucket, name, signature, start).
+    A name stands for the declarations of that full name, else for those whose last part is its last part. It counts in its
+    own bucket, else in the other if it is declared there once. A description goes to a declaration only if
+    that is the only one of the name, or the only one with the signature; the first one wins. ``model`` is (rel, ord,
+    bucket, name, signature, description), ``declared`` (rel, bucket, name, signature, start).
     """
-    per_name = Window.partitionBy("rel", "name")
-    counted = declared.withColumn("in_bucket", F.count(F.lit(1)).over(Window.partitionBy("rel", "bucket", "name"))).withColumn("in_name", F.count(F.lit(1)).over(per_name))
-    d = counted.select("rel", "name", F.col("bucket").alias("d_bucket"), F.col("signature").alias("d_signature"), "start", "in_bucket", "in_name")
-    own = declared.select("rel", "name", "bucket").distinct().withColumn("own", F.lit(True))
-    asked = model.join(own, ["rel", "name", "bucket"], "left")
-    both = asked.join(d, ["rel", "name"]).filter((F.col("own") & (F.col("bucket") == F.col("d_bucket"))) | (F.col("own").isNull() & (F.col("in_name") == 1)))
+    last = lambda c: F.element_at(F.split(c, _LAST), -1)
+    d = declared.select("rel", F.col("name").alias("d_name"), F.col("bucket").alias("d_bucket"), F.col("signature").alias("d_signature"), "start")
+    full = model.join(d.withColumn("name", F.col("d_name")), ["rel", "name"])
+    rest = model.join(declared.select("rel", "name").distinct(), ["rel", "name"], "left_anti").withColumn("_last", last(F.col("name")))
+    short = rest.join(d.withColumn("_last", last(F.col("d_name"))), ["rel", "_last"]).drop("_last")
+    asked = Window.partitionBy("rel", "ord")
+    same = (F.col("bucket") == F.col("d_bucket")).cast("int")
+    both = full.unionByName(short).withColumns({"own": F.sum(same).over(asked), "every": F.count(F.lit(1)).over(asked)})
+    both = both.filter(((F.col("own") > 0) & (F.col("bucket") == F.col("d_bucket"))) | ((F.col("own") == 0) & (F.col("every") == 1)))
     squeezed = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", "")
     fits = (squeezed("signature") != "") & (squeezed("signature") == squeezed("d_signature"))
-    same = F.sum(fits.cast("int")).over(Window.partitionBy("rel", "name", "ord"))
-    isolated = (F.col("in_bucket") == 1) | (fits & (same == 1))
+    alone = F.when(F.col("own") > 0, F.col("own") == 1).otherwise(F.col("every") == 1)
+    isolated = alone | (fits & (F.sum(fits.cast("int")).over(asked) == 1))
     text = F.when(isolated, F.nullif(F.trim("description"), F.lit("")))
-    return both.withColumn("text", text).groupBy("rel", F.col("d_bucket").alias("bucket"), "name", F.col("d_signature").alias("signature"), "start").agg(
+    return both.withColumn("text", text).groupBy("rel", F.col("d_bucket").alias("bucket"), F.col("d_name").alias("name"), F.col("d_signature").alias("signature"), "start").agg(
         F.min_by("text", F.when(F.col("text").isNotNull(), F.col("ord"))).alias("description")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.operators import graph as gr
 from millrace.operators.ranking import numbered
+from millrace.session import pinned
 
 # The keys of a record's identity and what an absent key stands for (null: absent equals absent only).
 IDENTITY = {
@@ -115,6 +117,20 @@ def plan(files: DataFrame, prior: DataFrame, run: Run, graph: DataFrame | None =
     return base.withColumn("route", route)
 
 
+def steady(read: Callable[[], DataFrame], tries: int = 2) -> DataFrame:
+    """Files (rel, content, ...) of ``read``, pinned, and still the same when read again: a plan is made over one state of the source.
+
+    Where a file changed, came or went in between, it is read anew, ``tries`` times in all; then it is an error.
+    """
+    seen = lambda df: df.select("rel", F.sha2("content", 256).alias("hash"))
+    for _ in range(tries):
+        files = pinned(read())
+        now, then = seen(read()), seen(files)
+        if not then.exceptAll(now).unionByName(now.exceptAll(then)).limit(1).count():
+            return files
+    raise RuntimeError("the source changes while it is read")
+
+
 def route_summary(planned: DataFrame, run: Run) -> DataFrame:
     """(route, files, chars, tokens, calls) of a plan."""
     sent = F.least(F.col("chars"), F.lit(run.most_chars))
@@ -152,8 +168,18 @@ def route_view(planned: DataFrame, run: Run, blocked: DataFrame | None = None) -
 
 
 def hash_candidates(files: DataFrame, prior: DataFrame) -> DataFrame:
-    """(rel, hash, candidate): first of the prior records (path, hash, ord) with the same content, by their order."""
-    return files.select("rel", "hash").join(prior.select("hash", "path", "ord"), "hash").groupBy("rel", "hash").agg(F.min_by("path", F.struct("ord", "path")).alias("candidate"))
+    """(rel, hash, candidate): first of the prior records (path, hash, ord) with the same content, by their order.
+
+    Where both sides have the keys of the identity and a language, a record counts only if it could be reused but for its path
+    and what follows from the path.
+    """
+    keys = [k for k in ("language", *IDENTITY) if k != "ordinary_path_identity" and k in files.columns and k in prior.columns]
+    f, p = files.select("rel", "hash", *keys).alias("f"), prior.select("hash", "path", "ord", *keys).alias("p")
+    same = F.col("f.hash") == F.col("p.hash")
+    for k in keys:
+        absent = F.lit(IDENTITY.get(k))
+        same = same & F.coalesce(F.col(f"f.{k}"), absent).eqNullSafe(F.coalesce(F.col(f"p.{k}"), absent))
+    return f.join(p, same).groupBy("f.rel", "f.hash").agg(F.min_by("p.path", F.struct("p.ord", "p.path")).alias("candidate"))
 
 
 def carried(recovered: DataFrame, planned: DataFrame) -> DataFrame:

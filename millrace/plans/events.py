@@ -130,19 +130,23 @@ def fact_occurrences(spark, sf):
     return lg.occurrences(facts).select("rel", "canonical", "occurrence")
 
 
-FACTS = (("a", 0, "f1", "functions", "run", "run(x)", "1"), ("a", 0, "f2", "functions", "run", "", "2"), ("a", 0, "f3", "functions", "A.run", "", "3"), ("a", 0, "f4", "classes", "A", "", "4"), ("a", 0, "f5", "functions", "lost", "", "5"), ("a", 1, "f6", "functions", "run", "", "6"))
+FACTS = (("a", 0, "f1", "functions", "run", "run(x)", "1"), ("a", 0, "f2", "functions", "run", "", "2"), ("a", 0, "f3", "functions", "A.run", "", "3"), ("a", 0, "f4", "classes", "A", "", "4"), ("a", 0, "f5", "functions", "lost", "", "5"), ("a", 1, "f6", "functions", "run", "", "6"), ("a", 0, "f7", "functions", "run", "", "7"), ("a", 0, "f8", "classes", "A", "", "8"), ("a", 2, "f9", "functions", "any", "", "9"), ("a", 3, "g1", "functions", "part", "", "1"), ("a", 3, "g2", "functions", "lost", "", "2"))
 SYMBOLS = (("a", 0, "s1", "functions", "run", "def run(y)", 0), ("a", 0, "s2", "functions", "run", "def run(x)", 10), ("a", 0, "s3", "functions", "A.run", "def run(self)", 20), ("a", 0, "s4", "classes", "A", "class A", 15), ("a", 1, "s5", "functions", "B.run", "def run(self)", 40))
 
 
+UNITS = (("a", 2, "u1", "functions", "whole", "", 50), ("a", 3, "u2", "functions", "x.part", "", 60), ("a", 3, "u3", "classes", "Y", "", 70))
+
+
 def scope_allocation(spark, sf):
     importable(spark)
     facts = spark.createDataFrame(list(FACTS), "rel string, chunk int, fact string, kind string, name string, signature string, canonical string")
     symbols = spark.createDataFrame(list(SYMBOLS), "rel string, chunk int, symbol string, kind string, qualified_name string, signature string, start int")
-    return lg.allocated(facts, symbols)
+    units = spark.createDataFrame(list(UNITS), "rel string, chunk int, symbol string, kind string, qualified_name string, signature string, start int")
+    return lg.allocated(facts, symbols, units)
 
 
-MODEL = (("a", 0, "functions", "run", "", "runs"), ("a", 1, "functions", "A", "", "a class after all"), ("a", 2, "functions", "run", "run(x)", "runs x"), ("a", 3, "functions", "solo", "", " "), ("a", 4, "functions", "solo", "", "alone"), ("a", 5, "classes", "none", "", "not there"), ("a", 6, "functions", "solo", "", "later"))
-DECLARED = (("a", "functions", "run", "run(x)", 10), ("a", "functions", "run", "run(y)", 20), ("a", "classes", "A", "", 30), ("a", "functions", "solo", "solo()", 40))
+MODEL = (("a", 0, "functions", "run", "", "runs"), ("a", 1, "functions", "A", "", "a class after all"), ("a", 2, "functions", "run", "run(x)", "runs x"), ("a", 3, "functions", "solo", "", " "), ("a", 4, "functions", "solo", "", "alone"), ("a", 5, "classes", "none", "", "not there"), ("a", 6, "functions", "solo", "", "later"), ("a", 7, "functions", "Box.open", "", "opens"), ("a", 8, "classes", "ns::Inner", "", "inside"), ("a", 9, "functions", "twice", "", "which"))
+DECLARED = (("a", "functions", "run", "run(x)", 10), ("a", "functions", "run", "run(y)", 20), ("a", "classes", "A", "", 30), ("a", "functions", "solo", "solo()", 40), ("a", "functions", "Lid.open", "", 50), ("a", "classes", "Inner", "", 60), ("a", "classes", "m.twice", "", 70), ("a", "classes", "n.twice", "", 80))
 
 
 def reconciliation(spark, sf):
@@ -374,8 +378,8 @@ SELECT conv_id, turn, CASE WHEN kept IS NOT NULL THEN '{"description":' || to_js
     "usage_examples": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS example FROM conversations",
     "ledger_merge": f"WITH {_FACTS} SELECT rel, kind, name, min(ord) AS first_ord, coalesce(min_by(description, ord) FILTER (description IS NOT NULL), '') AS description, array_to_string(list_sort(list_distinct(list(ord))), ',') AS origins FROM facts WHERE name <> '' GROUP BY rel, kind, name",
     "fact_occurrences": f"WITH {_FACTS} SELECT rel, lpad(CAST(ord AS VARCHAR), 12, '0') AS canonical, CAST(row_number() OVER (PARTITION BY rel, kind, name ORDER BY ord % 2 <> 0, lpad(CAST(ord AS VARCHAR), 12, '0')) - 1 AS INTEGER) AS occurrence FROM facts",
-    "scope_allocation": "SELECT * FROM (VALUES ('a', 0, 'f1', 's2'), ('a', 0, 'f2', 's1'), ('a', 0, 'f3', 's3'), ('a', 0, 'f4', 's4'), ('a', 0, 'f5', NULL), ('a', 1, 'f6', 's5')) AS t(rel, chunk, fact, symbol)",
-    "reconciliation": "SELECT * FROM (VALUES ('a', 'functions', 'run', 'run(x)', 10, 'runs x'), ('a', 'functions', 'run', 'run(y)', 20, NULL), ('a', 'classes', 'A', '', 30, 'a class after all'), ('a', 'functions', 'solo', 'solo()', 40, 'alone')) AS t(rel, bucket, name, signature, start, description)",
+    "scope_allocation": "SELECT * FROM (VALUES ('a', 0, 'f1', 's2'), ('a', 0, 'f2', 's1'), ('a', 0, 'f3', 's3'), ('a', 0, 'f4', 's4'), ('a', 0, 'f5', NULL), ('a', 1, 'f6', 's5'), ('a', 0, 'f7', 'scope_0_5'), ('a', 0, 'f8', 's4'), ('a', 2, 'f9', 'u1'), ('a', 3, 'g1', 'u2'), ('a', 3, 'g2', NULL)) AS t(rel, chunk, fact, symbol)",
+    "reconciliation": "SELECT * FROM (VALUES ('a', 'functions', 'run', 'run(x)', 10, 'runs x'), ('a', 'functions', 'run', 'run(y)', 20, NULL), ('a', 'classes', 'A', '', 30, 'a class after all'), ('a', 'functions', 'solo', 'solo()', 40, 'alone'), ('a', 'functions', 'Lid.open', '', 50, 'opens'), ('a', 'classes', 'Inner', '', 60, 'inside')) AS t(rel, bucket, name, signature, start, description)",
     "lexical_proof": "SELECT * FROM (VALUES ('a.py', 'classes', 'A', 26), ('a.py', 'functions', 'run', 46), ('a.py', 'functions', 'go', 70), ('a.py', 'exports', 'A', 116), ('a.py', 'exports', 'x', 116), ('b.ts', 'classes', 'View', 18), ('b.ts', 'exports', 'View', 18), ('b.ts', 'functions', 'use', 47), ('b.ts', 'exports', 'use', 47), ('b.ts', 'functions', 'gen', 91), ('b.ts', 'exports', 'made', 156), ('b.ts', 'exports', 'size', 184), ('c.js', 'exports', 'a', 0), ('c.js', 'exports', 'b', 0), ('c.js', 'classes', 'Öl', 58), ('c.js', 'functions', 'f', 71), ('c.js', 'exports', 'é', 98), ('e.py', 'classes', 'After', 36)) AS t(rel, bucket, name, start)",
     "rate_limits": "SELECT * FROM (VALUES ('Limit: 10 tokens per min', 'tpm', true), ('TPM exceeded', 'tpm', false), ('rpm', 'rpm', false), ('requests per min and quota', 'rpm', false), ('Daily limit', 'quota', true), ('RESOURCE_EXHAUSTED', 'quota', false), ('error 529', 'overloaded', false), ('stpm', NULL, false), ('Overloaded', 'overloaded', false), ('else', NULL, true)) AS t(message, kind, signalled)",
     "backoff_ladder": """WITH w AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS workers), l AS (SELECT workers, CASE WHEN workers = 1 THEN [1] WHEN workers = 2 THEN [2, 1] WHEN workers = 3 THEN [3, 2, 1] ELSE [workers, workers // 2, 1] END AS ls FROM w),

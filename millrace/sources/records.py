@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
+from millrace.operators import project
 from millrace.operators.planning import IDENTITY
 from millrace.operators.view import embedded, from_embedded
 
@@ -61,9 +62,22 @@ def from_markdown(rows: DataFrame) -> DataFrame:
     return seen.select(F.coalesce("r", visible).alias("r")).select("r.*")
 
 
-def first_present(*sources: DataFrame | None) -> DataFrame | None:
-    """The first source that is there: a sibling format counts only where the chosen one is missing."""
-    return next((s for s in sources if s is not None), None)
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_either(spark: SparkSession, json_path: str | None, markdown_path: str | None, prefer: str = "json") -> DataFrame | None:
+    """Public files of an earlier document in the preferred format; the other format counts only where that one is missing.
+
+    A document that is there but cannot be read is an error, not a reason to look at the other. None if neither is there.
+    """
+    known = {"json": (json_path, project.read_json), "markdown": (markdown_path, project.read_files)}
+    for kind in sorted(known, key=lambda k: k != prefer):
+        path, read = known[kind]
+        if path and exists(spark, path):
+            return read(project.read_text(spark, path))
+    return None
 
 
 def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -97,14 +111,39 @@ def valid_nodes(planned: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(p, ["rel", "node_id"], "left").withColumn("reason", reason).select(*found.columns, "reason")
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str = "path", gone: DataFrame | None = None) -> DataFrame:
-    """A table with new rows over old ones of the same key, and without what is gone."""
-    kept = old.join(new.select(key), key, "left_anti").unionByName(new)
-    return kept if gone is None else kept.join(gone.select(key), key, "left_anti")
+def upserted(old: DataFrame, new: DataFrame, key: str | list[str] = "path", gone: DataFrame | None = None) -> DataFrame:
+    """A table with new rows over old ones of the same key, and without what is gone. Nodes of a tree have the key [rel, node_id]."""
+    keys = [key] if isinstance(key, str) else key
+    kept = old.join(new.select(keys), keys, "left_anti").unionByName(new)
+    return kept if gone is None else discarded(kept, gone, keys)
+
+
+def discarded(rows: DataFrame, gone: DataFrame, key: str | list[str] = "path") -> DataFrame:
+    """Rows without those of the keys that are gone; a part of the key takes all that belong to it."""
+    keys = [key] if isinstance(key, str) else key
+    return rows.join(gone.select(keys).distinct(), keys, "left_anti")
+
+
+def _over_mapping(base: dict, more: Mapping[str, object], less) -> dict:
+    """A mapping with more in it and less of it; values that are lists grow and shrink item by item."""
+    taken = less if isinstance(less, Mapping) else {}
+    gone = () if taken else less
+    out = {}
+    for key in dict.fromkeys([*base, *more]):
+        value = more.get(key, base.get(key))
+        if isinstance(value, list | tuple) and isinstance(base.get(key, []), list | tuple):
+            value = [x for x in dict.fromkeys([*base.get(key, ()), *value]) if x not in (taken.get(key) or ())]
+        if key not in gone:
+            out[key] = value
+    return out
 
 
 def resolved(defaults: Mapping[str, object], *layers: Mapping[str, object]) -> dict[str, object]:
-    """Settings: layers over defaults, with name_add and name_remove for lists and mappings. Unknown names are errors."""
+    """Settings: layers over defaults, with name_add and name_remove for lists and mappings. Unknown names are errors.
+
+    In a mapping of lists, name_add extends the lists that are there, and name_remove, given as a mapping, takes
+    from them; a list of keys takes these out whole.
+    """
 
     def over(base: dict[str, object], layer: Mapping[str, object]) -> dict[str, object]:
         out = dict(base)
@@ -119,7 +158,7 @@ def resolved(defaults: Mapping[str, object], *layers: Mapping[str, object]) -> d
         for stem in defaults:
             more, less = layer.get(f"{stem}_add"), layer.get(f"{stem}_remove")
             if isinstance(out[stem], dict):
-                out[stem] = {k: v for k, v in {**out[stem], **(more or {})}.items() if k not in (less or ())}
+                out[stem] = _over_mapping(out[stem], more or {}, less or ())
             elif isinstance(out[stem], list | tuple):
                 out[stem] = [x for x in dict.fromkeys([*out[stem], *(more or ())]) if x not in (less or ())]
         return out
