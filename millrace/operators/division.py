@@ -34,6 +34,23 @@ def line_atoms(files: DataFrame) -> DataFrame:
     return rows.select("rel", "ord", "source", F.length("source").cast("bigint").alias("chars"), (F.col("end_byte") - F.octet_length("source")).cast("bigint").alias("start_byte"), "end_byte")
 
 
+def fixed_width(atoms: DataFrame, width: int) -> DataFrame:
+    """(rel, ord, part, source) of atoms (rel, ord, source): those of more than ``width`` signs in parts of that width, the last one shorter."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("source") - 1, F.lit(0)), F.lit(width))
+    return atoms.select("rel", "ord", F.posexplode(F.transform(starts, lambda a: F.substr(F.col("source"), a + 1, F.lit(width)))).alias("part", "source"))
+
+
+def division_totals(figures: DataFrame) -> DataFrame:
+    """(mode, blocked, files, units, chunks, continuation_groups, calls) of ``plan_figures``: in all, by mode, and by what stops a file.
+
+    The rows of a total have null in the columns it goes over; ``of`` names the total.
+    """
+    rows = figures.withColumn("reason", F.coalesce("blocked", F.lit("none")))
+    sums = [F.count(F.lit(1)).alias("files"), *[F.sum(c).cast("bigint").alias(c) for c in ("units", "chunks", "continuation_groups")], F.sum(F.when(F.col("blocked").isNull(), F.col("calls")).otherwise(0)).cast("bigint").alias("calls")]
+    found = rows.groupingSets([[F.col("mode")], [F.col("reason")], []], F.col("mode"), F.col("reason")).agg(F.grouping_id().alias("_g"), *sums)
+    return found.select(F.when(F.col("_g") == 1, "mode").when(F.col("_g") == 2, "reason").otherwise("all").alias("of"), F.coalesce("mode", "reason", F.lit("all")).alias("value"), "files", "units", "chunks", "continuation_groups", "calls")
+
+
 def fan_in(budget: int = MANIFEST_FLOOR) -> int:
     return (budget - ENVELOPE + ITEM_GAP) // (ITEM_PREFIX + NARRATIVE + ITEM_GAP)
 

@@ -159,6 +159,21 @@ def partition_holds(planned: DataFrame) -> DataFrame:
     )
 
 
+def run_partition(planned: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(selected, unchanged, identical, documented, failed, unattempted, skipped, holds): every selected file ends in exactly one way.
+
+    ``outcomes`` is (rel, ok) of the files whose calls were made; an agent's file without one is unattempted.
+    """
+    ends = planned.select("rel", "route").join(outcomes.groupBy("rel").agg(F.bool_and("ok").alias("ok")), "rel", "left")
+    agent, route = F.col("route") == "agent", lambda r: F.count_if(F.col("route") == r)
+    counted = ends.agg(
+        F.count(F.lit(1)).alias("selected"), route("unchanged").alias("unchanged"), route("identical").alias("identical"), F.count_if(agent & F.col("ok")).alias("documented"), F.count_if(agent & ~F.col("ok")).alias("failed"),
+        F.count_if(agent & F.col("ok").isNull()).alias("unattempted"), route("skip").alias("skipped"), F.countDistinct("rel").alias("_files"),
+    )
+    total = sum((F.col(c) for c in ("unchanged", "identical", "documented", "failed", "unattempted", "skipped")), F.lit(0))
+    return counted.withColumn("holds", (F.col("selected") == total) & (F.col("selected") == F.col("_files"))).drop("_files")
+
+
 def route_view(planned: DataFrame, run: Run, blocked: DataFrame | None = None) -> DataFrame:
     """(rel, chars, route, payable) of every file above the ceiling: blocked (with a reason), split or truncate."""
     large = planned.filter(F.col("chars") > run.most_chars)
@@ -238,9 +253,13 @@ def reconciled(calls: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
-def scope_counts(selection: DataFrame, planned: DataFrame) -> DataFrame:
-    """(scanned, reachable, disconnected, documented, excluded, paid_disconnected)."""
+def scope_counts(selection: DataFrame, planned: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """(scanned, reachable, disconnected, documented, excluded, paid_disconnected, calls_disconnected): of planned ``calls`` (rel) if given."""
     joined = selection.join(planned.select("rel", "route"), "rel", "left")
+    if calls is None:
+        joined = joined.withColumn("_calls", F.lit(0))
+    else:
+        joined = joined.join(calls.groupBy("rel").agg(F.count(F.lit(1)).alias("_calls")), "rel", "left")
     return joined.agg(
         F.count(F.lit(1)).alias("scanned"),
         F.count_if("reachable").alias("reachable"),
@@ -248,4 +267,5 @@ def scope_counts(selection: DataFrame, planned: DataFrame) -> DataFrame:
         F.count_if("documented").alias("documented"),
         F.count_if(~F.col("documented")).alias("excluded"),
         F.count_if(~F.col("reachable") & (F.col("route") == "agent")).alias("paid_disconnected"),
+        F.coalesce(F.sum(F.when(~F.col("reachable"), F.col("_calls"))), F.lit(0)).cast("bigint").alias("calls_disconnected"),
     )

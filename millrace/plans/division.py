@@ -52,6 +52,15 @@ def plan_stream(spark, sf):
     return stream.groupBy("rel", "kind").agg(F.count(F.lit(1)).alias("items"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
+def division_totals(spark, sf):
+    return dv.division_totals(division_plans(spark, sf))
+
+
+def fixed_width_atoms(spark, sf):
+    atoms = dv.line_atoms(docs.files(spark, sf))
+    return dv.fixed_width(atoms, 400).select("rel", "ord", "part", F.sha2("source", 256).alias("digest"))
+
+
 def capacity_codes(spark, sf):
     """Every bound passed in turn, and the first of several."""
     rows = [("fits", 1, 1, 1, 1, 1, 1), ("a", 4097, 9999, 9999, 999, 9, 99), ("s", 4096, 8193, 1, 1, 1, 1), ("u", 1, 1, 4097, 257, 1, 1), ("c", 1, 1, 4096, 257, 7, 1), ("d", 1, 1, 1, 256, 7, 99), ("f", 1, 1, 1, 1, 6, 30), ("e", 1, 1, 1, 1, 6, 29)]
@@ -112,7 +121,7 @@ def kind_buckets(spark, sf):
 
 
 NAMES = (
-    "divided_chunks", "metadata_bounded_chunks", "reduction_calls", "division_plans", "unit_summaries", "leaf_summaries", "plan_stream", "capacity_codes", "source_structure", "source_units", "embedded_regions", "kind_buckets",
+    "divided_chunks", "metadata_bounded_chunks", "reduction_calls", "division_plans", "unit_summaries", "leaf_summaries", "plan_stream", "division_totals", "fixed_width_atoms", "capacity_codes", "source_structure", "source_units", "embedded_regions", "kind_buckets",
 )
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -136,6 +145,10 @@ nodes AS (SELECT rel, phase, CAST(level AS INTEGER) AS level, least((g + 1) * CA
 calls AS (SELECT rel, phase, level, count(*) AS nodes, CAST(sum(ceil(size / pow(12, level - 1))) AS BIGINT) AS children, CAST(max(from_ + to_) - 1 AS INTEGER) AS last FROM nodes GROUP BY ALL
   UNION ALL SELECT rel, 'final', 0, 1, CAST(ceil(n / pow(12, levels)) AS BIGINT), CAST(n - 1 AS INTEGER) FROM roots)"""
 
+_PLANS = f"""{_CALLS}, f AS (SELECT rel, max(last_unit) + 1 AS units, count(*) AS chunks, count(*) FILTER (pieces > 1 AND piece = 0) AS continuation_groups FROM pc GROUP BY rel),
+n AS (SELECT rel, CAST(coalesce(sum(nodes) FILTER (phase = 'unit-consolidation'), 0) AS BIGINT) AS consolidations, CAST(coalesce(sum(nodes) FILTER (phase = 'general'), 0) AS BIGINT) AS generals, max(level) AS levels FROM calls GROUP BY rel),
+plans AS (SELECT rel, 'lexical' AS mode, CAST(units AS BIGINT) AS units, chunks, continuation_groups, consolidations, generals, levels, chunks + consolidations + generals + 1 AS calls, CASE WHEN units > 4096 THEN 'atom-cap' WHEN chunks > 256 THEN 'chunk-cap' END AS blocked FROM f JOIN n USING (rel))"""
+
 
 def _values(rows, names):
     shown = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -145,9 +158,10 @@ def _values(rows, names):
 ORACLE_SQL = {
     "divided_chunks": f"WITH RECURSIVE {_CUT} SELECT rel, chunk, chunks, unit_group, piece, pieces, first_unit, last_unit, start_byte, end_byte, chars, reason, left_edge, right_edge FROM bytes",
     "reduction_calls": f"WITH RECURSIVE {_CALLS} SELECT rel, phase, level, nodes, children, last FROM calls",
-    "division_plans": f"""WITH RECURSIVE {_CALLS}, f AS (SELECT rel, max(last_unit) + 1 AS units, count(*) AS chunks, count(*) FILTER (pieces > 1 AND piece = 0) AS continuation_groups FROM pc GROUP BY rel),
-n AS (SELECT rel, CAST(coalesce(sum(nodes) FILTER (phase = 'unit-consolidation'), 0) AS BIGINT) AS consolidations, CAST(coalesce(sum(nodes) FILTER (phase = 'general'), 0) AS BIGINT) AS generals, max(level) AS levels FROM calls GROUP BY rel)
-SELECT rel, 'lexical' AS mode, CAST(units AS BIGINT) AS units, chunks, continuation_groups, consolidations, generals, levels, chunks + consolidations + generals + 1 AS calls, CASE WHEN units > 4096 THEN 'atom-cap' WHEN chunks > 256 THEN 'chunk-cap' END AS blocked FROM f JOIN n USING (rel)""",
+    "division_plans": f"WITH RECURSIVE {_PLANS} SELECT * FROM plans",
+    "division_totals": f"""WITH RECURSIVE {_PLANS}, r AS (SELECT *, coalesce(blocked, 'none') AS reason FROM plans)
+SELECT CASE grouping(mode, reason) WHEN 1 THEN 'mode' WHEN 2 THEN 'reason' ELSE 'all' END AS of, coalesce(mode, reason, 'all') AS value, count(*) AS files, CAST(sum(units) AS BIGINT) AS units, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(continuation_groups) AS BIGINT) AS continuation_groups, CAST(sum(CASE WHEN blocked IS NULL THEN calls ELSE 0 END) AS BIGINT) AS calls FROM r GROUP BY GROUPING SETS ((mode), (reason), ())""",
+    "fixed_width_atoms": f"WITH {docs._ATOMS}, p AS (SELECT rel, ord, source, CAST(unnest(range(0, CAST(ceil(chars / 400.0) AS INT))) AS INTEGER) AS part FROM atoms) SELECT rel, ord, part, sha256(substr(source, part * 400 + 1, 400)) AS digest FROM p",
     "unit_summaries": f"""WITH RECURSIVE {_CUT}, p AS (SELECT rel, first_unit AS ord, string_agg(CAST(chars AS VARCHAR), ',' ORDER BY piece) AS payloads FROM pc WHERE pieces > 1 GROUP BY ALL)
 SELECT a.rel, a.ord AS unit, a.chars, CAST(greatest(1, ceil(a.chars / {BUDGET}.0)) AS INTEGER) AS least, CAST(greatest(1, ceil(a.chars / {BUDGET}.0)) AS INTEGER) AS pieces, 0 AS extra, coalesce(payloads, '') AS payloads FROM atoms a LEFT JOIN p ON p.rel = a.rel AND p.ord = a.ord""",
     "leaf_summaries": f"""WITH RECURSIVE {_CUT} SELECT f.rel, f.chunk, f.reason, string_agg(a.ord || ':' || CASE WHEN f.pieces > 1 THEN f.chars ELSE a.chars END, ',' ORDER BY a.ord) AS parts

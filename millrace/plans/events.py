@@ -77,8 +77,9 @@ def clean_fixed_arrays(spark, sf):
 def clean_symbol_arrays(spark, sf):
     said = table(spark, sf, "conversations").filter("role = 'assistant'")
     symbols = F.transform(F.split("text", r"\."), lambda s: F.struct(F.split_part(F.trim(s), F.lit(" "), F.lit(1)).alias("name"), s.alias("description")))
-    kept = F.transform(rs.clean_symbols(symbols, 5), lambda s: F.concat(s["name"], F.lit("="), s["description"]))
-    return said.select("conv_id", "turn", F.sha2(F.array_join(kept, "\n"), 256).alias("symbols"))
+    found = rs.clean_symbols(symbols, 5)
+    kept = F.transform(found, lambda s: F.concat(s["name"], F.lit("="), s["description"]))
+    return said.select("conv_id", "turn", F.size(found).cast("bigint").alias("symbols"), F.array_join(kept, "\n").alias("kept"))
 
 
 def contract_validation(spark, sf):
@@ -364,7 +365,7 @@ SELECT queue, seq, outcome, run, coalesce(max(CAST(run >= 5 AS INT)) OVER (PARTI
 x AS (SELECT conv_id, turn, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM s),
 v AS (SELECT conv_id, turn, i, left(trim(split_part(trim(s), ' ', 1), concat(' ', chr(9), chr(10), chr(13))), 128) AS name, left(nullif(trim(s, concat(' ', chr(9), chr(10), chr(13))), ''), 300) AS d FROM x),
 f AS (SELECT conv_id, turn, name, d, min(i) AS i FROM v WHERE name <> '' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS nth FROM f QUALIFY nth <= 5)
-SELECT s.conv_id, s.turn, sha256(coalesce(string_agg(k.name || '=' || k.d, chr(10) ORDER BY k.i), '')) AS symbols FROM s LEFT JOIN k USING (conv_id, turn) GROUP BY ALL""",
+SELECT s.conv_id, s.turn, count(k.name) AS symbols, coalesce(string_agg(k.name || '=' || k.d, chr(10) ORDER BY k.i), '') AS kept FROM s LEFT JOIN k USING (conv_id, turn) GROUP BY ALL""",
     "contract_validation": """SELECT conv_id, turn, array_to_string(list_filter(['the', 'and', 'of', 'nowhere'], lambda w: NOT list_contains(regexp_split_to_array(text, '[ .,]+'), w)), ',') AS missing FROM conversations""",
     "bounded_answers": """WITH a AS (SELECT conv_id, turn, text, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'),
 n AS (SELECT conv_id, turn, text, length(CAST(to_json(text) AS VARCHAR)) AS d, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM a),

@@ -198,7 +198,27 @@ def forced_paths(spark, sf):
 def scope_figures(spark, sf):
     planned = docs.planned(spark, sf)
     chosen = table(spark, sf, "documents").select(docs.from_rel(), (F.col("doc_id") % 3 > 0).alias("reachable"), (F.col("doc_id") % 3 != 1).alias("documented"))
-    return pl.scope_counts(chosen, planned)
+    return pl.scope_counts(chosen, planned, pl.manifest(planned, pl.Run(mode="triple")))
+
+
+def run_partition(spark, sf):
+    """Files whose outcome is known by their length: a third is never asked, a third fails."""
+    planned = docs.planned(spark, sf)
+    return pl.run_partition(planned, planned.filter("route = 'agent' AND chars % 3 < 2").select("rel", (F.col("chars") % 3 == 0).alias("ok")))
+
+
+STRICT = ('{"a":1,"b":[]}', '{"b":1,"a":2}', '{"a": 1}', '{"a":1,"a":1}', '{"a":NaN}', "[1]", "{}", "", '{"é":"é"}', '{"\\u00e9":1}', '{"a":1}}')
+
+
+def strict_objects(spark, sf):
+    importable(spark)
+    return spark.createDataFrame([(t,) for t in STRICT], "text string").withColumn("strict", rs.strict_json(F.col("text")).isNotNull())
+
+
+def repeated_symbols(spark, sf):
+    rows = spark.createDataFrame([(0, [("f", "x"), (" f ", "x"), ("", "y"), ("g", " "), ("f", "x")])], "id int, xs array<struct<name:string,description:string>>")
+    shown = lambda distinct: F.array_join(F.transform(rs.clean_symbols(F.col("xs"), 4, distinct), lambda s: F.concat_ws("=", s["name"], s["description"])), ",")
+    return rows.select("id", shown(True).alias("collapsed"), shown(False).alias("every"))
 
 
 def unattempted_calls(spark, sf):
@@ -281,7 +301,7 @@ def scan_report(spark, sf):
 
 NAMES = (
     "public_records", "project_sections", "project_blocks", "project_markdown_read", "project_markdown_whole", "project_json_read", "project_catalog_read", "project_edges_read", "run_summary", "usage_note_map", "cleaned_documentation",
-    "contract_outcomes", "requested_fields", "profile_scopes", "profile_selectors", "review_batches", "forced_paths", "scope_figures", "unattempted_calls", "ordered_files", "eligible_dependencies", "published_exports", "cleaned_objects",
+    "contract_outcomes", "requested_fields", "profile_scopes", "profile_selectors", "review_batches", "forced_paths", "scope_figures", "run_partition", "strict_objects", "repeated_symbols", "unattempted_calls", "ordered_files", "eligible_dependencies", "published_exports", "cleaned_objects",
     "symbol_keys", "bounded_lengths", "deduplicated_stream", "latest_states", "excluded_files", "scan_report",
 )
 QUERIES = {name: globals()[name] for name in NAMES}
@@ -340,7 +360,10 @@ ORACLE_SQL = {
     "profile_selectors": _values([("a.ts", ".ts"), ("A.D.TS", ".d.ts"), (".ts", None), ("x/.d.ts", ".ts"), ("b.d.ts", ".d.ts"), ("dir.ts/c.js", ".js"), ("c.ts.js", ".js"), ("w\\v.ts", ".ts")], "rel, scope"),
     "review_batches": _values([(1, 2, 2, "[documentation/ext:.de] description: was es ist\n[documentation/ext:.de] key_concepts: main ideas"), (2, 2, 1, "[documentation/ext:.en] description: what it is, in all files")], "batch, batches, units, text"),
     "forced_paths": _values([("src/a.py", "src/a.py"), ("./src//b.py", "src/b.py"), ("src\\c.py", "src/c.py"), ("../x.py", None), ("/abs.py", None), ("C:/x.py", None), ("src/../d.py", "d.py"), ("src/../../e.py", None), ("", None), (".", None), (" e.py ", "e.py")], "given, rel"),
-    "scope_figures": f"WITH {docs._PLAN} SELECT count(*) AS scanned, count(*) FILTER (doc_id % 3 > 0) AS reachable, count(*) FILTER (doc_id % 3 = 0) AS disconnected, count(*) FILTER (doc_id % 3 <> 1) AS documented, count(*) FILTER (doc_id % 3 = 1) AS excluded, count(*) FILTER (doc_id % 3 = 0 AND route = 'agent') AS paid_disconnected FROM planned",
+    "scope_figures": f"WITH {docs._PLAN} SELECT count(*) AS scanned, count(*) FILTER (doc_id % 3 > 0) AS reachable, count(*) FILTER (doc_id % 3 = 0) AS disconnected, count(*) FILTER (doc_id % 3 <> 1) AS documented, count(*) FILTER (doc_id % 3 = 1) AS excluded, count(*) FILTER (doc_id % 3 = 0 AND route = 'agent') AS paid_disconnected, 3 * count(*) FILTER (doc_id % 3 = 0 AND route = 'agent') AS calls_disconnected FROM planned",
+    "run_partition": f"WITH {docs._PLAN}, p AS (SELECT *, route = 'agent' AS a, chars % 3 AS m FROM planned) SELECT count(*) AS selected, count(*) FILTER (NOT a) AS unchanged, 0::BIGINT AS identical, count(*) FILTER (a AND m = 0) AS documented, count(*) FILTER (a AND m = 1) AS failed, count(*) FILTER (a AND m = 2) AS unattempted, 0::BIGINT AS skipped, true AS holds FROM p",
+    "strict_objects": _values([(t, n in (0, 6, 8)) for n, t in enumerate(STRICT)], "text, strict"),
+    "repeated_symbols": _values([(0, "f=x,g", "f=x,f=x,g,f=x")], "id, collapsed, every"),
     "unattempted_calls": f"WITH {docs._PLAN}, c AS (SELECT row_number() OVER (ORDER BY rel) - 1 AS seq, 'file' AS category, rel FROM planned WHERE route = 'agent') SELECT seq, category, rel FROM c WHERE seq % 4 = 0",
     "ordered_files": f"WITH {docs._FILES} SELECT rel, CASE WHEN doc_id % 5 > 0 THEN -doc_id END AS rank, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS record FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
     "eligible_dependencies": _values([("a.py", "sdk", "os"), ("b.py", "external", "numpy"), ("a.py", "internal", "b.py")], "rel, type, name"),
