@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.structure import Index, Structure, structure
+from millrace.session import pinned
 
 # Bounds of a divided file, in the order in which they are checked.
 MOST_ATOMS, MOST_SYMBOLS, MOST_UNITS, MOST_CHUNKS, MOST_DEPTH = 4_096, 8_192, 4_096, 256, 6
@@ -77,7 +78,9 @@ def balanced_cuts(text: str, budget: int, preferred: tuple[int, ...] = ()) -> li
     size = len(text)
     if size <= budget:
         return []
-    free = np.delete(np.arange(size + 1), [m.start() + 1 for m in re.finditer("\r\n", text)])
+    free = np.arange(size + 1)
+    if "\r\n" in text:
+        free = np.delete(free, [m.start() + 1 for m in re.finditer("\r\n", text)])
     upto = lambda at: int(free[np.searchsorted(free, at, side="right") - 1])
     ends = [0]
     while ends[-1] < size:
@@ -89,7 +92,8 @@ def balanced_cuts(text: str, budget: int, preferred: tuple[int, ...] = ()) -> li
     for _ in range(pieces):
         earliest.append(int(free[np.searchsorted(free, max(0, earliest[-1] - budget))]))
     lines = np.cumsum([len(line) for line in text.splitlines(keepends=True)])
-    tiers = (("syntax", np.intersect1d(np.array(preferred, dtype=np.int64), free[1:-1])), ("physical-line", lines[lines < size]))
+    nested = [("syntax", np.intersect1d(np.array(preferred, dtype=np.int64), free[1:-1]))] if preferred else []
+    tiers = [*nested, *([("physical-line", lines[:-1])] if len(lines) > 1 else [])]
 
     cuts, start = [], 0
     for left in range(pieces - 1, 0, -1):
@@ -114,7 +118,7 @@ _GROUP = len('{"group":"unit_","units":[]}') + 64
 _BETWEEN = 3  # signs between two entries
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Chunk:
     """Neighbouring units of a file in one call, or a piece of a unit that is too large for one."""
 
@@ -139,7 +143,8 @@ def planned_chunks(text: str, found: Structure, budget: int, metadata: int = MET
     """
     index = Index(text)
     starts = [a for a, _ in found.units]
-    signs = np.array([index.sign(a) for a in starts] + [len(text)])
+    whole = found.mode == "lexical"  # units are lines, whose signs are counted already
+    signs = index.signs if whole else np.array([index.sign(a) for a in starts] + [len(text)])
     ends = np.array(starts + [len(index.data)])
     digits = np.array([len(f"{a}{b}{i}") for i, (a, b) in enumerate(found.units)])
     said = np.concatenate([[0], np.cumsum(digits + _UNIT + _BETWEEN)]) if len(starts) else np.zeros(1, int)
@@ -148,11 +153,11 @@ def planned_chunks(text: str, found: Structure, budget: int, metadata: int = MET
     at = group = 0
     while at < len(starts):
         start = int(ends[at])
-        if at in large:
+        if signs[at + 1] - signs[at] > budget:
             own = text[signs[at] : signs[at + 1]]
             nested = [index.sign(d.start) - int(signs[at]) for d in found.declared if start < d.start < ends[at + 1]]
             cuts = [(0, ""), *balanced_cuts(own, budget, tuple(nested)), (len(own), "")]
-            places = [start + len(own[:c].encode()) for c, _ in cuts]
+            places = [start, *(start + np.cumsum([len(own[a:b].encode()) for (a, _), (b, _) in zip(cuts, cuts[1:], strict=False)])).tolist()]
             for n, ((a, left), (b, right)) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 chunks.append(Chunk(group, n, len(cuts) - 1, at, at, places[n], places[n + 1], b - a, "continuation", left, right))
             at, group = at + 1, group + 1
@@ -167,9 +172,11 @@ def planned_chunks(text: str, found: Structure, budget: int, metadata: int = MET
         reason = "end-of-file" if to == len(starts) else "oversized-unit-isolation" if to == alone else ceilings[by_signs == to, by_words == to]
         chunks.append(Chunk(group, 0, 1, at, to - 1, start, int(ends[to]), int(signs[to] - signs[at]), reason, "", ""))
         at, group = to, group + 1
-    size = len(index.data)
-    edge = lambda c: replace(c, left="file-start" if c.start == 0 else c.left or "semantic-unit", right="file-end" if c.end == size else c.right or "semantic-unit")
-    return [edge(c) for c in chunks]
+    for c in chunks:
+        c.left, c.right = c.left or "semantic-unit", c.right or "semantic-unit"
+    if chunks:
+        chunks[0].left, chunks[-1].right = "file-start", "file-end"
+    return chunks
 
 
 _CHUNKS = "rel string, mode string, chunk int, chunks int, unit_group int, piece int, pieces int, first_unit int, last_unit int, start_byte bigint, end_byte bigint, chars bigint, reason string, left_edge string, right_edge string"
@@ -268,8 +275,16 @@ def reduction_plan(chunks: DataFrame, budget: int = MANIFEST_FLOOR) -> DataFrame
 
     Pieces of one unit are joined first (unit-consolidation), then neighbours among what stands for the units (general), until the
     last call (final) can join the rest. ``first`` and ``last`` are chunks for a consolidation, groups else.
-    The plan of a file follows from its counts, so only these are grouped.
+    The plan of a file follows from its counts, so only these are grouped, and the files are divided once.
     """
+    return _calls(_counted(chunks), budget)
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    return pinned(chunks.select("rel", "mode", "chunk", "chunks", "unit_group", "piece", "pieces", "last_unit"))
+
+
+def _calls(chunks: DataFrame, budget: int) -> DataFrame:
     width = fan_in(budget)
     counted = chunks.groupBy("rel").agg((F.max("unit_group") + 1).cast("bigint").alias("roots"), F.max("chunks").alias("chunks"))
     pieces = chunks.filter("piece = 0 AND pieces > 1").select("rel", "unit_group", F.col("chunk").alias("from"), F.explode(tree_rows(F.col("pieces").cast("bigint"), width)).alias("n"))
@@ -287,11 +302,12 @@ def reduction_plan(chunks: DataFrame, budget: int = MANIFEST_FLOOR) -> DataFrame
 
 def plan_figures(chunks: DataFrame, budget: int = MANIFEST_FLOOR) -> DataFrame:
     """(rel, mode, units, chunks, continuation_groups, consolidations, generals, levels, calls, blocked) of each divided file."""
+    chunks = _counted(chunks)
     counts = chunks.groupBy("rel").agg(
         F.max("mode").alias("mode"), (F.max("last_unit") + 1).cast("bigint").alias("units"), F.max("chunks").cast("bigint").alias("chunks"),
         F.count_if((F.col("pieces") > 1) & (F.col("piece") == 0)).alias("continuation_groups"), F.max("pieces").cast("bigint").alias("most_pieces"), (F.max("unit_group") + 1).cast("bigint").alias("groups"),
     )
-    nodes = reduction_plan(chunks, budget).groupBy("rel").agg(F.count_if(F.col("phase") == "unit-consolidation").alias("consolidations"), F.count_if(F.col("phase") == "general").alias("generals"), F.max("level").alias("levels"))
+    nodes = _calls(chunks, budget).groupBy("rel").agg(F.count_if(F.col("phase") == "unit-consolidation").alias("consolidations"), F.count_if(F.col("phase") == "general").alias("generals"), F.max("level").alias("levels"))
     both = counts.join(nodes, "rel").withColumn("roots", F.ceil(F.col("groups") / F.pow(F.lit(float(fan_in(budget))), general_levels(F.col("groups"), budget))))
     deep = lambda n: F.size(F.filter(F.sequence(F.lit(0), F.lit(MOST_DEPTH + 1)), lambda level: F.pow(F.lit(float(fan_in(budget))), level) < n))
     both = both.withColumns({"atoms": F.col("units"), "symbols": F.lit(0), "depth": deep(F.col("most_pieces")) + general_levels(F.col("groups"), budget)})
@@ -322,6 +338,7 @@ def leaf_summaries(chunks: DataFrame, found: DataFrame) -> DataFrame:
 
 def plan_stream(chunks: DataFrame, found: DataFrame, budget: int, manifest: int = MANIFEST_FLOOR) -> DataFrame:
     """(rel, seq, kind, item): all that a plan says of a file as one ordered stream of JSON: the file, its units, its leaves, its nodes."""
+    chunks = pinned(chunks)
     figures = plan_figures(chunks, manifest)
     row = lambda df, kind, order, *cols: df.select("rel", F.lit(kind).alias("kind"), order.cast("bigint").alias("at"), F.to_json(F.struct(*cols)).alias("item"))
     nodes = reduction_plan(chunks, manifest)
