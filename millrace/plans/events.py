@@ -14,7 +14,7 @@ from millrace.operators import responses as rs
 from millrace.operators import view as vw
 from millrace.plans import documents as docs
 from millrace.sources import records as rc
-from millrace.session import checkpoint_folder, importable, table
+from millrace.session import checkpoint_folder, dropped, importable, pinned, table
 from millrace.streaming import incremental as inc
 
 
@@ -314,7 +314,9 @@ def incremental_stream(spark, sf):
     source.select(F.col("user_id").cast("string").alias("rel"), F.col("event_id").alias("seq"), F.col("event_type").alias("hash")).repartition(4).write.parquet(f"{folder}/in")
     rows = inc.stream(spark, f"{folder}/in", "rel string, seq long, hash string", 1)
     inc.run_once(rows, uuid.uuid4().hex, inc.changed_only(f"{folder}/out"))
-    return inc.state(spark, f"{folder}/out").select("rel", "hash", "seq")
+    last = pinned(inc.state(spark, f"{folder}/out").select("rel", "hash", "seq"))
+    dropped(spark, folder)
+    return last
 
 
 def windowed_counts(spark, sf):
