@@ -287,7 +287,7 @@ SELECT CASE WHEN atoms * 100 > 4096 THEN 'atom-cap' WHEN atoms * 5 > 256 THEN 'c
     "names_in_chunks": f"""WITH RECURSIVE {_PACKED},
 ranges AS (SELECT c.rel, c.chunk AS range_id, a.start_byte AS s, b.end_byte AS e FROM chunks c JOIN atoms a ON a.rel = c.rel AND a.ord = c.first_ord JOIN atoms b ON b.rel = c.rel AND b.ord = c.last_ord),
 points AS (SELECT rel, start_byte AS at_, regexp_extract(source, '^([A-Za-z]+)', 1) AS name, ord FROM atoms),
-firsts AS (SELECT r.rel, r.range_id, p.name, min(p.ord) AS ord FROM ranges r JOIN points p ON p.rel = r.rel AND p.at_ >= r.s AND p.at_ < r.e WHERE p.name <> '' GROUP BY ALL),
+firsts AS (SELECT r.rel, r.range_id, p.name, min(p.ord) AS ord FROM points p ASOF JOIN ranges r ON p.rel = r.rel AND p.at_ >= r.s WHERE p.at_ < r.e AND p.name <> '' GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY rel, range_id ORDER BY ord, name) AS nth FROM firsts QUALIFY nth <= 32)
 SELECT rel, range_id, string_agg(name, ',' ORDER BY nth) AS names FROM top GROUP BY rel, range_id""",
     "breadth_first_quota": """WITH per AS (SELECT source, CAST(sum(n_chars // 1000) AS BIGINT) AS cap FROM documents GROUP BY source),
