@@ -132,7 +132,7 @@ def reduction_coverage(spark, sf):
 def names_in_chunks(spark, sf):
     """The first words of lines as names at their byte, and the chunks as ranges."""
     atoms = dv.line_atoms(files(spark, sf))
-    lines = dv.divided(files(spark, sf).withColumn("language", F.lit("")), 2_000)
+    lines = dv.divided(files(spark, sf).withColumn("language", F.lit("")), 2_000, dv.UNBOUNDED)
     ranges = lines.groupBy("rel", F.col("unit_group").alias("range_id")).agg(F.min("start_byte").alias("start"), F.max("end_byte").alias("end"))
     points = atoms.select("rel", F.col("start_byte").alias("at"), F.regexp_extract("source", "^([A-Za-z]+)", 1).alias("name"), "ord").filter("name <> ''")
     return dv.names_in_ranges(points, ranges).select("rel", "range_id", F.array_join("names", ",").alias("names"))
