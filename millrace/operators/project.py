@@ -19,6 +19,7 @@ from millrace.functions import text as tx
 from millrace.operators import graph as gr
 from millrace.operators.planning import IDENTITY
 from millrace.operators.responses import usage_example
+from millrace.session import pinned
 
 # The public fields of a file, of a run, and the parts of a document, in their order.
 _SYMBOLS = "array<struct<name:string,description:string>>"
@@ -220,6 +221,40 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.v), "").alias("text"))
 
 
+def _pieces(spark: SparkSession, path: str, between: str | None = None) -> DataFrame:
+    """(at, text, first) of what stands between two marks, or two line ends, of the files of ``write``; ``at`` is its place, ``first`` whether it begins a file.
+
+    Splits of a file are read by many tasks. The rows are pinned, as a place counts from where a split begins.
+    """
+    read = spark.read.text(path, lineSep=between)
+    meta = F.col("_metadata")
+    rows = pinned(read.select(F.struct(meta["file_name"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("nth")).alias("at"), F.col("value").alias("text")))
+    firsts = rows.groupBy("at.file").agg(F.min("at").alias("at")).select("at", F.lit(True).alias("first"))  # one row a file
+    return rows.join(F.broadcast(firsts), "at", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+
+
+def _inside(rows: DataFrame, begins: Column, ends: Column) -> DataFrame:
+    """Rows (at, ...) from the first one that ``begins`` to the next one that ``ends``, this one left out."""
+    start = rows.filter(begins).agg(F.min("at").alias("_start"))  # one row each
+    bounds = rows.filter(ends).select(F.col("at").alias("_end")).crossJoin(F.broadcast(start)).filter("_end > _start").agg(F.min("_end").alias("_end")).crossJoin(F.broadcast(start))
+    return rows.crossJoin(F.broadcast(bounds)).filter((F.col("at") >= F.col("_start")) & F.coalesce(F.col("at") < F.col("_end"), F.lit(True))).drop("_start", "_end")
+
+
+def stored_chunks(spark: SparkSession, path: str, title: str) -> DataFrame:
+    """(body): what stands in a section under each heading of the third level, and before the first one, of a document of ``write``.
+
+    The text never meets in one row: it is read between such headings, and only the places where sections begin are compared. A block of ``write``
+    does not go on in another file, so no body does.
+    """
+    rows = _pieces(spark, path, "\n### ")
+    text = tx.normalised_newlines(F.when(F.col("first"), F.concat(F.lit("\n"), "text")).otherwise(F.col("text")))
+    rows = rows.select("at", F.posexplode(F.split(text, "\n### ")).alias("k", "text"))
+    rows = rows.select("at", "k", F.posexplode(F.split("text", r"(?m)(?!\A)^## ")).alias("j", "text")).select(F.struct("at", "k", "j").alias("at"), (F.col("j") > 0).alias("heads"), "text")
+    head = F.col("heads") & F.rlike("text", F.lit(rf"\A{re.escape(title)}\n(\n|\z)"))
+    body = F.when(F.col("heads"), F.regexp_replace("text", r"\A[^\n]*\n\n?", "")).otherwise(F.col("text"))
+    return _inside(rows, head, F.col("heads")).select(body.alias("body")).filter(tx.strip_ascii(F.col("body")) != "")
+
+
 # ---- reading what Markdown shows
 
 
@@ -267,7 +302,11 @@ def _chunks(text: Column, title: str) -> Column:
 
 def read_files(documents: DataFrame) -> DataFrame:
     """Public files of documents (text): whole from the comment of their section, else from what the section shows."""
-    rows = documents.select(F.explode(_chunks(F.col("text"), "Files")).alias("body"))
+    return files_of(documents.select(F.explode(_chunks(F.col("text"), "Files")).alias("body")))
+
+
+def files_of(rows: DataFrame) -> DataFrame:
+    """Public files of their sections (body)."""
     kind = ", ".join(f"{n} {k}" for n, k in FILE_FIELDS.items()) + ", " + ", ".join(f"{k} string" for k in IDENTITY)
     coded = F.regexp_extract("body", "<!-- file:([A-Za-z0-9+/=\\s]*) -->", 1)
     whole = F.from_json(F.when(coded != "", F.decode(F.unbase64(F.regexp_replace(coded, r"\s", "")), "utf-8")), kind)
@@ -288,7 +327,11 @@ def read_files(documents: DataFrame) -> DataFrame:
 
 def read_catalog(documents: DataFrame) -> DataFrame:
     """(name, type, file_count, used_for) of documents (text)."""
-    rows = documents.select(F.explode(_chunks(F.col("text"), "Dependency Catalog")).alias("body"))
+    return catalog_of(documents.select(F.explode(_chunks(F.col("text"), "Dependency Catalog")).alias("body")))
+
+
+def catalog_of(rows: DataFrame) -> DataFrame:
+    """(name, type, file_count, used_for) of the entries (body) of a catalog."""
     body = F.col("body")
     return rows.select(
         F.trim(F.split_part(body, F.lit("\n"), F.lit(1))).alias("name"), F.coalesce(F.nullif(bullet(body, "Type"), F.lit("")), F.lit("unknown")).alias("type"),
@@ -298,8 +341,18 @@ def read_catalog(documents: DataFrame) -> DataFrame:
 
 def read_edges(documents: DataFrame) -> DataFrame:
     """(from, to) of documents (text)."""
-    lines = F.filter(F.split(section(F.col("text"), "Dependency Map"), "\n"), lambda x: F.rlike(x, F.lit("^- `.+?` -> `.+?`$")))
-    rows = documents.select(F.explode(lines).alias("line"))
+    return edges_of(documents.select(F.explode(F.split(section(F.col("text"), "Dependency Map"), "\n")).alias("line")))
+
+
+def stored_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(from, to) of a document of ``write``, read by lines."""
+    found = _inside(_pieces(spark, path), F.col("text") == "## Dependency Map", F.startswith("text", F.lit("## ")))
+    return edges_of(found.select(F.col("text").alias("line")))
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """(from, to) of the lines of a map."""
+    rows = rows.filter(F.rlike("line", F.lit("^- `.+?` -> `.+?`$")))
     return rows.select(F.regexp_extract("line", "^- `(.+?)` -> `(.+?)`$", 1).alias("from"), F.regexp_extract("line", "^- `(.+?)` -> `(.+?)`$", 2).alias("to"))
 
 

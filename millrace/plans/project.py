@@ -71,7 +71,7 @@ def _written(spark, blocks, read):
     importable(spark)
     folder = f"{checkpoint_folder(spark).rstrip('/')}/document-{uuid.uuid4().hex}"
     pj.write(blocks, folder)
-    rows = pinned(read(pj.read_text(spark, folder)))
+    rows = pinned(read(folder))
     dropped(spark, folder)
     return rows
 
@@ -79,25 +79,25 @@ def _written(spark, blocks, read):
 def project_markdown_read(spark, sf):
     """Files from what the document shows: the comments that hold them whole are taken out before."""
     bare = lambda text: text.select(F.regexp_replace("text", "<!-- file:[A-Za-z0-9+/=\\s]* -->\n\n", "").alias("text"))
-    return _flat(_written(spark, pj.markdown_blocks(_view(spark, sf)), lambda text: pj.read_files(bare(text))))
+    return _flat(_written(spark, pj.markdown_blocks(_view(spark, sf)), lambda folder: pj.read_files(bare(pj.read_text(spark, folder)))))
 
 
 def project_markdown_whole(spark, sf):
-    found = _written(spark, pj.markdown_blocks(_view(spark, sf)), pj.read_files)
+    found = _written(spark, pj.markdown_blocks(_view(spark, sf)), lambda folder: pj.read_files(pj.read_text(spark, folder)))
     return _flat(found).join(found.select("path", "hash", "analysis_revision"), "path")
 
 
 def project_json_read(spark, sf):
-    found = _written(spark, pj.json_blocks(_view(spark, sf)), pj.read_json)
+    found = _written(spark, pj.json_blocks(_view(spark, sf)), lambda folder: pj.read_json(pj.read_text(spark, folder)))
     return _flat(found).join(found.select("path", "hash", "analysis_revision"), "path")
 
 
 def project_catalog_read(spark, sf):
-    return _written(spark, pj.markdown_blocks(_view(spark, sf)), pj.read_catalog)
+    return _written(spark, pj.markdown_blocks(_view(spark, sf)), lambda folder: pj.catalog_of(pj.stored_chunks(spark, folder, "Dependency Catalog")))
 
 
 def project_edges_read(spark, sf):
-    return _written(spark, pj.markdown_blocks(_view(spark, sf)), pj.read_edges)
+    return _written(spark, pj.markdown_blocks(_view(spark, sf)), lambda folder: pj.stored_edges(spark, folder))
 
 
 def run_summary(spark, sf):
