@@ -78,12 +78,12 @@ def _written(spark, blocks, read):
 
 def project_markdown_read(spark, sf):
     """Files from what the document shows: the comments that hold them whole are taken out before."""
-    bare = lambda text: text.select(F.regexp_replace("text", "<!-- file:[A-Za-z0-9+/=\\s]* -->\n\n", "").alias("text"))
-    return _flat(_written(spark, pj.markdown_blocks(_view(spark, sf)), lambda folder: pj.read_files(bare(pj.read_text(spark, folder)))))
+    bare = lambda rows: rows.select(F.regexp_replace("body", "<!-- file:[A-Za-z0-9+/=\\s]* -->\n\n?", "").alias("body"))
+    return _flat(_written(spark, pj.markdown_blocks(_view(spark, sf)), lambda folder: pj.files_of(bare(pj.stored_chunks(spark, folder, "Files")))))
 
 
 def project_markdown_whole(spark, sf):
-    found = _written(spark, pj.markdown_blocks(_view(spark, sf)), lambda folder: pj.read_files(pj.read_text(spark, folder)))
+    found = _written(spark, pj.markdown_blocks(_view(spark, sf)), lambda folder: pj.files_of(pj.stored_chunks(spark, folder, "Files")))
     return _flat(found).join(found.select("path", "hash", "analysis_revision"), "path")
 
 

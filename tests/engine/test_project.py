@@ -36,7 +36,7 @@ def test_stored_documents_are_read_where_they_lie(spark, tmp_path, errors):
             spark.conf.unset(key)
 
 
-@pytest.mark.parametrize("name", ["project_catalog_read", "project_edges_read"])
+@pytest.mark.parametrize("name", ["project_catalog_read", "project_edges_read", "project_markdown_read", "project_markdown_whole"])
 def test_no_document_meets_in_one_row(spark, sf, monkeypatch, name):
     def whole(*_):
         raise AssertionError("the document was put into one row")
