@@ -175,15 +175,17 @@ def edge_indexes(graph: DataFrame) -> DataFrame:
 
 
 def closed_subset(nodes: DataFrame) -> DataFrame:
-    """Nodes (rel, node_id, child_ids, valid) kept only if valid and all their children are, down to the leaves."""
-    bad = pinned(nodes.filter(~F.coalesce("valid", F.lit(False))).select("rel", "node_id"))
+    """Nodes (rel, node_id, child_ids, valid) kept only if valid and all their children are, down to the leaves.
+
+    The nodes are computed once; every round of the closure reads them again.
+    """
+    nodes = pinned(nodes)
     links = nodes.select("rel", "node_id", F.explode("child_ids").alias("child"))
     missing = links.join(nodes.select("rel", F.col("node_id").alias("child")), ["rel", "child"], "left_anti").select("rel", "node_id")
-    bad = pinned(bad.unionByName(missing).distinct())
-    key = lambda a, b: F.to_json(F.struct(F.col(a).alias("r"), F.col(b).alias("n")))
-    up = links.select(key("rel", "child").alias("src"), key("rel", "node_id").alias("dst"))
-    gone = closure(up, bad.select(key("rel", "node_id").alias("node"))).select(F.col("node").alias("_key"))
-    return nodes.withColumn("_key", key("rel", "node_id")).join(gone, "_key", "left_anti").drop("_key")
+    bad = nodes.filter(~F.coalesce("valid", F.lit(False))).select("rel", "node_id").unionByName(missing)
+    key = lambda a, b: F.struct(F.col(a).alias("r"), F.col(b).alias("n"))
+    gone = closure(links.select(key("rel", "child").alias("src"), key("rel", "node_id").alias("dst")), bad.select(key("rel", "node_id").alias("node")))
+    return nodes.withColumn("_key", key("rel", "node_id")).join(gone.select(F.col("node").alias("_key")), "_key", "left_anti").drop("_key")
 
 
 def path_tree(files: DataFrame) -> DataFrame:

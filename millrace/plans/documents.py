@@ -13,7 +13,7 @@ from millrace.operators import planning as pl
 from millrace.operators import responses as rs
 from millrace.operators import view as vw
 from millrace.sources.files import from_documents
-from millrace.session import table
+from millrace.session import pinned, table
 
 RUN = pl.Run()
 
@@ -197,7 +197,7 @@ def carry_sweep(spark, sf):
 
 def closed_tree(spark, sf):
     """Lines as nodes under their tens; lines of fewer than 40 signs are invalid and take their ancestors with them."""
-    atoms = dv.line_atoms(files(spark, sf))
+    atoms = pinned(dv.line_atoms(files(spark, sf)).select("rel", "ord", "chars"))  # three kinds of nodes are made of them
     leaves = atoms.select("rel", F.concat(F.lit("l"), F.col("ord").cast("string")).alias("node_id"), F.array().cast("array<string>").alias("child_ids"), (F.col("chars") >= 40).alias("valid"))
     groups = atoms.groupBy("rel", F.floor(F.col("ord") / 10).alias("g")).agg(F.array_sort(F.collect_list(F.concat(F.lit("l"), F.col("ord").cast("string")))).alias("child_ids"))
     parents = groups.select("rel", F.concat(F.lit("g"), F.col("g").cast("string")).alias("node_id"), "child_ids", F.lit(True).alias("valid"))

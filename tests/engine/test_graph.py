@@ -74,6 +74,20 @@ def test_closed_subset(spark):
     assert {(r.rel, r.node_id) for r in gr.closed_subset(nodes).collect()} == {("f", "b"), ("f", "d"), ("g", "c")}
 
 
+def test_closed_subset_computes_its_nodes_once(spark):
+    rows = [("f", f"l{i}", [], i != 7) for i in range(20)] + [("f", f"g{g}", [f"l{g * 10 + i}" for i in range(10)], True) for g in (0, 1)] + [("f", "top", ["g0", "g1"], True)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    nodes = spark.createDataFrame(rows, "rel string, node_id string, child_ids array<string>, valid boolean")
+    kept = {r.node_id for r in gr.closed_subset(nodes.mapInArrow(passed, nodes.schema)).collect()}
+    assert kept == {r[1] for r in rows} - {"l7", "g0", "top"} and seen.value == len(rows)
+
+
 def test_numbering(spark):
     rows = numbered(spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1000).repartition(7), "k", start=5).collect()
     assert sorted((r["rank"], r.k) for r in rows) == [(i + 5, i) for i in range(1000)]
