@@ -1,8 +1,9 @@
 """SimHash near-duplicates by word-shingle similarity, for links wider than a Hamming ball of a few bits.
 
-At a Jaccard similarity of 0.8 a 64-bit SimHash differs in about 9 bits and in up to 17, where a tree of
-Hamming balls overlaps everywhere and prunes nothing. Shards are therefore cut by shared minimum hashes
-first: texts this similar share one of sixteen with a probability over 0.99998. Inside a shard the distances
+64-bit SimHashes go through the vantage-point tree of ``simhash``, which proposes every two texts within two
+bits. At a Jaccard similarity of 0.8 a 64-bit SimHash differs in about 9 bits and in up to 17, where a tree of
+Hamming balls overlaps everywhere and prunes nothing. For these links shards are cut by shared minimum hashes
+besides: texts this similar share one of sixteen with a probability over 0.99998. Inside a shard the distances
 to a vantage point prune pairs by the triangle bound, and 1,024-bit SimHashes propose what may be similar,
 with a margin of about five times their spread. The whole sets of shingles decide, among texts that
 proposals connect.
@@ -19,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.simhash import _hashes, components
+from millrace.llm.simhash import _hashes, components, links
 from millrace.session import pinned
 
 LANES = 16  # words of 64 bits in a sketch
 BANDS, TOGETHER = 16, 3  # keys, and minimum hashes of a key
 FEW, SOME = 24, 37  # up to FEW shingles only the set is kept, up to SOME both, beyond only the sketch
 SLACK = 0.12  # of the similarity, for the spread of the estimate: what it proposes is compared exactly
+MOST_BITS = 2  # between the 64-bit SimHashes that the tree links
 MOST_IN_SHARD = 16_384
 MOST_SHINGLES = 4_000_000  # of the sets that are compared in one task
 SMALL = 200_000
@@ -52,9 +54,20 @@ def kind_of(shingles: np.ndarray) -> int:
     return int(_mixed(total).view(np.int64)[0])
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """64-bit SimHash, signed, of a set of shingles: one where over half of them have a one. No shingles: zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), _CHUNK):
+        ones += np.unpackbits(shingles[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def profile(text: bytes | None, size: int) -> tuple[int, int, list[int], bytes]:
     """(class, number of distinct shingles, band keys, sketch and/or set). Texts with the same shingles have one class."""
-    shingles = shingle_set(text, size)
+    return _profile(shingle_set(text, size))
+
+
+def _profile(shingles: np.ndarray) -> tuple[int, int, list[int], bytes]:
     count = len(shingles)
     if not count:
         return 0, 0, [0], b""
@@ -75,16 +88,16 @@ def profile(text: bytes | None, size: int) -> tuple[int, int, list[int], bytes]:
     return kind, count, keys.view(np.int64).tolist(), sketch + (shingles.astype("<u8").tobytes() if count <= SOME else b"")
 
 
-_PROFILE = T.StructType([T.StructField("kind", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
+_PROFILE = T.StructType([T.StructField("kind", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()), T.StructField("fp", T.LongType())])
 
 
 def profiles(text: Column, size: int) -> Column:
-    kind = pa.struct([("kind", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("data", pa.binary())])
+    kind = pa.struct([("kind", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("data", pa.binary()), ("fp", pa.int64())])
 
     @F.arrow_udf(_PROFILE)
     def of(texts: pa.Array) -> pa.Array:
-        rows = [profile(t.as_py(), size) for t in texts.cast(pa.binary())]
-        return pa.array([dict(zip(("kind", "n", "keys", "data"), r, strict=True)) for r in rows], type=kind)
+        sets = (shingle_set(t.as_py(), size) for t in texts.cast(pa.binary()))
+        return pa.array([dict(zip(("kind", "n", "keys", "data", "fp"), (*_profile(s), fingerprint(s)), strict=True)) for s in sets], type=kind)
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -235,12 +248,28 @@ def _found(rows: DataFrame, heavy: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(_linked(least), "a bigint, b bigint")
 
 
+def tree_links(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect classes (kind, fp) whose SimHashes differ in MOST_BITS or fewer, by the vantage-point tree."""
+    points = pinned(classes.groupBy("fp").agg(F.min("kind").alias("rep")))
+    same = classes.join(points, "fp").filter("kind <> rep").select(F.col("kind").alias("a"), F.col("rep").alias("b"))
+    named = lambda end: points.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_kind"))
+    found = links(points.select("fp"), MOST_BITS).join(named("a"), "a").join(named("b"), "b")
+    return same.unionByName(found.select(F.col("a_kind").alias("a"), F.col("b_kind").alias("b")))
+
+
+def band_links(classes: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between classes (kind, n, keys, data) that share a key, where the sketches do not rule out ``least``."""
+    bands = classes.select("kind", "n", "data", F.explode("keys").alias("key"))
+    large = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MOST_IN_SHARD).select("key", F.ceil(F.col("m") / (MOST_IN_SHARD // 2)).cast("int").alias("blocks"))
+    return _found(bands, large, least)
+
+
 def similar_documents(docs: DataFrame, text_col: str = "text", size: int = 5, least: float = 0.8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., kind, root): rows whose texts share ``least`` of their word shingles, directly or by others, have one root.
 
     Shingles are sets, of A-Z lower-cased words between ASCII white space; a text of fewer words is one shingle,
     and texts without words, null ones included, form one group. Equal sets are one class before the
-    search, so copies cost nothing. Keys and sketches only tell which classes may belong together; inside
+    search, so copies cost nothing. The tree, keys and sketches only tell which classes may belong together; inside
     such a group the whole sets are compared, each made from one text of its class. A shard that outgrows
     MOST_IN_SHARD, or a group that outgrows MOST_SHINGLES, is dealt out as pairs of blocks. A pair of 0.8 is
     compared with a probability of about 0.9999, and more above; what is compared is decided exactly.
@@ -248,10 +277,9 @@ def similar_documents(docs: DataFrame, text_col: str = "text", size: int = 5, le
     """
     text = F.col(text_col)
     own = pinned(docs.select(*keep, F.xxhash64(text).alias("_mr_same"), profiles(text, size).alias("p")).select(*keep, "_mr_same", "p.*"))
-    classes = pinned(own.groupBy("kind").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("data").alias("data"), F.min("_mr_same").alias("_mr_same")))
-    bands = classes.filter("n > 0").select("kind", "n", "data", F.explode("keys").alias("key"))
-    large = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MOST_IN_SHARD).select("key", F.ceil(F.col("m") / (MOST_IN_SHARD // 2)).cast("int").alias("blocks"))
-    groups = components(_found(bands, large, least))
+    classes = pinned(own.groupBy("kind").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("data").alias("data"), F.first("fp").alias("fp"), F.min("_mr_same").alias("_mr_same")))
+    worded = classes.filter("n > 0")
+    groups = components(tree_links(worded).unionByName(band_links(worded, least)))
     maybe = pinned(classes.join(groups, F.col("kind") == F.col("node")).select("kind", "n", "data", "_mr_same", F.col("root").alias("key")))
     sought = maybe.select("_mr_same").distinct()
     texts = docs.select(text.alias("_mr_text"), F.xxhash64(text).alias("_mr_same")).join(sought, "_mr_same", "left_semi").groupBy("_mr_same").agg(F.first("_mr_text").alias("_mr_text"))
@@ -259,7 +287,7 @@ def similar_documents(docs: DataFrame, text_col: str = "text", size: int = 5, le
     heavy = maybe.groupBy("key").agg(F.sum("n").alias("m")).filter(F.col("m") > MOST_SHINGLES).select("key", F.ceil(F.col("m") / (MOST_SHINGLES // 2)).cast("int").alias("blocks"))
     roots = components(_found(maybe.drop("_mr_same").join(sets, "kind"), heavy, least))
     table = pinned(classes.select("kind").join(roots, F.col("kind") == F.col("node"), "left").select("kind", F.coalesce("root", "kind").alias("root")))
-    return own.drop("n", "keys", "data", "_mr_same").join(table, "kind")
+    return own.drop("n", "keys", "data", "fp", "_mr_same").join(table, "kind")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

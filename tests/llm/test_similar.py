@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.llm import similar
+from millrace.llm.simhash import components as components_of
 from millrace.session import table
 
 
@@ -76,6 +77,30 @@ def test_blocks_of_large_shards(make_docs, monkeypatch):
     assert len({got[i] for i in range(40)}) == 1 and got[100] != got[0]
 
 
+def test_the_tree_links_what_is_within_its_bits(spark):
+    rng = random.Random(12)
+    points = [rng.getrandbits(63) for _ in range(40)]
+    for p in points[:20]:
+        near = p ^ (1 << rng.randrange(63))
+        points += [near, near ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)), p]
+    classes = spark.createDataFrame([(1000 + i, p) for i, p in enumerate(points)], "kind long, fp long")
+    got = {r.node: r.root for r in components_of(similar.tree_links(classes)).collect()}
+    root = list(range(len(points)))
+    for _ in points:  # as many rounds as the longest chain could need
+        for i, a in enumerate(points):
+            root[i] = min(root[j] for j, b in enumerate(points) if (a ^ b).bit_count() <= 2)
+    assert [got.get(1000 + i, 1000 + i) for i in range(len(points))] == [1000 + r for r in root]
+
+
+def test_near_copies_meet_through_the_tree_alone(make_docs, monkeypatch):
+    monkeypatch.setattr(similar, "band_links", lambda classes, least: classes.select(F.col("kind").alias("a"), F.col("kind").alias("b")))
+    words = [f"w{i}" for i in range(4_000)]
+    docs = make_docs([(1, " ".join(words), "s"), (2, " ".join([*words, "more"]), "s"), (3, " ".join([*words[:1_000], "or", *words[2_500:]]), "s")])
+    assert [r.n for r in docs.select(similar.profiles(F.col("text"), 5).alias("p")).select("p.n").collect()] == [3996, 3997, 2497]
+    got = {r.doc_id: r.root for r in similar.similar_documents(docs).collect()}
+    assert got[1] == got[2] != got[3]
+
+
 def test_one_of_each(odd_docs, make_docs):
     rows = similar.one_of_each(odd_docs).collect()
     assert odd_docs.columns == list(rows[0].asDict())
