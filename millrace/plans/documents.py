@@ -12,7 +12,7 @@ from millrace.operators import graph as gr
 from millrace.operators import planning as pl
 from millrace.operators import responses as rs
 from millrace.operators import view as vw
-from millrace.sources.files import from_documents
+from millrace.sources.files import document_path, from_documents
 from millrace.session import pinned, table
 
 RUN = pl.Run()
@@ -39,7 +39,7 @@ def doc_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def from_rel():
-    return F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("."), F.col("lang")).alias("rel")
+    return document_path()
 
 
 def planned(spark: SparkSession, sf: str, run: pl.Run = RUN, graph: DataFrame | None = None) -> DataFrame:

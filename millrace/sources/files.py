@@ -148,7 +148,12 @@ def entry(files: DataFrame, candidates: tuple[str, ...] = ENTRIES, hint: str | N
     return row["rel"]
 
 
+def document_path() -> Column:
+    """The path of a document; a null part of it is empty, so no document is without a path."""
+    parts = [F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("."), F.col("lang")]
+    return F.concat(*[F.coalesce(p, F.lit("")) for p in parts]).alias("rel")
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """Documents as files: (rel, language, content)."""
-    rel = F.concat(F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("."), F.col("lang"))
-    return docs.select(rel.alias("rel"), F.col("lang").alias("language"), F.col("text").alias("content"))
+    return docs.select(document_path(), F.col("lang").alias("language"), F.col("text").alias("content"))
